@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tendril.llm.exact import exact_dedup
+from tendril.llm.rules import judge
 from tendril.llm.shared import table
 
 QUERIES: dict = {}
@@ -29,3 +30,10 @@ WITH d AS (
 )
 SELECT doc_id, keep_id, group_size, nth = 1 AS kept, text_sha256 FROM r
 """
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op6_quality_rules"] = op6_quality_rules
