@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tendril.llm.exact import exact_dedup
+from tendril.llm.nearjoin import near_dedup
 from tendril.llm.rules import judge
 from tendril.llm.shared import table
 
@@ -37,3 +38,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op6_quality_rules"] = op6_quality_rules
+
+
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"), size=2)
+
+
+QUERIES["op5_minhash_near_dedup"] = op5_minhash_near_dedup
