@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tendril.llm.exact import exact_dedup
 from tendril.llm.nearjoin import near_dedup
+from tendril.llm.packing import pack_documents
 from tendril.llm.rules import judge
-from tendril.llm.shared import table
+from tendril.llm.shared import table, tokenizer_path
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -45,3 +46,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_minhash_near_dedup"] = op5_minhash_near_dedup
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
