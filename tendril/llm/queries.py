@@ -9,6 +9,7 @@ from tendril.llm.nearjoin import near_dedup
 from tendril.llm.packing import pack_documents
 from tendril.llm.rules import judge
 from tendril.llm.shared import table, tokenizer_path
+from tendril.llm.urls import judge_urls
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -53,3 +54,32 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op10_url_filters"] = op10_url_filters
+ORACLES["op10_url_filters"] = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), p AS (
+  SELECT page_id,
+         translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM u
+), r AS (
+  SELECT page_id, host, path, '.' || host AS h,
+         CASE WHEN '.' || host LIKE '%.example.com' AND path LIKE '/en/7%' THEN 'example.com/en/7'
+              WHEN '.' || host LIKE '%.example.net' AND path LIKE '/de/8%' THEN 'example.net/de/8'
+              WHEN '.' || host LIKE '%.com' AND path LIKE '/en/%' THEN 'com/en/'
+              WHEN '.' || host LIKE '%.net' AND path LIKE '/de/%' THEN 'net/de/'
+              WHEN '.' || host LIKE '%.org' AND path LIKE '/es/%' THEN 'org/es/' END AS rule
+  FROM p
+)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule = 'example.com/en/7' THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+            WHEN h LIKE '%.cheap-pills.example.com' OR h LIKE '%.spam-farm.example.org' THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
