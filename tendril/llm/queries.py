@@ -9,6 +9,7 @@ from tendril.llm.nearjoin import near_dedup
 from tendril.llm.packing import pack_documents
 from tendril.llm.rules import judge
 from tendril.llm.shared import table, tokenizer_path
+from tendril.llm.substring import substring_dedup
 from tendril.llm.urls import judge_urls
 
 QUERIES: dict = {}
@@ -83,3 +84,10 @@ SELECT page_id, host, path, rule,
             WHEN h LIKE '%.cheap-pills.example.com' OR h LIKE '%.spam-farm.example.org' THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
+
+
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op1_substring_dedup"] = op1_substring_dedup
