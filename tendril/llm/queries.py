@@ -10,6 +10,7 @@ from tendril.llm.packing import pack_documents
 from tendril.llm.rules import judge
 from tendril.llm.shared import table, tokenizer_path
 from tendril.llm.substring import substring_dedup
+from tendril.llm.toxicity import score_toxicity
 from tendril.llm.urls import judge_urls
 
 QUERIES: dict = {}
@@ -91,3 +92,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_substring_dedup"] = op1_substring_dedup
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op2_toxicity"] = op2_toxicity
