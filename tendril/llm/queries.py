@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tendril.llm.exact import exact_dedup
+from tendril.llm.langid import identify_documents, identify_pages
 from tendril.llm.nearjoin import near_dedup
 from tendril.llm.packing import pack_documents
 from tendril.llm.rules import judge
@@ -99,3 +100,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_toxicity"] = op2_toxicity
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES["op8_language_id"] = op8_language_id
+QUERIES["language_id_pages"] = language_id_pages
