@@ -8,6 +8,7 @@ from tendril.llm.exact import exact_dedup
 from tendril.llm.langid import identify_documents, identify_pages
 from tendril.llm.nearjoin import near_dedup
 from tendril.llm.packing import pack_documents
+from tendril.llm.quality import score_quality
 from tendril.llm.rules import judge
 from tendril.llm.shared import table, tokenizer_path
 from tendril.llm.substring import substring_dedup
@@ -112,3 +113,10 @@ def language_id_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op8_language_id"] = op8_language_id
 QUERIES["language_id_pages"] = language_id_pages
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op7_quality_classifier"] = op7_quality_classifier
