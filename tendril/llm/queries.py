@@ -8,6 +8,7 @@ from tendril.llm.exact import exact_dedup
 from tendril.llm.langid import identify_documents, identify_pages
 from tendril.llm.nearjoin import near_dedup
 from tendril.llm.packing import pack_documents
+from tendril.llm.pieces import encode_pieces
 from tendril.llm.quality import score_quality
 from tendril.llm.rules import judge
 from tendril.llm.shared import table, tokenizer_path
@@ -120,3 +121,10 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_quality_classifier"] = op7_quality_classifier
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+QUERIES["op3_sentencepiece"] = op3_sentencepiece
