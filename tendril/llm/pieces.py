@@ -39,6 +39,8 @@ VARIANTS = 4
 #: Entries of a worker's memory of units, and the longest kept.
 MEMORY = 700_000
 LONGEST = 48
+#: Units of so many characters are merged by themselves, shorter ones together.
+ALONE = 96
 
 _SPACE = "▁"
 _M64 = (1 << 64) - 1
@@ -68,8 +70,78 @@ class Pieces:
             self.bytes[i] = piece.replace(_SPACE, " ").encode()
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
+        # What two pieces merge to, by score; and the pieces of single characters.
+        merges = [(self.id[p[:k]] * n + self.id[p[k:]], i) for p, i in self.id.items() for k in range(1, len(p)) if p[:k] in self.id and p[k:] in self.id]
+        merges.sort()
+        self.size = n
+        self.pairs = np.array([c for c, _ in merges], np.int64)
+        self.whole = np.array([i for _, i in merges], np.int64)
+        levels = {x: r for r, x in enumerate(sorted({*self.score.values()}, reverse=True))}
+        names = {i: p for p, i in self.id.items()}
+        self.rank = np.array([levels[self.score[names[i]]] for _, i in merges], np.int64)
+        self.char = np.full(0x110000, -1, np.int64)
+        for p, i in self.id.items():
+            if len(p) == 1:
+                self.char[ord(p)] = i
+        self.char[0x20], self.char[0x2581] = self.id.get(_SPACE, -1), -1
         self.known: dict[tuple[bytes, int], bytes] = {}
 
+    def merge_all(self, texts: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
+        """The ids of many short units: a round merges the candidate of each
+        unit that its agenda would bring up next."""
+        points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        unit = np.repeat(np.arange(len(texts)), sizes)
+        place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        symbol, length = self.char[points], np.ones(len(unit), np.int64)
+        least, none = _U(int(dropout * (1 << 64))), np.int64(1) << 40
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        while len(unit):
+            code = symbol[:-1] * self.size + symbol[1:]
+            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
+            hit = (self.pairs[at] == code) & (unit[:-1] == unit[1:]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0)
+            if least:
+                i = np.flatnonzero(hit)
+                step = place[i].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (length[i] + length[i + 1]).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+                hit[i[kernel.mix(keys[unit[i]] ^ step) < least]] = False
+            order = np.full(len(unit), none)
+            order[:-1][hit] = (self.rank[at[hit]] << 16) | place[:-1][hit]
+            starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            best = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(unit))))
+            over = best == none
+            done.append((unit[over], place[over], symbol[over]))
+            win = np.flatnonzero((order == best) & ~over)
+            symbol[win] = self.whole[at[win]]
+            length[win] += length[win + 1]
+            stay = ~over
+            stay[win + 1] = False
+            unit, place, symbol, length = unit[stay], place[stay], symbol[stay], length[stay]
+        unit, place, symbol = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
+        order = np.argsort(unit * (1 << 16) + place)
+        unit, place, symbol = unit[order], place[order], symbol[order]
+        bounds = np.searchsorted(unit, np.arange(len(texts) + 1))
+        data = symbol.astype("<i4").tobytes()
+        out = [data[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for u in np.unique(unit[symbol < 0]).tolist():
+            a, b = bounds[u], bounds[u + 1]
+            ids = [[i] if i >= 0 else [self.byte[x] for x in texts[u][k].encode()] for i, k in zip(symbol[a:b].tolist(), place[a:b].tolist(), strict=True)]
+            out[u] = np.asarray(sum(ids, []), "<i4").tobytes()
+        return out
+
+    def units(self, names: list[tuple[bytes, int]], dropout: float, seed: int) -> list[bytes]:
+        """The ids of units of given variants."""
+        texts = [n.decode() for n, _ in names]
+        codes = np.array([(seed + zlib.crc32(n) * 0x9E3779B97F4A7C15 + len(n) + (v << 40)) & _M64 for n, v in names], np.uint64)
+        keys = kernel.mix(codes)
+        short = [k for k, t in enumerate(texts) if len(t) < ALONE]
+        out = [b""] * len(names)
+        for k, ids in zip(short, self.merge_all([texts[k] for k in short], keys[short], dropout), strict=True):
+            out[k] = ids
+        for k, t in enumerate(texts):
+            if len(t) >= ALONE:
+                out[k] = self.unit(t, int(keys[k]), dropout)
+        return out
+
     def merge(self, text: str, key: int, dropout: float) -> list[str | None]:
         """The pieces of a unit; None takes the place of a literal U+2581."""
         part: list[str | None] = [_SPACE if c == " " else None if c == _SPACE else c for c in text]
@@ -125,19 +197,8 @@ class Pieces:
             full = kernel.mix(hashes + first.astype(np.uint64) * _U(0x2545F4914F6CDD1D) + variant)
             _, at, back = np.unique(full, return_index=True, return_inverse=True)
             data = s.data.tobytes()
-            values = []
-            for k, a, b, lead in zip(at.tolist(), starts[at].tolist(), ends[at].tolist(), first[at].tolist(), strict=True):
-                name = (b" " + data[a:b] if lead else data[a:b], int(variant[k]))
-                value = self.known.get(name)
-                if value is None:
-                    key = _mix((seed + zlib.crc32(name[0]) * 0x9E3779B97F4A7C15 + len(name[0]) + (name[1] << 40)) & _M64)
-                    value = self.unit(name[0].decode(), key, dropout)
-                    if len(name[0]) <= LONGEST:
-                        if len(self.known) >= MEMORY:
-                            middle = int(np.median(np.fromiter((len(n[0]) for n in self.known), np.int64, len(self.known))))
-                            self.known = {n: v for n, v in self.known.items() if len(n[0]) <= middle}
-                        self.known[name] = value
-                values.append(value)
+            names = [(b" " + data[a:b] if lead else data[a:b], v) for a, b, lead, v in zip(starts[at].tolist(), ends[at].tolist(), first[at].tolist(), variant[at].tolist(), strict=True)]
+            values = self._values(names, dropout, seed)
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
             ids = np.frombuffer(b"".join(values), "<i4")
             begin, size = np.cumsum(sizes) - sizes, sizes[back]
@@ -148,6 +209,20 @@ class Pieces:
             for r in range(s.rows):
                 yield ids[bounds[r] : bounds[r + 1]]
 
+    def _values(self, names: list[tuple[bytes, int]], dropout: float, seed: int) -> list[bytes]:
+        new = [n for n in names if n not in self.known]
+        if len(self.known) + len(new) > MEMORY:
+            # Long units come back least often.
+            middle = int(np.median(np.fromiter((len(n[0]) for n in self.known), np.int64, len(self.known)))) if self.known else 0
+            self.known = {n: v for n, v in self.known.items() if len(n[0]) <= middle}
+            new = [n for n in names if n not in self.known]
+        self.known.update(zip(new, self.units(new, dropout, seed), strict=True))
+        out = list(map(self.known.__getitem__, names))
+        for n in new:
+            if len(n[0]) > LONGEST:
+                del self.known[n]
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids are of."""
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode()

@@ -37,6 +37,13 @@ def test_dropout_varies_and_decodes(vocabulary):
     assert all(p is not None and len(p) == 1 for p in vocabulary.merge("characters", 5, 1.0))
 
 
+def test_rounds_equal_the_agenda(vocabulary, spark, monkeypatch):
+    texts = ODD + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(20).collect()]
+    together = encode(vocabulary, texts, 0.2)
+    monkeypatch.setattr(pieces, "ALONE", 0)
+    assert encode(vocabulary, texts, 0.2) == together
+
+
 def test_query_round_trip(spark):
     docs = spark.createDataFrame([(i, t, "i", "l") for i, t in enumerate(ODD)] + [(None, None, "i", "l"), (3, ODD[3], "i", "l")], SCHEMA)
     encoded = pieces.encode_pieces(docs, PATH)
