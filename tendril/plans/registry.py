@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tendril.plans import quoting, texts
+
+QUERIES: dict = {**quoting.QUERIES, **texts.QUERIES}
+ORACLES: dict = {**quoting.ORACLES, **texts.ORACLES}
