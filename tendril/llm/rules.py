@@ -32,7 +32,7 @@ SPREAD = 3.0
 #: Documents that a group needs for fences of its own.
 LEAST_GROUP = 200
 #: What is measured, with the least distance of a fence from the third quartile.
-SLACK = {"chars_per_word": 2.0, "symbols_per_word": 0.10, "dup_lines": 0.25, "repeat_words": 0.15}
+SLACK = {"chars_per_word": 2.0, "symbols_per_word": 0.10, "dup_lines": 0.50, "repeat_words": 0.35}
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
