@@ -87,3 +87,12 @@ def restore(text: Column, tokens: Column) -> Column:
     """Tokens put back last made first, so that one inside another's value
     comes back too."""
     return F.aggregate(F.reverse(tokens), text, lambda out, t: F.replace(out, t["token"], t["original"]))
+
+
+def anonymize_value(value: object, mask_text) -> object:
+    """A JSON value with sensitive keys dropped and all its texts masked."""
+    if isinstance(value, dict):
+        return {k: anonymize_value(v, mask_text) for k, v in value.items() if k.lower() not in SENSITIVE_KEYS}
+    if isinstance(value, list):
+        return [anonymize_value(v, mask_text) for v in value]
+    return mask_text(value) if isinstance(value, str) else value
