@@ -252,7 +252,7 @@ def pii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     r"""WITH m AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Найди в каталогах позиции №3 и №12, наценка 12,5%' WHEN 1 THEN 'сформируй excel' WHEN 2 THEN 'Запомни правило: без интернета' WHEN 3 THEN 'задача 1+2, конкуренты' WHEN 4 THEN 'пересчитай все по составу, убери ozon' ELSE text END AS message FROM conversations)
 SELECT conv_id, turn, CASE WHEN turn % 6 IN (2, 3) THEN 'task1_task2' END AS task_mode, turn % 6 IN (0, 2, 3) AS run_local_search, turn % 6 IN (2, 3) AS run_web_search, turn % 6 = 1 AS generate_excel,
        CASE turn % 6 WHEN 0 THEN 12.5 END AS markup_percent, CASE turn % 6 WHEN 0 THEN 2 ELSE 0 END AS n_reprocess, turn % 6 = 4 AS reprocess_all, CASE turn % 6 WHEN 2 THEN 'без интернета' END AS save_rule, CASE turn % 6 WHEN 4 THEN 'Ozon' ELSE '' END AS excluded
-FROM m WHERE turn % 6 <> 5 AND turn % 6 <> 4
+FROM m WHERE turn % 6 <> 4
 UNION ALL SELECT conv_id, turn, 'task1_task2', TRUE, TRUE, FALSE, NULL, 0, TRUE, NULL, 'Ozon' FROM m WHERE turn % 6 = 4""",
 )
 def chat_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,7 +265,6 @@ def chat_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = intent.detect(message, F.lit(True), F.lit(True))
     return (
         load(spark, sf_dir, "conversations")
-        .filter(turn != 5)
         .select(
             "conv_id",
             "turn",
