@@ -43,6 +43,8 @@ LONGEST = 48
 ALONE = 96
 
 _SPACE = "▁"
+#: Size of the table of mergeable pairs.
+SLOT_BITS = 22
 _M64 = (1 << 64) - 1
 _U = np.uint64
 
@@ -53,6 +55,10 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _slot(code: np.ndarray) -> np.ndarray:
+    return ((code.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - SLOT_BITS)).astype(np.int64)
+
+
 class Pieces:
     """A vocabulary: scores and ids to encode by, bytes to decode by."""
 
@@ -75,6 +81,16 @@ class Pieces:
         merges.sort()
         self.size = n
         self.pairs = np.array([c for c, _ in merges], np.int64)
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int32)
+        free = np.arange(len(self.pairs))
+        slot = _slot(self.pairs)
+        while len(free):  # a full slot sends the rest to the next
+            taken = self.slots[slot[free]] >= 0
+            now, first = np.unique(slot[free[~taken]], return_index=True)
+            placed = free[~taken][first]
+            self.slots[now] = placed
+            free = np.setdiff1d(free, placed)
+            slot[free] = (slot[free] + 1) & ((1 << SLOT_BITS) - 1)
         self.whole = np.array([i for _, i in merges], np.int64)
         levels = {x: r for r, x in enumerate(sorted({*self.score.values()}, reverse=True))}
         names = {i: p for p, i in self.id.items()}
@@ -86,6 +102,17 @@ class Pieces:
         self.char[0x20], self.char[0x2581] = self.id.get(_SPACE, -1), -1
         self.known: dict[tuple[bytes, int], bytes] = {}
 
+    def _pair(self, code: np.ndarray) -> np.ndarray:
+        """The merge of each pair of pieces, or -1."""
+        slot = _slot(code)
+        found = self.slots[slot].astype(np.int64)
+        odd = np.flatnonzero((found >= 0) & (self.pairs[found] != code))
+        while len(odd):
+            slot[odd] = (slot[odd] + 1) & ((1 << SLOT_BITS) - 1)
+            found[odd] = self.slots[slot[odd]]
+            odd = odd[(found[odd] >= 0) & (self.pairs[found[odd]] != code[odd])]
+        return found
+
     def merge_all(self, texts: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
         """The ids of many short units: a round merges the candidate of each
         unit that its agenda would bring up next."""
@@ -96,26 +123,37 @@ class Pieces:
         symbol, length = self.char[points], np.ones(len(unit), np.int64)
         least, none = _U(int(dropout * (1 << 64))), np.int64(1) << 40
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # By the left symbol of each pair: what it merges to, and its turn.
+        whole, order = np.zeros(len(unit), np.int64), np.full(len(unit), none)
+        changed = np.arange(len(unit) - 1)
         while len(unit):
-            code = symbol[:-1] * self.size + symbol[1:]
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            hit = (self.pairs[at] == code) & (unit[:-1] == unit[1:]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0)
+            i = changed[(unit[changed] == unit[changed + 1]) & (symbol[changed] >= 0) & (symbol[changed + 1] >= 0)]
+            order[changed] = none
+            pair = self._pair(symbol[i] * self.size + symbol[i + 1])
+            i, pair = i[pair >= 0], pair[pair >= 0]
             if least:
-                i = np.flatnonzero(hit)
                 step = place[i].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (length[i] + length[i + 1]).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-                hit[i[kernel.mix(keys[unit[i]] ^ step) < least]] = False
-            order = np.full(len(unit), none)
-            order[:-1][hit] = (self.rank[at[hit]] << 16) | place[:-1][hit]
+                stays = kernel.mix(keys[unit[i]] ^ step) >= least
+                i, pair = i[stays], pair[stays]
+            whole[i], order[i] = self.whole[pair], (self.rank[pair] << 16) | place[i]
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-            best = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(unit))))
-            over = best == none
+            best = np.minimum.reduceat(order, starts)
+            over = np.repeat(best == none, np.diff(np.append(starts, len(unit))))
             done.append((unit[over], place[over], symbol[over]))
-            win = np.flatnonzero((order == best) & ~over)
-            symbol[win] = self.whole[at[win]]
+            # Turns of a unit differ by place, so one pair of it has the best.
+            win = np.flatnonzero((order == np.repeat(best, np.diff(np.append(starts, len(unit))))) & ~over)
+            symbol[win] = whole[win]
             length[win] += length[win + 1]
             stay = ~over
             stay[win + 1] = False
-            unit, place, symbol, length = unit[stay], place[stay], symbol[stay], length[stay]
+            moved = np.cumsum(stay)[win] - 1
+            unit, place, symbol, length, whole, order = unit[stay], place[stay], symbol[stay], length[stay], whole[stay], order[stay]
+            changed = np.union1d(moved, moved - 1)
+            changed = changed[(changed >= 0) & (changed < len(unit) - 1)]
+            if len(unit):
+                order[-1] = none
+                # A unit's last symbol has no pair of its own.
+                order[:-1][unit[:-1] != unit[1:]] = none
         unit, place, symbol = (np.concatenate([d[k] for d in done]) if done else np.zeros(0, np.int64) for k in range(3))
         order = np.argsort(unit * (1 << 16) + place)
         unit, place, symbol = unit[order], place[order], symbol[order]
@@ -128,11 +166,9 @@ class Pieces:
             out[u] = np.asarray(sum(ids, []), "<i4").tobytes()
         return out
 
-    def units(self, names: list[tuple[bytes, int]], dropout: float, seed: int) -> list[bytes]:
-        """The ids of units of given variants."""
+    def units(self, names: list[tuple[bytes, int]], keys: np.ndarray, dropout: float) -> list[bytes]:
+        """The ids of units, each with its key."""
         texts = [n.decode() for n, _ in names]
-        codes = np.array([(seed + zlib.crc32(n) * 0x9E3779B97F4A7C15 + len(n) + (v << 40)) & _M64 for n, v in names], np.uint64)
-        keys = kernel.mix(codes)
         short = [k for k, t in enumerate(texts) if len(t) < ALONE]
         out = [b""] * len(names)
         for k, ids in zip(short, self.merge_all([texts[k] for k in short], keys[short], dropout), strict=True):
@@ -198,7 +234,7 @@ class Pieces:
             _, at, back = np.unique(full, return_index=True, return_inverse=True)
             data = s.data.tobytes()
             names = [(b" " + data[a:b] if lead else data[a:b], v) for a, b, lead, v in zip(starts[at].tolist(), ends[at].tolist(), first[at].tolist(), variant[at].tolist(), strict=True)]
-            values = self._values(names, dropout, seed)
+            values = self._values(names, kernel.mix(full[at] + _U(seed & _M64)), dropout)
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
             ids = np.frombuffer(b"".join(values), "<i4")
             begin, size = np.cumsum(sizes) - sizes, sizes[back]
@@ -209,16 +245,17 @@ class Pieces:
             for r in range(s.rows):
                 yield ids[bounds[r] : bounds[r + 1]]
 
-    def _values(self, names: list[tuple[bytes, int]], dropout: float, seed: int) -> list[bytes]:
-        new = [n for n in names if n not in self.known]
+    def _values(self, names: list[tuple[bytes, int]], keys: np.ndarray, dropout: float) -> list[bytes]:
+        new = [k for k, n in enumerate(names) if n not in self.known]
         if len(self.known) + len(new) > MEMORY:
             # Long units come back least often.
             middle = int(np.median(np.fromiter((len(n[0]) for n in self.known), np.int64, len(self.known)))) if self.known else 0
             self.known = {n: v for n, v in self.known.items() if len(n[0]) <= middle}
-            new = [n for n in names if n not in self.known]
-        self.known.update(zip(new, self.units(new, dropout, seed), strict=True))
+            new = [k for k, n in enumerate(names) if n not in self.known]
+        fresh = [names[k] for k in new]
+        self.known.update(zip(fresh, self.units(fresh, keys[new], dropout), strict=True))
         out = list(map(self.known.__getitem__, names))
-        for n in new:
+        for n in fresh:
             if len(n[0]) > LONGEST:
                 del self.known[n]
         return out
