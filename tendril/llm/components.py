@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tendril.llm.shared import cut
+from tendril.llm.shared import FIT_ROWS, cut, fitted
 
 
-def _star(links: DataFrame, small: bool) -> DataFrame:
+def _star(links: DataFrame, small: bool, parts: int) -> DataFrame:
     """Each vertex links its neighbours to the least of them and itself: only
     the larger neighbours (large star) or only the smaller (small star)."""
     if small:
@@ -21,7 +21,11 @@ def _star(links: DataFrame, small: bool) -> DataFrame:
         out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
     else:
         out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return out.filter("u <> v").distinct()
+    return out.filter("u <> v").coalesce(parts).distinct()
+
+
+def _state(links: DataFrame) -> tuple:
+    return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -30,11 +34,13 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     ones do no harm.  Rounds end when the table of links stays as it is; each
     is cut off its lineage, so a lost executor repeats one round at most.
     """
-    links = cut(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    links = fitted(links.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = _state(links)
     for _ in range(most_rounds):
-        links = cut(_star(_star(links, small=False), small=True))
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        # A round never has more links than the last.
+        parts = max(1, -(-before[0] // FIT_ROWS))
+        links = cut(_star(_star(links, False, parts), True, parts).coalesce(parts))
+        now = _state(links)
         if now == before:
             break
         before = now

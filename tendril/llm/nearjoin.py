@@ -5,16 +5,17 @@ are one class, its least id stands for it.  Each of ``TREES`` independent trees
 branches every representative down paths of selected minwise tokens: a node
 selects one or two of the ``COORDS`` minwise positions by a hash of its path
 (1/threshold on average, so a pair at the threshold keeps one common child a
-level), and a document goes to the child that its token there names.  Nodes
-above ``NODE`` members branch on, to ``DEEPEST`` levels.
+level), and a document goes to the child that its token there names.
 
 Small nodes are compared exhaustively, but pairs that are connected already
-need no look: first each member meets the best of its nodes' least members,
-links are confirmed on full sets and components taken; then, node by node,
-members outside the node's main component meet all members of the others.
-So a node of copies costs its size and not its square, and no pair of a node is
-left out unless its ends are connected anyhow.  2-bit minwise sketches and set
-sizes (both far below the threshold) spare pairs the look at full sets.
+need no look: first each node picks a pivot and each member meets the likeliest
+of its pivots, links are confirmed on full sets and components taken; then, node
+by node, members outside the node's main component meet all members of the
+others: pair by pair in small nodes, block by block in large ones.  Nodes with
+more than ``NODE`` members outside branch on first, to ``DEEPEST`` levels.  So a
+node of copies costs its size and not its square, and no pair of a node is left
+out unless its ends are connected anyhow.  2-bit minwise sketches and set sizes
+(both far below the threshold) spare pairs the look at full sets.
 
 Missed links come from paths only: a pair at 0.8 misses one tree with
 probability 0.36 and all twelve with 4e-6; more similar pairs far less often.
@@ -37,14 +38,19 @@ from pyspark.sql.types import LongType
 
 from tendril.llm import kernel
 from tendril.llm.components import components
-from tendril.llm.shared import cut, small_batches
+from tendril.llm.shared import cut, fitted, small_batches
 
 TREES = 12
 COORDS = 64
 #: Levels that every document descends, and the most that one can.
 FIRST_LEVEL = 3
 DEEPEST = 8
-NODE = 48
+NODE = 4096
+#: Members compared at once, and comparisons from which a node is cut into
+#: blocks: a mixed one (sketches spare most of its pairs), one of mostly copies.
+BLOCK = 256
+GRID = 4_000
+COPIES_GRID = 500
 #: Of 64 two-bit positions; a pair at 0.8 has 54.4 in common, with deviation 2.9.
 LEAST_MATCHES = 38
 
@@ -136,24 +142,38 @@ def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at])], ["key", "rep"])
 
 
-def leaves(signed: DataFrame) -> DataFrame:
-    """(key, rep, pivot) of every node of two members or more that isn't
-    branched further; the pivot is the node's least member."""
-    found, level = None, FIRST_LEVEL
-    nodes = signed.select("doc_id", "tokens").mapInArrow(_plant, "key long, rep long")
+def _grouped(nodes: DataFrame) -> DataFrame:
+    """(key, rep, pivot) for nodes of two members or more; the pivot is a
+    member that a hash of node and member picks."""
+    nodes = fitted(nodes)
+    sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min_by("rep", F.xxhash64("key", "rep")).alias("pivot")).filter("members > 1")
+    return fitted(nodes.join(sizes.drop("members"), "key"))
+
+
+def _parts(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each node's members with their component c; each node's main component,
+    its number of components and of members outside the main one."""
+    placed = nodes.select("key", "rep").join(found.withColumnRenamed("u", "rep"), "rep", "left")
+    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("c"))
+    parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    return placed, parts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outside"))
+
+
+def _small(nodes: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
+    """(key, rep) of nodes with at most NODE members outside their main
+    component (or at the DEEPEST level), reached by branching the others."""
+    out, level = None, FIRST_LEVEL
     while True:
-        nodes = cut(nodes)
-        sizes = nodes.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("rep").alias("pivot")).filter("members > 1")
-        sized = cut(nodes.join(sizes, "key"))
-        done = sized if level >= DEEPEST else sized.filter(F.col("members") <= NODE)
-        done = done.select("key", "rep", "pivot")
-        found = done if found is None else found.union(done)
-        large = sized.filter(F.col("members") > NODE).select("key", "rep")
+        placed, parts = _parts(nodes, found)
+        sized = fitted(placed.join(parts.filter("parts > 1").select("key", "outside"), "key"))
+        done = sized if level >= DEEPEST else sized.filter(F.col("outside") <= NODE)
+        out = done.select("key", "rep") if out is None else out.union(done.select("key", "rep"))
+        large = sized.filter(F.col("outside") > NODE).select("key", "rep")
         if level >= DEEPEST or large.isEmpty():
-            return found
-        tokens = signed.select(F.col("doc_id").alias("rep"), "tokens")
-        nodes = large.join(tokens, "rep").select("key", "rep", "tokens").mapInArrow(_descend, "key long, rep long").distinct()
-        level += 1
+            return out
+        tokens = reps.select(F.col("doc_id").alias("rep"), "tokens")
+        deeper = large.join(tokens, "rep").select("key", "rep", "tokens").mapInArrow(_descend, "key long, rep long")
+        nodes, level = _grouped(deeper.distinct()), level + 1
 
 
 def _alike(x: str, y: str, percent: int) -> Column:
@@ -206,24 +226,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
     reps = able.join(classes, ["a", "b", "n"]).filter("doc_id = rep").dropDuplicates(["doc_id", "a", "b"])
-    reps = cut(reps.select("doc_id", "n", "low", "high", "tokens"))
-    leaf = cut(leaves(reps))
+    reps = fitted(reps.select("doc_id", "n", "low", "high", "tokens"))
+    nodes = _grouped(reps.select("doc_id", "tokens").mapInArrow(_plant, "key long, rep long"))
     sketch = reps.select(F.col("doc_id").alias("rep"), F.struct("n", "low", "high").alias("s"))
 
-    # Each member and the likeliest of its nodes' pivots.
-    met = leaf.filter("rep <> pivot").select("rep", "pivot").distinct()
+    # Each member and the likeliest of its nodes' pivots, one of each third.
+    met = nodes.filter("rep <> pivot").select("rep", "pivot").distinct()
     met = met.join(sketch.withColumnRenamed("s", "x"), "rep").join(sketch.select(F.col("rep").alias("pivot"), F.col("s").alias("y")), "pivot")
     apart = F.bit_count((F.col("x.low").bitwiseXOR(F.col("y.low"))).bitwiseOR(F.col("x.high").bitwiseXOR(F.col("y.high"))))
-    pairs = met.filter(_alike("x", "y", percent)).groupBy("rep").agg(F.min_by("pivot", apart).alias("v"))
-    links = cut(confirmed(cut(pairs.select(F.col("rep").alias("u"), "v")), texts, size, percent))
-    found = cut(components(links))
+    third = F.pmod(F.xxhash64("pivot"), F.lit(3))
+    pairs = met.filter(_alike("x", "y", percent)).groupBy("rep", third).agg(F.min_by("pivot", apart).alias("v"))
+    pairs = pairs.select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
+    links = fitted(confirmed(fitted(pairs), texts, size, percent))
+    found = fitted(components(links))
 
     # Members outside their node's main component and the members of others.
-    rest = cut(_across(leaf, sketch, found, percent))
-    if not rest.isEmpty():
-        more = cut(confirmed(rest, texts, size, percent))
+    placed, parts = _parts(_small(nodes, found, reps), found)
+    seen = fitted(placed.join(parts.filter("parts > 1"), "key"))
+    work = F.col("outside") * F.col("members")
+    blocked = (work > GRID) | ((work > COPIES_GRID) & (F.col("outside") * 2 < F.col("members")))
+    rest = fitted(_across(seen.filter(~blocked), sketch, percent))
+    more = confirmed(rest, texts, size, percent) if not rest.isEmpty() else None
+    large = seen.filter(blocked)
+    if not large.isEmpty():
+        blocks = _in_blocks(large, texts, size, percent)
+        more = blocks if more is None else more.union(blocks)
+    if more is not None:
+        more = fitted(more)
         if not more.isEmpty():
-            found = cut(components(more.union(found.select("u", F.col("component").alias("v")))))
+            found = fitted(components(more.union(found.select("u", F.col("component").alias("v")))))
 
     place = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
     out = (
@@ -235,13 +266,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _across(leaf: DataFrame, sketch: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+def _across(seen: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     """Pairs of a node whose ends are in different components."""
-    placed = leaf.select("key", "rep").join(found.withColumnRenamed("u", "rep"), "rep", "left")
-    placed = placed.select("key", "rep", F.coalesce("component", "rep").alias("c"))
-    parts = placed.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    seen = placed.join(mixed.select("key", "main"), "key").join(sketch, "rep")
+    seen = seen.join(sketch, "rep")
     x, y = seen.filter("c <> main").alias("x"), seen.alias("y")
     both = x.join(y, F.col("x.key") == F.col("y.key")).filter(
         (F.col("x.c") != F.col("y.c")) & ((F.col("y.c") == F.col("y.main")) | (F.col("x.rep") < F.col("y.rep"))) & _alike("x.s", "y.s", percent)
@@ -249,6 +276,71 @@ def _across(leaf: DataFrame, sketch: DataFrame, found: DataFrame, percent: int)
     return both.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all sets on the left and right."""
+    flat = np.concatenate([*left, *right])
+    words, place = np.unique(flat, return_inverse=True)
+    if (len(left) + len(right)) * len(words) > 1 << 26:
+        lengths = np.array([len(s) for s in right])
+        joined, bounds = np.concatenate(right), np.cumsum(lengths) - lengths
+        rows = []
+        for s in left:
+            hit = s[np.minimum(np.searchsorted(s, joined), len(s) - 1)] == joined
+            rows.append(np.add.reduceat(hit.astype(np.int64), bounds))
+        return np.array(rows)
+    holds = np.zeros((len(left) + len(right), len(words)), np.float32)
+    holds[np.repeat(np.arange(len(holds)), [len(s) for s in (*left, *right)]), place] = 1
+    return np.rint(holds[: len(left)] @ holds[len(left) :].T).astype(np.int64)
+
+
+def _in_blocks(seen: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) between the members outside their node's main component and
+    the members of others: both are cut into blocks of about BLOCK, and every
+    block of the ones meets every block of the others in a task that returns
+    the links only.
+
+    Nodes of one main component hold much the same members, so they are taken
+    together where that makes fewer comparisons than node by node.
+    """
+    out = F.when(F.col("c") != F.col("main"), F.col("rep"))
+    mains = seen.groupBy("main").agg(F.sum(F.when(F.col("c") != F.col("main"), F.col("members"))).alias("apart"), (F.count_distinct("rep") * F.count_distinct(out)).alias("together"))
+    key = F.when(F.col("together") <= F.col("apart"), F.xxhash64(F.lit("main"), F.col("main"))).otherwise(F.col("key"))
+    seen = fitted(seen.join(mains, "main").select(key.alias("key"), "rep", "c", "main").distinct())
+    sizes = seen.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count(out).alias("outside"))
+    seen = seen.join(sizes, "key")
+    grid = seen.select(
+        "key",
+        "rep",
+        "c",
+        (F.col("c") != F.col("main")).alias("out"),
+        F.ceil(F.col("members") / BLOCK).alias("across"),
+        F.ceil(F.col("outside") / BLOCK).alias("down"),
+    )
+    place = lambda n: F.pmod(F.xxhash64("rep", "key"), n)
+    # The outsiders' block goes along its row of the grid, the members' down its column.
+    asks = grid.filter("out").select("key", "rep", "c", F.lit(True).alias("asks"), place(F.col("down")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
+    told = grid.select("key", "rep", "c", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), place(F.col("across")).alias("j"))
+    reps = seen.select(F.col("rep").alias("doc_id")).distinct()
+    sets = cut(texts.join(reps, "doc_id", "left_semi").mapInArrow(_setter(size), "doc_id long, members binary"))
+
+    def compare(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("rep")
+        a, b = block[block["asks"]], block[~block["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"u": [], "v": []}, dtype="int64")
+        left, right = ([np.frombuffer(m, np.uint64) for m in side["members"]] for side in (a, b))
+        shared = overlaps(left, right)
+        union = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None] - shared
+        i, j = np.nonzero((shared * 100 >= union * percent) & (a["c"].to_numpy()[:, None] != b["c"].to_numpy()[None]))
+        ends = np.stack([a["rep"].to_numpy()[i], b["rep"].to_numpy()[j]]).astype(np.int64).reshape(2, -1)
+        # A member's least partner in each other component says it all.
+        links = pd.DataFrame({"u": ends[0], "v": ends[1], "c": b["c"].to_numpy()[j]})
+        return links.drop_duplicates(["u", "c"])[["u", "v"]]
+
+    rows = asks.union(told).join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    return rows.groupBy("key", "i", "j").applyInPandas(compare, "u long, v long").distinct()
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns."""
     gone = near_dedup(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()

@@ -39,6 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Rows for which a table of short rows gets a partition of its own.
+FIT_ROWS = 100_000
+
+
+def fitted(df: DataFrame) -> DataFrame:
+    """``cut(df)``, in as many partitions as its rows call for: what an
+    iteration starts from is often far smaller than what its partitions were
+    laid out for, and every task of it writes files."""
+    out = cut(df)
+    return out.coalesce(max(1, -(-out.count() // FIT_ROWS)))
+
+
 def fold_case(text: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

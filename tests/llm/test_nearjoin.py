@@ -1,6 +1,9 @@
 import random
 import re
 
+import numpy as np
+
+from tendril.llm import nearjoin
 from tendril.llm.components import components
 from tendril.llm.nearjoin import drop_near_copies, near_dedup
 
@@ -75,6 +78,26 @@ def test_matches_brute_force(spark):
         assert result(near_dedup(make(spark, rows), size=size)) == brute(rows, size)
 
 
+def test_branching_on_matches_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "NODE", 1)
+    rows = corpus(3)
+    assert result(near_dedup(make(spark, rows), size=2)) == brute(rows, 2)
+
+
+def test_blocks_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "GRID", 3)
+    monkeypatch.setattr(nearjoin, "COPIES_GRID", 1)
+    monkeypatch.setattr(nearjoin, "BLOCK", 8)
+    rows = corpus(4)
+    assert result(near_dedup(make(spark, rows), size=2)) == brute(rows, 2)
+
+
+def test_overlaps():
+    sets = [np.unique(np.random.default_rng(k).integers(0, 60, 25)).astype(np.uint64) for k in range(9)]
+    want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]
+    assert nearjoin.overlaps(sets[:4], sets[4:]).tolist() == want
+
+
 def test_documents_match_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     assert result(near_dedup(docs, size=2)) == brute([(r.doc_id, r.text) for r in docs.collect()], 2)
