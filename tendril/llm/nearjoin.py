@@ -38,7 +38,7 @@ from pyspark.sql.types import LongType
 
 from tendril.llm import kernel
 from tendril.llm.components import components
-from tendril.llm.shared import cut, fitted, small_batches
+from tendril.llm.shared import cut, fitted, small_batches, sweep
 
 TREES = 12
 COORDS = 64
@@ -238,6 +238,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = met.filter(_alike("x", "y", percent)).groupBy("rep", third).agg(F.min_by("pivot", apart).alias("v"))
     pairs = pairs.select(F.greatest("rep", "v").alias("u"), F.least("rep", "v").alias("v")).distinct()
     links = fitted(confirmed(fitted(pairs), texts, size, percent))
+    sweep(docs.sparkSession)
     found = fitted(components(links))
 
     # Members outside their node's main component and the members of others.
@@ -245,6 +246,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     seen = fitted(placed.join(parts.filter("parts > 1"), "key"))
     work = F.col("outside") * F.col("members")
     blocked = (work > GRID) | ((work > COPIES_GRID) & (F.col("outside") * 2 < F.col("members")))
+    sweep(docs.sparkSession)
     rest = fitted(_across(seen.filter(~blocked), sketch, percent))
     more = confirmed(rest, texts, size, percent) if not rest.isEmpty() else None
     large = seen.filter(blocked)
@@ -253,6 +255,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         more = blocks if more is None else more.union(blocks)
     if more is not None:
         more = fitted(more)
+        sweep(docs.sparkSession)
         if not more.isEmpty():
             found = fitted(components(more.union(found.select("u", F.col("component").alias("v")))))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -39,6 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now; it
+    goes by the driver's garbage, of which a driver that only plans has little."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows for which a table of short rows gets a partition of its own.
 FIT_ROWS = 100_000
 
