@@ -5,7 +5,11 @@ whose document counts in labelled rows tell the label, at most ``TERMS`` of
 them.  Its trie is intersected with the Levenshtein automaton of one edit; the
 product's states are made when a word first needs them and kept, so a word
 costs a table look-up a letter until no term is left.  Stems match words that
-start with them, terms of ``FUZZY`` letters and more also words one edit away.
+start with them, terms of ``FUZZY`` letters and more also words one edit away:
+whole words with the first letter right (from ``FIRST`` letters on any edit),
+stems with the first and the last letter right, for an edit of its last letter
+would make any stem a shorter one.  The learnt words under a stem are terms too,
+besides the ``TERMS``, so that their misspellings are found by the whole word.
 
 Every hit weighs its term's log-odds, and its context window: inside quotation
 marks, or next to words that report speech, it counts as quoted; near a second
@@ -40,6 +44,8 @@ CANDIDATES = 6_000
 LEAST_ODDS = 2.0
 LEAST_SURE = 24.0
 FUZZY = 5
+#: Letters from which a whole word may also be misspelled in its first letter.
+FIRST = 10
 STEMS = range(4, 9)
 WINDOW = 12
 THRESHOLD = 0.3
@@ -62,6 +68,8 @@ class Lexicon:
         self.weights = [w for _, _, w in terms]
         self.children: list[dict[str, int]] = [{}]
         self.whole, self.stem, self.length = [-1], [-1], [0]
+        #: The length of the longest whole word at or below each node.
+        self.longest = [0]
         for t, (term, is_stem, _) in enumerate(terms):
             node = 0
             for char in term:
@@ -71,22 +79,32 @@ class Lexicon:
                     self.whole.append(-1)
                     self.stem.append(-1)
                     self.length.append(self.length[node] + 1)
+                    self.longest.append(0)
                 node = self.children[node][char]
+                if not is_stem:
+                    self.longest[node] = max(self.longest[node], len(term))
             (self.stem if is_stem else self.whole)[node] = t
         self._reset()
 
     def _reset(self) -> None:
-        self.states: dict[frozenset, int] = {frozenset({(0, 0)}): 0}
-        self.sets: list[frozenset] = [frozenset({(0, 0)})]
+        # (node, edits); 2 stands for one edit, of the first letter.
+        start = {(0, 0)} | {(child, 2) for child in self.children[0].values() if self.longest[child] >= FIRST}
+        self.states: dict[tuple[frozenset, frozenset], int] = {(frozenset(start), frozenset()): 0}
+        self.sets: list[frozenset] = [frozenset(start)]
         self.steps: list[dict[str, int]] = [{}]
-        self.ends: list[tuple[int, int]] = [(-1, -1)]
+        #: By state: exact word, exact stem, misspelled word, misspelled stem.
+        self.ends: list[tuple[int, int, int, int]] = [(-1, -1, -1, -1)]
         self.known: dict[str, tuple[int, bool] | None] = {}
 
+    def _best(self, terms: list[int]) -> int:
+        return max((t for t in terms if t >= 0), key=lambda t: (self.weights[t], -t), default=-1)
+
     def _step(self, state: int, char: str) -> int:
         reached: dict[int, int] = {}
+        stems = set()
 
         def reach(node: int, edits: int) -> None:
-            if reached.get(node, 9) > edits:
+            if reached.get(node, 9) > edits and (edits < 2 or not node or self.longest[node] >= FIRST):
                 reached[node] = edits
                 if edits == 0 and node:  # a letter of the term is missing from the word
                     for child in self.children[node].values():
@@ -94,23 +112,25 @@ class Lexicon:
 
         for node, edits in self.sets[state]:
             if char in self.children[node]:
-                reach(self.children[node][char], edits)
-            if edits == 0 and node:  # the first letter is always right
-                reach(node, 1)
+                child = self.children[node][char]
+                reach(child, edits)
+                if edits == 1 and self.stem[child] >= 0 and self.length[child] >= FUZZY:
+                    stems.add(self.stem[child])
+            if edits == 0:
+                reach(node, 1 if node else 2)
                 for child in self.children[node].values():
-                    reach(child, 1)
-        key = frozenset(reached.items())
-        if not key:
+                    reach(child, 1 if node else 2)
+        key = frozenset(reached.items()), frozenset(stems)
+        if not reached:
             return -1
         if key not in self.states:
             self.states[key] = len(self.sets)
-            self.sets.append(key)
+            self.sets.append(key[0])
             self.steps.append({})
-            exact = [self.whole[n] for n, e in key if e == 0 and self.whole[n] >= 0]
-            near = [self.whole[n] for n, e in key if e == 1 and self.whole[n] >= 0 and self.length[n] >= FUZZY]
-            stems = [self.stem[n] for n, e in key if e == 0 and self.stem[n] >= 0]
-            best = lambda ts: max(ts, key=lambda t: (self.weights[t], -t), default=-1)
-            self.ends.append((exact[0] if exact else -1, best(near)) if not stems else (stems[0] if not exact else exact[0], -2 - stems[0]))
+            exact = [self.whole[n] for n, e in key[0] if e == 0]
+            exact_stems = [self.stem[n] for n, e in key[0] if e == 0]
+            near = [self.whole[n] for n, e in key[0] if e and self.length[n] >= (FUZZY if e == 1 else FIRST)]
+            self.ends.append((self._best(exact), self._best(exact_stems), self._best(near), self._best([*stems])))
         return self.states[key]
 
     def look(self, word: str) -> tuple[int, bool] | None:
@@ -119,7 +139,7 @@ class Lexicon:
             return self.known[word]
         if len(self.known) >= MEMORY or len(self.sets) >= MEMORY:
             self._reset()
-        state, stem = 0, -1
+        state, stem, near_stem = 0, -1, -1
         for char in word:
             after = self.steps[state].get(char)
             if after is None:
@@ -127,9 +147,13 @@ class Lexicon:
             state = after
             if state < 0:
                 break
-            if self.ends[state][1] <= -2:
-                stem = -2 - self.ends[state][1]
-        exact, near = self.ends[state] if state > 0 else (-1, -1)
+            _, here, _, near_here = self.ends[state]
+            if here >= 0:
+                stem = here
+            if near_here >= 0:
+                near_stem = self._best([near_stem, near_here])
+        exact, _, near, _ = self.ends[state] if state > 0 else (-1, -1, -1, -1)
+        near = self._best([near, near_stem])
         found = (exact, True) if exact >= 0 else (stem, True) if stem >= 0 else (near, False) if near >= 0 else None
         self.known[word] = found
         return found
@@ -174,7 +198,8 @@ def _terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
-    """(term, is a stem, weight), at most TERMS of them."""
+    """(term, is a stem, weight): at most TERMS, and after them the words under
+    their stems, at most CANDIDATES in all."""
     sizes = sample.agg(F.count_if(F.col("label") > 0).alias("toxic"), F.count_if(F.col("label") <= 0).alias("clean")).first()
     if not sizes.toxic or not sizes.clean:
         return []
@@ -197,9 +222,13 @@ def learn_terms(sample: DataFrame) -> list[tuple[str, bool, float]]:
     stems = {r.term[:-1]: r for r in rows if r.term.endswith("*") and most.get(r.term, 0) < 0.6 * r.toxic}
     stems = {s: r for s, r in stems.items() if not any(s[:k] in stems and stems[s[:k]].odds >= r.odds - 0.3 for k in range(STEMS.start, len(s)))}
     kept = [(s, True, r.odds, r.toxic) for s, r in stems.items()]
-    kept += [(w, False, r.odds, r.toxic) for w, r in words.items() if not any(w[:k] in stems and stems[w[:k]].odds >= r.odds - 0.3 for k in STEMS if k < len(w))]
+    under = {w for w in words if any(w[:k] in stems and stems[w[:k]].odds >= words[w].odds - 0.3 for k in STEMS if k < len(w))}
+    kept += [(w, False, r.odds, r.toxic) for w, r in words.items() if w not in under]
     kept.sort(key=lambda t: (-t[2] * math.log1p(t[3]), t[0]))
-    return [(t, stem, float(o)) for t, stem, o, _ in kept[:TERMS]]
+    terms = [(t, stem, float(o)) for t, stem, o, _ in kept[:TERMS]]
+    held = {t for t, stem, _ in terms if stem}
+    # A stem tells these words as they are; they are here for their misspellings.
+    return terms + [(w, False, float(words[w].odds)) for w in sorted(under) if any(w[:k] in held for k in STEMS if k < len(w))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:

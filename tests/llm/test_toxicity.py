@@ -1,6 +1,6 @@
 import random
 
-from tendril.llm.toxicity import Lexicon, score_toxicity
+from tendril.llm.toxicity import FIRST, FUZZY, Lexicon, learn_terms, score_toxicity
 
 SCHEMA = "doc_id long, text string, label int, exact string"
 
@@ -59,3 +59,37 @@ def test_odd_rows(spark):
     rows = score_toxicity(docs, none).collect()
     assert len(rows) == 4 and {r.score for r in rows} == {0.5}
     assert score_toxicity(docs.limit(0), none).count() == 0
+
+
+def test_misspelled_stems_and_first_letters():
+    rng = random.Random(2)
+    terms = [("lowei", True), ("worthl", True), ("idio", True), ("verachtens", False), ("blockheadedness", False), ("stupid", False)]
+    lexicon = Lexicon([(t, stem, 1.0) for t, stem in terms])
+    words = {"lowi", "loweei", "wrthless", "worhtless", "orthless", "lower", "idoit", "lockheadedness", "xverachtens", "tupid"}
+    for _ in range(4000):
+        w = list(rng.choice(terms)[0] + rng.choice(["", "schaft", "ess", "t"]))
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "o", "t", "s"])
+        words.add("".join(w))
+    for w in words - {""}:
+        right, near = set(), set()
+        for k, (t, stem) in enumerate(terms):
+            if w.startswith(t) if stem else w == t:
+                right.add((k, True))
+            elif stem and len(t) >= FUZZY and w[0] == t[0]:
+                heads = [w[:n] for n in range(2, len(w) + 1) if w[n - 1] == t[-1]]
+                if any(distance(h[:-1], t[:-1]) == 1 for h in heads):
+                    near.add((k, False))
+            elif not stem and len(t) >= (FUZZY if w[0] == t[0] else FIRST) and distance(w, t) == 1:
+                near.add((k, False))
+        found = lexicon.look(w)
+        assert found in right if right else found in near if near else found is None, (w, found)
+
+
+def test_words_under_a_stem_are_learnt(spark):
+    toxic = [f"plain {w} text" for w in ("idiotic", "idiocy", "idioten") for _ in range(20)]
+    rows = [(t, 1) for t in toxic] + [("plain other text", 0)] * 60
+    terms = learn_terms(spark.createDataFrame(rows, "text string, label int"))
+    assert ("idio", True) in {t[:2] for t in terms} and {t for t, stem, _ in terms if not stem} == {"idiotic", "idiocy", "idioten"}
+    assert Lexicon(terms).look("idotic") is not None and Lexicon(terms).look("idiotic")[1]
