@@ -1,9 +1,9 @@
 """Candidate search: score, adjust, rank, pick.
 
 ``best_fuzzy`` scores a stated query set against distinct names.  Names and
-queries are made distinct first, so the scorer sees a pair once; the query side
-is broadcast only below ``MOST_QUERIES`` rows, and above that ``blocked_pairs``
-finds pairs by equal names and by shared words instead.
+queries are made distinct first, so the scorer sees a pair once.  Every pair is
+scored at every size: up to ``MOST_QUERIES`` queries are broadcast, more meet the
+names block by block, so a change of size never changes a result.
 """
 
 from __future__ import annotations
@@ -22,11 +22,14 @@ def pairs(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     ``choice`` are normalised."""
     asked = queries.select("query").filter("query <> ''").distinct()
     names = corpus.select("choice").filter("choice <> ''").distinct()
-    if asked.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        return blocked_pairs(asked, names)
     # Few rows make many pairs: deal them out before the scorer.
-    dealt = names.repartition(names.sparkSession.sparkContext.defaultParallelism * 2)
-    return dealt.join(F.broadcast(asked))
+    parts = names.sparkSession.sparkContext.defaultParallelism * 2
+    if asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
+        return names.repartition(parts).join(F.broadcast(asked))
+    # A task takes one block of each side; none is sent to the driver.
+    blocks = -(-asked.count() // MOST_QUERIES)
+    parts *= max(1, -(-names.count() // MOST_QUERIES))
+    return names.repartition(parts).join(asked.repartition(blocks).hint("shuffle_replicate_nl"))
 
 
 def blocked_pairs(queries: DataFrame, corpus: DataFrame, share: float = 0.5) -> DataFrame:

@@ -122,3 +122,15 @@ def test_sessions(spark):
     s = spark.sql("SELECT id session_id, timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,0,id * 600) created_at FROM range(100)")
     alive = R.alive_sessions(s, F.to_timestamp(F.lit("2024-01-01 16:30:00")))
     assert sorted(r.session_id for r in alive.collect()) == list(range(70, 100))
+
+
+def test_blocks_of_queries_change_no_result(spark, monkeypatch):
+    names = ["микрофон", "микрафон", "аудио система", "аудиосистема", "весы лабораторные", "весы лабораторной", "стол письменный белый дуб", "стол дубовый", "стул"]
+    items = spark.createDataFrame([(k, n, "") for k, n in enumerate(names)], "item_id int, name string, specifications string")
+    rows = spark.createDataFrame(list(enumerate(names)), "row_idx int, name string")
+    q = spark.createDataFrame([(n,) for n in names], "query string")
+    result = lambda: (sorted(map(tuple, M.scored(M.pairs(q, q.withColumnRenamed("query", "choice"))).collect())), sorted(map(tuple, M.best_fuzzy(items, rows).collect())))
+    whole = result()
+    monkeypatch.setattr(M, "MOST_QUERIES", 2)
+    assert result() == whole and len(whole[0]) == len(names) ** 2
+    assert "CartesianProduct" in M.pairs(q, q.withColumnRenamed("query", "choice"))._jdf.queryExecution().toString()
