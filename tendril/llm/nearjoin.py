@@ -11,14 +11,17 @@ Small nodes are compared exhaustively, but pairs that are connected already
 need no look: first each node picks a pivot and each member meets the likeliest
 of its pivots, links are confirmed on full sets and components taken; then, node
 by node, members outside the node's main component meet all members of the
-others: pair by pair in small nodes, block by block in large ones.  Nodes with
-more than ``NODE`` members outside branch on first, to ``DEEPEST`` levels.  So a
-node of copies costs its size and not its square, and no pair of a node is left
-out unless its ends are connected anyhow.  2-bit minwise sketches and set sizes
+others: pair by pair in small nodes, block by block in large ones, at every size:
+no node is branched further, for that would cost recall.  So a node of copies
+costs its size and not its square, and no pair of a node is left out unless its
+ends are connected anyhow; a node of many unconnected members costs members
+outside its main component times members.  2-bit minwise sketches and set sizes
 (both far below the threshold) spare pairs the look at full sets.
 
 Missed links come from paths only: a pair at 0.8 misses one tree with
-probability 0.36 and all twelve with 4e-6; more similar pairs far less often.
+probability 0.36.  All twelve would be 4e-6 if the trees were independent, but
+they draw from the same ``COORDS`` tokens: over the spread of agreeing positions
+(binomial 64, 0.8) it is about 6e-5; more similar pairs miss far less often.
 
 Defined cases: no words (or null text): empty set, linked with nothing; rows of
 one id are one vertex; rows without id stay unlinked (component_id null, kept);
@@ -42,9 +45,9 @@ from tendril.llm.shared import cut, fitted, small_batches, sweep
 
 TREES = 12
 COORDS = 64
-#: Levels that every document descends, and the most that one can.
+#: Levels that every document descends.
 FIRST_LEVEL = 3
-DEEPEST = 8
+#: Members outside the main component above which a node always goes by blocks.
 NODE = 4096
 #: Members compared at once, and comparisons from which a node is cut into
 #: blocks: a mixed one (sketches spare most of its pairs), one of mostly copies.
@@ -135,13 +138,6 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at])], ["key", "rep"])
 
 
-def _descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("rep").to_numpy()
-        key, at = _children(batch.column("key").to_numpy().view(np.uint64), np.arange(len(ids)), _matrix(batch.column("tokens")))
-        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[at])], ["key", "rep"])
-
-
 def _grouped(nodes: DataFrame) -> DataFrame:
     """(key, rep, pivot) for nodes of two members or more; the pivot is a
     member that a hash of node and member picks."""
@@ -159,23 +155,6 @@ def _parts(nodes: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return placed, parts.groupBy("key").agg(F.max_by("c", "n").alias("main"), F.count(F.lit(1)).alias("parts"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("outside"))
 
 
-def _small(nodes: DataFrame, found: DataFrame, reps: DataFrame) -> DataFrame:
-    """(key, rep) of nodes with at most NODE members outside their main
-    component (or at the DEEPEST level), reached by branching the others."""
-    out, level = None, FIRST_LEVEL
-    while True:
-        placed, parts = _parts(nodes, found)
-        sized = fitted(placed.join(parts.filter("parts > 1").select("key", "outside"), "key"))
-        done = sized if level >= DEEPEST else sized.filter(F.col("outside") <= NODE)
-        out = done.select("key", "rep") if out is None else out.union(done.select("key", "rep"))
-        large = sized.filter(F.col("outside") > NODE).select("key", "rep")
-        if level >= DEEPEST or large.isEmpty():
-            return out
-        tokens = reps.select(F.col("doc_id").alias("rep"), "tokens")
-        deeper = large.join(tokens, "rep").select("key", "rep", "tokens").mapInArrow(_descend, "key long, rep long")
-        nodes, level = _grouped(deeper.distinct()), level + 1
-
-
 def _alike(x: str, y: str, percent: int) -> Column:
     """Whether sizes and sketches leave the pair a chance."""
     apart = (F.col(f"{x}.low").bitwiseXOR(F.col(f"{y}.low"))).bitwiseOR(F.col(f"{x}.high").bitwiseXOR(F.col(f"{y}.high")))
@@ -242,10 +221,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = fitted(components(links))
 
     # Members outside their node's main component and the members of others.
-    placed, parts = _parts(_small(nodes, found, reps), found)
+    placed, parts = _parts(nodes, found)
     seen = fitted(placed.join(parts.filter("parts > 1"), "key"))
     work = F.col("outside") * F.col("members")
-    blocked = (work > GRID) | ((work > COPIES_GRID) & (F.col("outside") * 2 < F.col("members")))
+    blocked = (F.col("outside") > NODE) | (work > GRID) | ((work > COPIES_GRID) & (F.col("outside") * 2 < F.col("members")))
     sweep(docs.sparkSession)
     rest = fitted(_across(seen.filter(~blocked), sketch, percent))
     more = confirmed(rest, texts, size, percent) if not rest.isEmpty() else None

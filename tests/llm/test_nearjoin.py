@@ -116,3 +116,14 @@ def test_components_of_a_chain(spark):
     links = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100), (7, 7)]
     got = {r.u: r.component for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_large_nodes_keep_their_recall(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "NODE", 0)
+    rng, rows = random.Random(8), []
+    common = [f"c{k}" for k in range(38)]  # words that all pairs share, so that most of a pair's nodes are large
+    for k in range(700):  # pairs at exactly 0.8, below it to all others
+        own = [f"w{rng.getrandbits(40)}" for _ in range(12)]
+        rows += [(2 * k, " ".join(common + own[:7])), (2 * k + 1, " ".join(common + own[5:]))]
+    got = result(near_dedup(make(spark, rows), size=1))
+    assert [k for k in range(700) if got[2 * k + 1][1] != 2 * k] == []
