@@ -91,7 +91,7 @@ FROM r
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return substring_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), tails=True)
 
 
 QUERIES["op1_substring_dedup"] = op1_substring_dedup

@@ -4,7 +4,10 @@ A sentence ends with a word that ends in ``.``, ``!`` or ``?`` (closing quotes
 and brackets aside), at a line feed, or with its text; one of over ``LONG``
 words also ends at commas and semicolons.  At every sentence starts a *span*:
 the shortest run of at least two sentences that has ``WORDS`` words, or the
-sentence alone if it has ``ALONE`` words.  Spans are hashed to 128 bits over
+sentence alone if it has ``ALONE`` words.  With ``tails`` a span also ends at
+every sentence, the shortest such run up to it, and a sentence of ``WORDS`` words
+is a span alone: then a repeated run of whole sentences with ``WORDS`` words is
+covered to its last sentence, whatever stands before and behind it.  Spans are hashed to 128 bits over
 their words, so white space doesn't matter; they are counted and their first
 document (least id) found by a partial and a final aggregation; and every
 sentence that a repeated span covers is removed from all but its first place:
@@ -22,6 +25,7 @@ gives no rows; other columns are kept as they are.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +55,11 @@ _ADDED = StructType([StructField("text", StringType()), StructField("n_sentences
 class Sentences:
     """The sentences of a slab and the spans that start at them."""
 
-    def __init__(self, s: kernel.Slab):
-        self.slab = s
+    def __init__(self, s: kernel.Slab, tails: bool = False):
+        self.slab, self.tails = s, tails
         n = len(s.starts)
         if not n:
-            self.first = self.last = self.row = self.upto = np.zeros(0, np.int64)
+            self.first = self.last = self.row = self.start = self.upto = np.zeros(0, np.int64)
             self.spans = np.zeros(0, bool)
             self.h1 = self.h2 = np.zeros(0, np.int64)
             return
@@ -79,27 +83,37 @@ class Sentences:
     def _span(self) -> None:
         s, count = self.slab, self.last - self.first
         k = len(count)
-        #: The sentence (exclusive) to which each sentence's span runs.
+        #: The sentences (the last exclusive) from and to which each span runs.
+        self.start = np.arange(k)
         upto = np.searchsorted(self.last, self.first + WORDS) + 1
-        upto = np.maximum(upto, np.arange(k) + 2)
-        self.upto = np.where(count >= ALONE, np.arange(k) + 1, upto)
+        upto = np.maximum(upto, self.start + 2)
+        alone = count >= (WORDS if self.tails else ALONE)
+        self.upto = np.where(alone, self.start + 1, upto)
+        if self.tails:
+            back = np.minimum(np.searchsorted(self.first, self.last - WORDS, "right") - 1, np.arange(k) - 1)
+            ends = np.flatnonzero((back >= 0) & ~alone)
+            ends = ends[self.upto[back[ends]] != ends + 1]  # those are spans already
+            start, upto = np.append(self.start, back[ends]), np.append(self.upto, ends + 1)
+            order = np.argsort(start, kind="stable")
+            self.start, self.upto = start[order], upto[order]
         end = np.minimum(self.upto, k) - 1
-        self.spans = (self.upto <= k) & (self.row[end] == self.row)
+        self.spans = (self.upto <= k) & (self.row[end] == self.row[self.start])
+        begin, end = self.first[self.start], self.last[end]
         words = s.hashes(fold=False)
         hashes = []
         for salt in (1, 2):
             sums = np.zeros(len(words) + 1, np.uint64)
             np.cumsum(kernel.mix(words + _U(salt)) * kernel._power(_BASE, len(words)), out=sums[1:])
             back = kernel._power(pow(_BASE, -1, 2**64), len(words) + 1)
-            part = (sums[self.last[end]] - sums[self.first]) * back[self.first]
-            hashes.append(kernel.mix(part ^ (self.last[end] - self.first).astype(np.uint64)).view(np.int64))
+            part = (sums[end] - sums[begin]) * back[begin]
+            hashes.append(kernel.mix(part ^ (end - begin).astype(np.uint64)).view(np.int64))
         self.h1, self.h2 = hashes
 
-    def covered(self, start: np.ndarray) -> np.ndarray:
-        """Whether each sentence lies in a span of one of these sentences."""
+    def covered(self, spans: np.ndarray) -> np.ndarray:
+        """Whether each sentence lies in one of these spans."""
         edge = np.zeros(len(self.first) + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.subtract.at(edge, self.upto[start], 1)
+        np.add.at(edge, self.start[spans], 1)
+        np.subtract.at(edge, self.upto[spans], 1)
         return np.cumsum(edge[:-1]) > 0
 
 
@@ -109,26 +123,26 @@ def _keys(h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(batches: Iterator[pa.RecordBatch], tails: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column("id").to_numpy()
         for s in kernel.slabs(batch.column("text")):
-            own = Sentences(s)
+            own = Sentences(s, tails)
             at = np.flatnonzero(own.spans)
             if len(at):
-                keys = np.unique(_keys(own.h1[at], own.h2[at], own.row[at]))
+                keys = np.unique(_keys(own.h1[at], own.h2[at], own.row[own.start[at]]))
                 yield pa.RecordBatch.from_arrays([pa.array(keys["h1"]), pa.array(keys["h2"]), pa.array(ids[s.first + keys["row"]])], ["h1", "h2", "id"])
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(batches: Iterator[pa.RecordBatch], tails: bool = False) -> Iterator[pa.RecordBatch]:
     names = _ADDED.names
     for batch in batches:
         texts, counts, removed = [], [], []
         gone, column = batch.column("_gone"), batch.column("_text")
         for s in kernel.slabs(column):
-            own, part = Sentences(s), gone.slice(s.first, s.rows)
+            own, part = Sentences(s, tails), gone.slice(s.first, s.rows)
             at = np.flatnonzero(own.spans)
-            keys = _keys(own.h1[at], own.h2[at], own.row[at])
+            keys = _keys(own.h1[at], own.h2[at], own.row[own.start[at]])
             # Later places of a span in its own document.
             _, place = np.unique(keys, return_index=True)
             drop = np.ones(len(at), bool)
@@ -168,12 +182,12 @@ def _without(data: bytes, own: Sentences, hit: np.ndarray, a: int, b: int, begin
     return b"".join(parts).decode().rstrip(" \t\n\x0b\x0c\r")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tails: bool = False) -> DataFrame:
     """``docs`` with repeated passages out of its text, and the columns
     n_sentences and n_removed after the others (in place of like-named ones)."""
     small_batches(docs.sparkSession)
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    spans = docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(_spans, "h1 long, h2 long, id long")
+    spans = docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_spans, tails=tails), "h1 long, h2 long, id long")
     firsts = spans.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("final")).filter(F.col("first") < F.col("final"))
     later = spans.join(firsts, ["h1", "h2"]).filter(F.col("id") > F.col("first"))
     gone = later.groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
@@ -182,7 +196,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.select(rest.alias("_rest"), F.col(text_col).alias("_text"), key.alias("_key"))
     joined = keyed.join(gone, F.col("_key") == F.col("_gone_id"), "left").select("_rest", "_text", "_gone")
     schema = StructType([joined.schema["_rest"], *_ADDED.fields])
-    out = joined.mapInArrow(_cleaned, schema)
+    out = joined.mapInArrow(partial(_cleaned, tails=tails), schema)
     back = {c: F.col("_rest").getField(c) for c in others} | {text_col: F.col("text")}
     return out.select(*[back[c].alias(c) for c in docs.columns if c in back], "n_sentences", "n_removed")
 

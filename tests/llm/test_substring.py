@@ -116,3 +116,35 @@ def test_empty_and_repeated(spark):
     text = " ".join(f"w{k}" for k in range(60)) + "."
     rows = [tuple(r) for r in substring_dedup(make(spark, [(3, text), (3, text), (7, text), (None, text)])).select("doc_id", "n_removed").collect()]
     assert sorted(rows, key=str) == [(3, 0), (3, 0), (7, 1), (None, 1)]
+
+
+def both_ways(text):
+    parts, out = sentences(text), set()
+    for i in range(len(parts)):
+        for way in (1, -1):
+            j, n = i, 0
+            while 0 <= j < len(parts) and (n < WORDS or abs(j - i) < 2) and not (j != i and len(parts[i]) >= WORDS):
+                n += len(parts[j])
+                j += way
+            if n >= WORDS and (abs(j - i) >= 2 or len(parts[i]) >= WORDS):
+                a, b = (i, j) if way > 0 else (j + 1, i + 1)
+                out.add((a, b, tuple(text[x:y] for p in parts[a:b] for x, y in p)))
+    return parts, sorted(out)
+
+
+def test_tails_match_brute_force(spark, monkeypatch):
+    rows = corpus()
+    monkeypatch.setitem(globals(), "spans", both_ways)
+    want = brute(rows)
+    assert result(substring_dedup(make(spark, rows).repartition(6), tails=True)) == want
+
+
+def test_planted_passages_go_to_the_last_sentence(spark):
+    line = lambda name, n: " ".join(f"{name}{k}" for k in range(n)) + "."
+    uneven = f"{line('a', 30)} {line('b', 12)} {line('c', 10)}"
+    glued = f"{line('d', 26)} {line('e', 30)}"
+    rows = [(k, f"{line(f'x{k}y', 9)} {uneven} {line(f'u{k}v', 40)}") for k in range(3)]
+    rows += [(k, f"no stop {k} {glued} {line(f'z{k}w', 9)}") for k in range(5, 8)]
+    got = result(substring_dedup(make(spark, rows), tails=True))
+    assert [got[k][2] for k in range(3)] == [0, 3, 3] and [got[k][2] for k in range(5, 8)] == [0, 1, 1]
+    assert "c9." not in got[1][0] and "e29." not in got[6][0] and "u1v39." in got[1][0]
