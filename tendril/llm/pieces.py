@@ -4,11 +4,12 @@ The model is a merge-type (BPE) SentencePiece vocabulary with byte fallback.  A
 text is cut into units, a word with the white space before it; pieces don't
 reach from one unit into the next.  A unit's characters are merged by an agenda
 of candidate merges, best score first, leftmost of ties; a candidate that comes
-up is skipped if a keyed hash of (seed, variant, unit, place, length) is below
-``dropout``, and isn't tried again unless a neighbour's merge makes it anew.  A
-unit's variant is a keyed hash of its document and place, one of ``VARIANTS``, so
-the same word is cut in different ways in different places, every run cuts it
-the same, and a worker can remember what it has cut.
+up is skipped if a keyed hash of (seed, document, place of the unit, place and
+length in it) is below ``dropout``, and isn't tried again unless a neighbour's
+merge makes it anew.  So every occurrence of a word is cut by itself, and every
+run cuts it the same.  A worker remembers the cut of a unit without skips and the
+merges that lead to it: an occurrence that skips none of them has that cut, and
+only the others are merged anew.
 
 With a dropout of 0 the ids are the library's.  Decoding gives the text back
 byte by byte for every dropout; a literal U+2581, which the library reads as a
@@ -35,7 +36,6 @@ from tendril.llm.shared import small_batches
 
 DROPOUT = 0.1
 SEED = 42
-VARIANTS = 4
 #: Entries of a worker's memory of units, and the longest kept.
 MEMORY = 700_000
 LONGEST = 48
@@ -55,6 +55,10 @@ def _mix(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _step(place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return place.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + length.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
+
+
 def _slot(code: np.ndarray) -> np.ndarray:
     return ((code.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - SLOT_BITS)).astype(np.int64)
 
@@ -100,7 +104,8 @@ class Pieces:
             if len(p) == 1:
                 self.char[ord(p)] = i
         self.char[0x20], self.char[0x2581] = self.id.get(_SPACE, -1), -1
-        self.known: dict[tuple[bytes, int], bytes] = {}
+        #: By unit: its ids without skips, and the merges that lead to them.
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
 
     def _pair(self, code: np.ndarray) -> np.ndarray:
         """The merge of each pair of pieces, or -1."""
@@ -113,9 +118,10 @@ class Pieces:
             odd = odd[(found[odd] >= 0) & (self.pairs[found[odd]] != code[odd])]
         return found
 
-    def merge_all(self, texts: list[str], keys: np.ndarray, dropout: float) -> list[bytes]:
+    def merge_all(self, texts: list[str], keys: np.ndarray, dropout: float, made: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
         """The ids of many short units: a round merges the candidate of each
-        unit that its agenda would bring up next."""
+        unit that its agenda would bring up next.  ``made`` gets the merges,
+        as units and what the skip hash takes of a merge."""
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         unit = np.repeat(np.arange(len(texts)), sizes)
@@ -132,24 +138,26 @@ class Pieces:
             pair = self._pair(symbol[i] * self.size + symbol[i + 1])
             i, pair = i[pair >= 0], pair[pair >= 0]
             if least:
-                step = place[i].astype(np.uint64) * _U(0x9E3779B97F4A7C15) + (length[i] + length[i + 1]).astype(np.uint64) * _U(0xD6E8FEB86659FD93)
-                stays = kernel.mix(keys[unit[i]] ^ step) >= least
+                stays = kernel.mix(keys[unit[i]] ^ _step(place[i], length[i] + length[i + 1])) >= least
                 i, pair = i[stays], pair[stays]
             whole[i], order[i] = self.whole[pair], (self.rank[pair] << 16) | place[i]
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
-            best = np.minimum.reduceat(order, starts)
-            over = np.repeat(best == none, np.diff(np.append(starts, len(unit))))
+            best = np.repeat(np.minimum.reduceat(order, starts), np.diff(np.append(starts, len(unit))))
+            over = best == none
             done.append((unit[over], place[over], symbol[over]))
             # Turns of a unit differ by place, so one pair of it has the best.
-            win = np.flatnonzero((order == np.repeat(best, np.diff(np.append(starts, len(unit))))) & ~over)
+            win = np.flatnonzero((order == best) & ~over)
             symbol[win] = whole[win]
             length[win] += length[win + 1]
+            if made is not None:
+                made.append((unit[win], _step(place[win], length[win])))
             stay = ~over
             stay[win + 1] = False
             moved = np.cumsum(stay)[win] - 1
             unit, place, symbol, length, whole, order = unit[stay], place[stay], symbol[stay], length[stay], whole[stay], order[stay]
-            changed = np.union1d(moved, moved - 1)
-            changed = changed[(changed >= 0) & (changed < len(unit) - 1)]
+            touched = np.zeros(len(unit) + 1, bool)
+            touched[moved] = touched[moved - 1] = True  # -1 is the spare last place
+            changed = np.flatnonzero(touched[: max(0, len(unit) - 1)])
             if len(unit):
                 order[-1] = none
                 # A unit's last symbol has no pair of its own.
@@ -166,9 +174,9 @@ class Pieces:
             out[u] = np.asarray(sum(ids, []), "<i4").tobytes()
         return out
 
-    def units(self, names: list[tuple[bytes, int]], keys: np.ndarray, dropout: float) -> list[bytes]:
+    def units(self, names: list[bytes], keys: np.ndarray, dropout: float) -> list[bytes]:
         """The ids of units, each with its key."""
-        texts = [n.decode() for n, _ in names]
+        texts = [n.decode() for n in names]
         short = [k for k, t in enumerate(texts) if len(t) < ALONE]
         out = [b""] * len(names)
         for k, ids in zip(short, self.merge_all([texts[k] for k in short], keys[short], dropout), strict=True):
@@ -178,6 +186,17 @@ class Pieces:
                 out[k] = self.unit(t, int(keys[k]), dropout)
         return out
 
+    def plain(self, names: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """The ids of short units without skips, and the merges made."""
+        made: list[tuple[np.ndarray, np.ndarray]] = []
+        ids = self.merge_all([n.decode() for n in names], np.zeros(len(names), np.uint64), 0.0, made)
+        unit = np.concatenate([u for u, _ in made]) if made else np.zeros(0, np.int64)
+        step = np.concatenate([x for _, x in made]) if made else np.zeros(0, np.uint64)
+        order = np.argsort(unit, kind="stable")
+        bounds = np.searchsorted(unit[order], np.arange(len(names) + 1)).tolist()
+        data = step[order].tobytes()
+        return [(i, data[8 * a : 8 * b]) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)]
+
     def merge(self, text: str, key: int, dropout: float) -> list[str | None]:
         """The pieces of a unit; None takes the place of a literal U+2581."""
         part: list[str | None] = [_SPACE if c == " " else None if c == _SPACE else c for c in text]
@@ -228,13 +247,21 @@ class Pieces:
             first = np.append(True, row[1:] != row[:-1]) if len(row) else np.zeros(0, bool)
             place = np.arange(len(row)) - np.searchsorted(row, row)
             salt = keys[s.first : s.last].astype(np.uint64)[row] * _U(0x9E3779B97F4A7C15) + place.astype(np.uint64)
-            variant = kernel.mix(salt + _U(seed & _M64)) % _U(VARIANTS) if dropout else np.zeros(len(row), np.uint64)
-            hashes = kernel.span_hashes(s.data, starts, ends)
-            full = kernel.mix(hashes + first.astype(np.uint64) * _U(0x2545F4914F6CDD1D) + variant)
+            keyed = kernel.mix(salt + _U(seed & _M64))
+            full = kernel.mix(kernel.span_hashes(s.data, starts, ends) + first.astype(np.uint64) * _U(0x2545F4914F6CDD1D))
             _, at, back = np.unique(full, return_index=True, return_inverse=True)
             data = s.data.tobytes()
-            names = [(b" " + data[a:b] if lead else data[a:b], v) for a, b, lead, v in zip(starts[at].tolist(), ends[at].tolist(), first[at].tolist(), variant[at].tolist(), strict=True)]
-            values = self._values(names, kernel.mix(full[at] + _U(seed & _M64)), dropout)
+            names = [b" " + data[a:b] if lead else data[a:b] for a, b, lead in zip(starts[at].tolist(), ends[at].tolist(), first[at].tolist(), strict=True)]
+            values = self._values(names)
+            if dropout and len(names):
+                anew = np.flatnonzero(_skips(values, back, keyed, dropout))
+                values = [v or (b"", None) for v in values] + [(i, None) for i in self.units([names[k] for k in back[anew].tolist()], keyed[anew], dropout)]
+                back[anew] = len(names) + np.arange(len(anew))
+            elif names:
+                long = [k for k, v in enumerate(values) if v is None]
+                for k, ids in zip(long, self.units([names[k] for k in long], np.zeros(len(long), np.uint64), 0.0), strict=True):
+                    values[k] = ids, None
+            values = [ids for ids, _ in values]
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
             ids = np.frombuffer(b"".join(values), "<i4")
             begin, size = np.cumsum(sizes) - sizes, sizes[back]
@@ -245,18 +272,19 @@ class Pieces:
             for r in range(s.rows):
                 yield ids[bounds[r] : bounds[r + 1]]
 
-    def _values(self, names: list[tuple[bytes, int]], keys: np.ndarray, dropout: float) -> list[bytes]:
-        new = [k for k, n in enumerate(names) if n not in self.known]
+    def _values(self, names: list[bytes]) -> list[tuple[bytes, bytes] | None]:
+        """What is known of each unit, None for long ones."""
+        short = [n for n in names if len(n) < ALONE]  # letters are at most as many
+        new = [n for n in short if n not in self.known]
         if len(self.known) + len(new) > MEMORY:
             # Long units come back least often.
-            middle = int(np.median(np.fromiter((len(n[0]) for n in self.known), np.int64, len(self.known)))) if self.known else 0
-            self.known = {n: v for n, v in self.known.items() if len(n[0]) <= middle}
-            new = [k for k, n in enumerate(names) if n not in self.known]
-        fresh = [names[k] for k in new]
-        self.known.update(zip(fresh, self.units(fresh, keys[new], dropout), strict=True))
-        out = list(map(self.known.__getitem__, names))
-        for n in fresh:
-            if len(n[0]) > LONGEST:
+            middle = int(np.median(np.fromiter(map(len, self.known), np.int64, len(self.known)))) if self.known else 0
+            self.known = {n: v for n, v in self.known.items() if len(n) <= middle}
+            new = [n for n in short if n not in self.known]
+        self.known.update(zip(new, self.plain(new), strict=True))
+        out = list(map(self.known.get, names))
+        for n in new:
+            if len(n) > LONGEST:
                 del self.known[n]
         return out
 
@@ -265,6 +293,20 @@ class Pieces:
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode()
 
 
+def _skips(values: list[tuple[bytes, bytes] | None], back: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
+    """Whether each occurrence (of value ``back``) skips a merge of its unit's
+    plain cut, or is of a long unit, whose merges aren't known."""
+    steps = [v[1] if v else b"" for v in values]
+    sizes = np.fromiter(map(len, steps), np.int64, len(steps)) // 8
+    flat, begin, size = np.frombuffer(b"".join(steps), np.uint64), np.cumsum(sizes) - sizes, sizes[back]
+    upto = np.cumsum(size)
+    owner = np.repeat(np.arange(len(back)), size)
+    step = flat[np.arange(len(owner)) + np.repeat(begin[back] - (upto - size), size)]
+    out = np.fromiter((v is None for v in values), bool, len(values))[back]
+    out[owner[kernel.mix(keys[owner] ^ step) < _U(int(dropout * (1 << 64)))]] = True
+    return out
+
+
 def _units(s: kernel.Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends, starts and rows of the units: words with the white space before
     them, and what white space is left at a row's end."""

@@ -58,3 +58,15 @@ def test_documents_decode(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = pieces.encode_pieces(docs, PATH).collect()
     assert len(rows) == docs.count() and all(r.lossless and r.n_tokens == len(r.ids) for r in rows)
+
+
+def test_every_occurrence_is_cut_by_itself(vocabulary):
+    texts = ["start" + " characters" * 3000]
+    ids = np.array(encode(vocabulary, texts, 0.1)[0], np.int32)
+    cuts, cut = {}, []
+    for i in ids.tolist():
+        if vocabulary.bytes[i].startswith(b" ") and cut:
+            cuts[tuple(cut)] = cuts.get(tuple(cut), 0) + 1
+            cut = []
+        cut.append(i)
+    assert len(cuts) > 9 and vocabulary.decode(ids) == texts[0]
