@@ -17,12 +17,11 @@ SLAB = 2_000_000
 _U = np.uint64
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = np.random.Generator(np.random.PCG64(20_001)).integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
-_STEP = 0x9E3779B97F4A7C15
-_BACK = pow(_STEP, -1, 2**64)
-_powers: dict[int, np.ndarray] = {}
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: By the bytes of a span that a lane holds: the mask that keeps them.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1], np.uint64)
+_KEY = _U(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -32,16 +31,96 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = max(n, SLAB + 1)
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
-        np.cumprod(have, out=have)
-        if size == SLAB + 1:
-            _powers[base] = have
-    return have[:n]
+def ranges(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges of these sizes, joined: the range and the place in it."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return owner, np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def join(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """One value of two (each a result of ``mix``); linear in neither."""
+    return mix(left * _U(0xD6E8FEB86659FD93) + mix(right + _KEY))
+
+
+def tree_hash(values: np.ndarray, sizes: np.ndarray, key: int = 0) -> np.ndarray:
+    """A hash of each run of ``values`` (of ``sizes``, one or more, joined).
+
+    Neighbours are joined in a tree, so that no two runs collide by their form;
+    the size goes in at last.
+    """
+    salt = mix(np.array([key], np.uint64) + _KEY)[0]
+    values, left = mix(values ^ salt), np.asarray(sizes, np.int64)
+    out, at = np.zeros(len(left), np.uint64), np.arange(len(left))
+    while len(at):
+        begin = np.cumsum(left) - left
+        done = left == 1
+        out[at[done]] = values[begin[done]]
+        at, begin, left = at[~done], begin[~done], left[~done]
+        owner, place = ranges((left + 1) >> 1)
+        first = begin[owner] + 2 * place
+        single = 2 * place + 1 == left[owner]
+        second = values[first + ~single]
+        values = np.where(single, values[first], join(values[first], second))
+        left = (left + 1) >> 1
+    return mix(out ^ mix(np.asarray(sizes).astype(np.uint64) * _KEY + salt))
+
+
+def window_hash(values: np.ndarray, begin: np.ndarray, end: np.ndarray, key: int = 0) -> np.ndarray:
+    """A hash of each window ``values[begin:end]`` (not empty); windows may
+    overlap: each is two runs of a power of two of values, whose hashes are
+    made by doubling once for all places."""
+    out = np.zeros(len(begin), np.uint64)
+    size = end - begin
+    power = np.frexp(size)[1] - 1  # of the longest run that fits
+    runs = mix(values ^ mix(np.array([key], np.uint64) + _KEY))
+    for k in range(int(power.max(initial=0)) + 1):
+        at = np.flatnonzero(power == k)
+        out[at] = join(runs[begin[at]], runs[end[at] - (1 << k)])
+        runs = join(runs[: max(0, len(runs) - (1 << k))], runs[1 << k :])
+    return mix(out ^ mix(size.astype(np.uint64) * _KEY))
+
+
+def lanes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte spans as runs of 64-bit values, zeros behind the last byte, and
+    the number of each span's values."""
+    held = np.zeros(len(data) + 8, np.uint8)
+    held[: len(data)] = data
+    by_byte = np.ndarray((len(data) + 1,), "<u8", held.data, strides=(1,))
+    sizes = np.maximum((ends - starts + 7) >> 3, 1)
+    owner, place = ranges(sizes)
+    begin = starts[owner] + 8 * place
+    return by_byte[begin] & _KEEP[np.minimum(ends[owner] - begin, 8)], sizes
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False, key: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans; equal bytes hash alike anywhere."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    values, sizes = lanes(_LOWER[data] if fold else data, starts, ends)
+    return mix(tree_hash(values, sizes, key) ^ mix((ends - starts).astype(np.uint64)))
+
+
+def same_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A span of each group of equal bytes (and equal ``salt``), and each
+    span's group.  Hashes make the groups and bytes confirm them: a span that
+    differs from its group's first one is grouped by its bytes themselves."""
+    hashes = span_hashes(data, starts, ends)
+    extra = np.zeros(len(starts), np.uint64) if salt is None else salt.astype(np.uint64)
+    _, first, group = np.unique(mix(hashes + _KEY * extra), return_index=True, return_inverse=True)
+    values, sizes = lanes(data, starts, ends)
+    begin, model = np.cumsum(sizes) - sizes, first[group]
+    odd = (ends - starts != (ends - starts)[model]) | (extra != extra[model])
+    owner, place = ranges(np.where(odd, 0, sizes))
+    odd[owner[values[begin[owner] + place] != values[begin[model[owner]] + place]]] = True
+    groups: dict[tuple[bytes, int], int] = {}
+    more: list[int] = []
+    for k in np.flatnonzero(odd).tolist():
+        own = data[starts[k] : ends[k]].tobytes(), int(extra[k])
+        if own not in groups:
+            groups[own] = len(first) + len(more)
+            more.append(k)
+        group[k] = groups[own]
+    return np.append(first, np.asarray(more, first.dtype)), group
 
 
 @dataclass
@@ -64,18 +143,8 @@ class Slab:
         """Words before each row, and in all."""
         return np.searchsorted(self.row, np.arange(self.rows + 1))
 
-    def hashes(self, fold: bool) -> np.ndarray:
-        return span_hashes(self.data, self.starts, self.ends, fold)
-
-
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of byte spans; equal bytes hash alike anywhere."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * _power(_STEP, len(data)), out=sums[1:])
-    part = (sums[ends] - sums[starts]) * _power(_BACK, len(data) + 1)[starts]
-    return mix(part ^ ((ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
+    def hashes(self, fold: bool, key: int = 0) -> np.ndarray:
+        return span_hashes(self.data, self.starts, self.ends, fold, key)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

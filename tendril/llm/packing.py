@@ -123,9 +123,9 @@ class ChunkEncoder:
             split = (s.ends - s.starts > 1) & _CLOSING[s.data[last]] & _PLAIN[s.data[last - 1]]
             at = np.flatnonzero(split)
             starts, ends = np.insert(s.starts, at + 1, last[at]), np.insert(s.ends, at, last[at])
-            hashes = kernel.span_hashes(s.data, starts, ends, fold=True)
-            _, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-            data = _LOWER[s.data].tobytes()
+            low = _LOWER[s.data]
+            first, back = kernel.same_spans(low, starts, ends)
+            data = low.tobytes()
             values = self._values([data[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
             ids = np.frombuffer(b"".join(values), "<u4")

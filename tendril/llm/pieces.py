@@ -7,9 +7,13 @@ of candidate merges, best score first, leftmost of ties; a candidate that comes
 up is skipped if a keyed hash of (seed, document, place of the unit, place and
 length in it) is below ``dropout``, and isn't tried again unless a neighbour's
 merge makes it anew.  So every occurrence of a word is cut by itself, and every
-run cuts it the same.  A worker remembers the cut of a unit without skips and the
-merges that lead to it: an occurrence that skips none of them has that cut, and
-only the others are merged anew.
+run cuts it the same.
+
+A worker remembers *cuts*: a unit, the candidates to skip, the pieces this gives
+and the merges made on the way.  An occurrence starts at its unit's cut without
+skips; if its draws skip merges of that, it goes on to the cut that skips those
+too, until its draws skip no merge of the cut: just what its agenda would give,
+for the agenda then makes these merges and skips nothing else that comes up.
 
 With a dropout of 0 the ids are the library's.  Decoding gives the text back
 byte by byte for every dropout; a literal U+2581, which the library reads as a
@@ -36,15 +40,19 @@ from tendril.llm.shared import small_batches
 
 DROPOUT = 0.1
 SEED = 42
-#: Entries of a worker's memory of units, and the longest kept.
-MEMORY = 700_000
-LONGEST = 48
-#: Units of so many characters are merged by themselves, shorter ones together.
-ALONE = 96
+#: Cuts that a worker remembers before it starts anew.
+MEMORY = 900_000
+#: Units of so many bytes are merged by themselves, shorter ones together: their
+#: merges are fewer than the bits of a number.
+ALONE = 65
+#: Units merged together: what they take stays in a core's cache.
+TOGETHER = 8_000
+#: A merge is numbered by its place in the unit times this, and its length.
+SPAN = 128
 
 _SPACE = "▁"
 #: Size of the table of mergeable pairs.
-SLOT_BITS = 22
+SLOT_BITS = 18
 _M64 = (1 << 64) - 1
 _U = np.uint64
 
@@ -59,6 +67,9 @@ def _step(place: np.ndarray, length: np.ndarray) -> np.ndarray:
     return place.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + length.astype(np.uint64) * _U(0xD6E8FEB86659FD93)
 
 
+_STEPS = _step(np.repeat(np.arange(SPAN), SPAN), np.tile(np.arange(SPAN), SPAN))
+
+
 def _slot(code: np.ndarray) -> np.ndarray:
     return ((code.astype(np.uint64) * _U(0x9E3779B97F4A7C15)) >> _U(64 - SLOT_BITS)).astype(np.int64)
 
@@ -104,8 +115,17 @@ class Pieces:
             if len(p) == 1:
                 self.char[ord(p)] = i
         self.char[0x20], self.char[0x2581] = self.id.get(_SPACE, -1), -1
-        #: By unit: its ids without skips, and the merges that lead to them.
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Start the memory anew.  By cut: unit, skips, ids and merges made (as
+        bytes); the first cut of each unit; where the draws of one lead."""
+        self.names: list[bytes] = []
+        self.skips: list[bytes] = []
+        self.ids: list[bytes] = []
+        self.made: list[bytes] = []
+        self.known: dict[bytes, int] = {}
+        self.turns: dict[tuple[int, int], int] = {}
 
     def _pair(self, code: np.ndarray) -> np.ndarray:
         """The merge of each pair of pieces, or -1."""
@@ -118,16 +138,18 @@ class Pieces:
             odd = odd[(found[odd] >= 0) & (self.pairs[found[odd]] != code[odd])]
         return found
 
-    def merge_all(self, texts: list[str], keys: np.ndarray, dropout: float, made: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[bytes]:
-        """The ids of many short units: a round merges the candidate of each
-        unit that its agenda would bring up next.  ``made`` gets the merges,
-        as units and what the skip hash takes of a merge."""
+    def merge_all(self, texts: list[str], skips: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+        """The ids of many short units, and the merges made: a round merges the
+        candidate of each unit that its agenda would bring up next."""
         points = np.frombuffer("".join(texts).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         unit = np.repeat(np.arange(len(texts)), sizes)
         place = np.arange(len(unit)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         symbol, length = self.char[points], np.ones(len(unit), np.int64)
-        least, none = _U(int(dropout * (1 << 64))), np.int64(1) << 40
+        none, made = np.int64(1) << 40, []
+        barred = np.frombuffer(b"".join(skips), "<u2").astype(np.int64)
+        barred += np.repeat(np.arange(len(texts)), [len(x) // 2 for x in skips]) * SPAN * SPAN
+        barred = np.append(np.sort(barred), -1)
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # By the left symbol of each pair: what it merges to, and its turn.
         whole, order = np.zeros(len(unit), np.int64), np.full(len(unit), none)
@@ -137,8 +159,9 @@ class Pieces:
             order[changed] = none
             pair = self._pair(symbol[i] * self.size + symbol[i + 1])
             i, pair = i[pair >= 0], pair[pair >= 0]
-            if least:
-                stays = kernel.mix(keys[unit[i]] ^ _step(place[i], length[i] + length[i + 1])) >= least
+            if len(barred) > 1:
+                code = (unit[i] * SPAN + place[i]) * SPAN + length[i] + length[i + 1]
+                stays = barred[np.searchsorted(barred[:-1], code)] != code
                 i, pair = i[stays], pair[stays]
             whole[i], order[i] = self.whole[pair], (self.rank[pair] << 16) | place[i]
             starts = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
@@ -149,8 +172,7 @@ class Pieces:
             win = np.flatnonzero((order == best) & ~over)
             symbol[win] = whole[win]
             length[win] += length[win + 1]
-            if made is not None:
-                made.append((unit[win], _step(place[win], length[win])))
+            made.append((unit[win] * SPAN + place[win]) * SPAN + length[win])
             stay = ~over
             stay[win + 1] = False
             moved = np.cumsum(stay)[win] - 1
@@ -172,30 +194,55 @@ class Pieces:
             a, b = bounds[u], bounds[u + 1]
             ids = [[i] if i >= 0 else [self.byte[x] for x in texts[u][k].encode()] for i, k in zip(symbol[a:b].tolist(), place[a:b].tolist(), strict=True)]
             out[u] = np.asarray(sum(ids, []), "<i4").tobytes()
+        made = np.sort(np.concatenate(made)) if made else np.zeros(0, np.int64)
+        bounds = (2 * np.searchsorted(made, np.arange(len(texts) + 1) * SPAN * SPAN)).tolist()
+        data = (made % (SPAN * SPAN)).astype("<u2").tobytes()
+        return out, [data[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _cuts(self, names: list[bytes], skips: list[bytes]) -> range:
+        """New cuts of these units and skips."""
+        first = len(self.names)
+        for at in range(0, len(names), TOGETHER):
+            ids, made = self.merge_all([n.decode() for n in names[at : at + TOGETHER]], skips[at : at + TOGETHER])
+            self.ids += ids
+            self.made += made
+        self.names += names
+        self.skips += skips
+        return range(first, len(self.names))
+
+    def _turn(self, cut: np.ndarray, mask: np.ndarray, skips: Callable[[int], bytes]) -> np.ndarray:
+        """The cuts that skip the merges of ``mask`` (bits) too; ``skips`` gives
+        an occurrence's merges of its mask."""
+        order = np.lexsort((mask, cut))
+        new = np.append(True, (np.diff(cut[order]) != 0) | (mask[order][1:] != mask[order][:-1]))
+        some = order[new]
+        pairs = list(zip(cut[some].tolist(), mask[some].tolist(), strict=True))
+        lacking = [(p, k) for p, k in zip(pairs, some.tolist(), strict=True) if p not in self.turns]
+        if lacking:
+            made = self._cuts([self.names[c] for (c, _), _ in lacking], [self.skips[c] + skips(k) for (c, _), k in lacking])
+            self.turns.update(zip([p for p, _ in lacking], made, strict=True))
+        out = np.empty(len(cut), np.int64)
+        out[order] = np.fromiter(map(self.turns.__getitem__, pairs), np.int64, len(pairs))[np.cumsum(new) - 1]
         return out
 
-    def units(self, names: list[bytes], keys: np.ndarray, dropout: float) -> list[bytes]:
-        """The ids of units, each with its key."""
-        texts = [n.decode() for n in names]
-        short = [k for k, t in enumerate(texts) if len(t) < ALONE]
-        out = [b""] * len(names)
-        for k, ids in zip(short, self.merge_all([texts[k] for k in short], keys[short], dropout), strict=True):
-            out[k] = ids
-        for k, t in enumerate(texts):
-            if len(t) >= ALONE:
-                out[k] = self.unit(t, int(keys[k]), dropout)
-        return out
-
-    def plain(self, names: list[bytes]) -> list[tuple[bytes, bytes]]:
-        """The ids of short units without skips, and the merges made."""
-        made: list[tuple[np.ndarray, np.ndarray]] = []
-        ids = self.merge_all([n.decode() for n in names], np.zeros(len(names), np.uint64), 0.0, made)
-        unit = np.concatenate([u for u, _ in made]) if made else np.zeros(0, np.int64)
-        step = np.concatenate([x for _, x in made]) if made else np.zeros(0, np.uint64)
-        order = np.argsort(unit, kind="stable")
-        bounds = np.searchsorted(unit[order], np.arange(len(names) + 1)).tolist()
-        data = step[order].tobytes()
-        return [(i, data[8 * a : 8 * b]) for i, a, b in zip(ids, bounds[:-1], bounds[1:], strict=True)]
+    def _draw(self, cut: np.ndarray, keys: np.ndarray, least: int) -> np.ndarray:
+        """The cut of each occurrence, from that without skips and its key."""
+        live = np.flatnonzero(cut >= 0)
+        while len(live):
+            used, back = np.unique(cut[live], return_inverse=True)
+            made = [self.made[c] for c in used.tolist()]
+            sizes = np.fromiter(map(len, made), np.int64, len(made)) // 2
+            owner, place = kernel.ranges(sizes[back])
+            code = np.frombuffer(b"".join(made), "<u2")[(np.cumsum(sizes) - sizes)[back][owner] + place]
+            hit = np.flatnonzero(kernel.mix(keys[live][owner] ^ _STEPS[code]) < _U(least))
+            mask = np.zeros(len(live), np.uint64)
+            np.bitwise_or.at(mask, owner[hit], _U(1) << place[hit].astype(np.uint64))
+            on = np.flatnonzero(mask)
+            live, mask = live[on], mask[on]
+            if len(live):
+                data, bounds = code[hit].tobytes(), (2 * np.append(np.searchsorted(owner[hit], on), len(hit))).tolist()
+                cut[live] = self._turn(cut[live], mask, lambda k: data[bounds[k] : bounds[k + 1]])  # noqa: B023
+        return cut
 
     def merge(self, text: str, key: int, dropout: float) -> list[str | None]:
         """The pieces of a unit; None takes the place of a literal U+2581."""
@@ -248,20 +295,21 @@ class Pieces:
             place = np.arange(len(row)) - np.searchsorted(row, row)
             salt = keys[s.first : s.last].astype(np.uint64)[row] * _U(0x9E3779B97F4A7C15) + place.astype(np.uint64)
             keyed = kernel.mix(salt + _U(seed & _M64))
-            full = kernel.mix(kernel.span_hashes(s.data, starts, ends) + first.astype(np.uint64) * _U(0x2545F4914F6CDD1D))
-            _, at, back = np.unique(full, return_index=True, return_inverse=True)
+            at, back = kernel.same_spans(s.data, starts, ends, first)
             data = s.data.tobytes()
             names = [b" " + data[a:b] if lead else data[a:b] for a, b, lead in zip(starts[at].tolist(), ends[at].tolist(), first[at].tolist(), strict=True)]
-            values = self._values(names)
-            if dropout and len(names):
-                anew = np.flatnonzero(_skips(values, back, keyed, dropout))
-                values = [v or (b"", None) for v in values] + [(i, None) for i in self.units([names[k] for k in back[anew].tolist()], keyed[anew], dropout)]
-                back[anew] = len(names) + np.arange(len(anew))
-            elif names:
-                long = [k for k, v in enumerate(values) if v is None]
-                for k, ids in zip(long, self.units([names[k] for k in long], np.zeros(len(long), np.uint64), 0.0), strict=True):
-                    values[k] = ids, None
-            values = [ids for ids, _ in values]
+            if len(self.names) > MEMORY:
+                self.forget()
+            new = [n for n in names if len(n) < ALONE and n not in self.known]
+            self.known.update(zip(new, self._cuts(new, [b""] * len(new)), strict=True))
+            cut = np.fromiter((self.known.get(n, -1) for n in names), np.int64, len(names))[back]
+            if dropout:
+                cut = self._draw(cut, keyed, int(dropout * (1 << 64)))
+            long = np.flatnonzero(cut < 0)
+            used, back[cut >= 0] = np.unique(cut[cut >= 0], return_inverse=True)
+            values = [self.ids[c] for c in used.tolist()]
+            values += [self.unit(names[k].decode(), int(key), dropout) for k, key in zip(back[long].tolist(), keyed[long].tolist(), strict=True)]
+            back[long] = len(used) + np.arange(len(long))
             sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
             ids = np.frombuffer(b"".join(values), "<i4")
             begin, size = np.cumsum(sizes) - sizes, sizes[back]
@@ -272,41 +320,11 @@ class Pieces:
             for r in range(s.rows):
                 yield ids[bounds[r] : bounds[r + 1]]
 
-    def _values(self, names: list[bytes]) -> list[tuple[bytes, bytes] | None]:
-        """What is known of each unit, None for long ones."""
-        short = [n for n in names if len(n) < ALONE]  # letters are at most as many
-        new = [n for n in short if n not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            # Long units come back least often.
-            middle = int(np.median(np.fromiter(map(len, self.known), np.int64, len(self.known)))) if self.known else 0
-            self.known = {n: v for n, v in self.known.items() if len(n) <= middle}
-            new = [n for n in short if n not in self.known]
-        self.known.update(zip(new, self.plain(new), strict=True))
-        out = list(map(self.known.get, names))
-        for n in new:
-            if len(n) > LONGEST:
-                del self.known[n]
-        return out
-
     def decode(self, ids: np.ndarray) -> str:
         """The text that the ids are of."""
         return b"".join(map(self.bytes.__getitem__, ids.tolist()))[1:].decode()
 
 
-def _skips(values: list[tuple[bytes, bytes] | None], back: np.ndarray, keys: np.ndarray, dropout: float) -> np.ndarray:
-    """Whether each occurrence (of value ``back``) skips a merge of its unit's
-    plain cut, or is of a long unit, whose merges aren't known."""
-    steps = [v[1] if v else b"" for v in values]
-    sizes = np.fromiter(map(len, steps), np.int64, len(steps)) // 8
-    flat, begin, size = np.frombuffer(b"".join(steps), np.uint64), np.cumsum(sizes) - sizes, sizes[back]
-    upto = np.cumsum(size)
-    owner = np.repeat(np.arange(len(back)), size)
-    step = flat[np.arange(len(owner)) + np.repeat(begin[back] - (upto - size), size)]
-    out = np.fromiter((v is None for v in values), bool, len(values))[back]
-    out[owner[kernel.mix(keys[owner] ^ step) < _U(int(dropout * (1 << 64)))]] = True
-    return out
-
-
 def _units(s: kernel.Slab) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ends, starts and rows of the units: words with the white space before
     them, and what white space is left at a row's end."""
@@ -332,8 +350,6 @@ def _pieces(path: str) -> Pieces:
 def _encoder(path: str, dropout: float, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
-        if getattr(pieces, "settings", None) != (dropout, seed):
-            pieces.settings, pieces.known = (dropout, seed), {}
         for batch in batches:
             column = batch.column("text")
             keys = batch.column("doc_id").fill_null(-1).to_numpy().astype(np.int64).view(np.uint64)

@@ -47,7 +47,6 @@ _CLOSER = np.zeros(256, bool)
 _CLOSER[list(b"\"')]")] = True
 _PAUSE = np.zeros(256, bool)
 _PAUSE[list(b",;")] = True
-_BASE = 0xD1342543DE82EF95
 _NO_ID = (1 << 63) - 1
 _ADDED = StructType([StructField("text", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
 
@@ -99,14 +98,10 @@ class Sentences:
         end = np.minimum(self.upto, k) - 1
         self.spans = (self.upto <= k) & (self.row[end] == self.row[self.start])
         begin, end = self.first[self.start], self.last[end]
-        words = s.hashes(fold=False)
-        hashes = []
-        for salt in (1, 2):
-            sums = np.zeros(len(words) + 1, np.uint64)
-            np.cumsum(kernel.mix(words + _U(salt)) * kernel._power(_BASE, len(words)), out=sums[1:])
-            back = kernel._power(pow(_BASE, -1, 2**64), len(words) + 1)
-            part = (sums[end] - sums[begin]) * back[begin]
-            hashes.append(kernel.mix(part ^ (end - begin).astype(np.uint64)).view(np.int64))
+        real = np.flatnonzero(self.spans)
+        words, hashes = s.hashes(fold=False), np.zeros((2, len(begin)), np.int64)
+        for key in (0, 1):
+            hashes[key, real] = kernel.window_hash(words, begin[real], end[real], key).view(np.int64)
         self.h1, self.h2 = hashes
 
     def covered(self, spans: np.ndarray) -> np.ndarray:

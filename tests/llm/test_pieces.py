@@ -17,7 +17,7 @@ def vocabulary():
 
 
 def encode(v, texts, dropout, seed=1):
-    v.known = {}
+    v.forget()
     return [r.tolist() for r in v.encode(pa.array(texts), np.arange(len(texts), dtype=np.uint64), dropout, seed)]
 
 
