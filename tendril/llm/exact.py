@@ -1,12 +1,15 @@
 """Exact dedup: a tree merge of sorted digest runs, DataFrame functions only.
 
 Every input partition makes a *run*: its digests in order, one entry a digest
-with the best row and a count.  Runs then meet in rounds: in each, run ``i``
-goes to run ``i div FAN_IN`` and up to ``FAN_IN`` runs are merged (a sort
-aggregate: the entries of a key are streamed in order), until one run, spread
-over all partitions by digest, is left.  The result travels down the same way:
-root to first runs, first runs to rows, so a digest that a third of all rows
-share is joined run by run and never in one task.
+with the best row and a count.  Runs meet in binomial rounds of ``FAN_IN``: a
+run is numbered to the base ``FAN_IN``, and in round k the runs whose numbers
+differ in digit k only exchange slices, each keeping the entries whose slice (a
+number made of the digest) has its own digit k.  What a run receives, sorted, is
+merged entry by entry (a sort aggregate streams it), and the best row of each
+digest stays.  After log(runs) rounds run and slice agree: all entries of a
+digest are one.  At every level a digest comes from ``FAN_IN`` runs at most, so
+one that a third of all rows share never gathers in a task.  The result travels
+down by run as well: slices to first runs, first runs to their rows.
 
 A key is verified at every level: SHA-256, a second hash and the byte length of
 the normalised text all have to agree for two entries to merge.
@@ -22,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tendril.llm.shared import cut
+from tendril.llm.shared import cut, fresh
 
 #: Runs that meet in one merge; the rounds are log(partitions) to this base.
-FAN_IN = 32
+FAN_IN = 8
 
 WHITE = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 KEY = ["sha", "probe", "n_bytes"]
@@ -55,15 +58,30 @@ def digest_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def rounds_of(n_runs: int, fan_in: int) -> int:
+    """Rounds until each of ``n_runs`` has met each other."""
+    rounds = 0
+    while fan_in**rounds < n_runs:
+        rounds += 1
+    return rounds
+
+
+def merge_round(runs: DataFrame, k: int, rounds: int, fan_in: int) -> DataFrame:
+    """Round ``k``: every entry goes to the run that has its slice's digit k
+    for its own; sorted runs are merged to sorted runs."""
+    digit = fan_in**k
+    of = lambda number: f"(int({number} div {digit}) % {fan_in})"
+    slice_of = F.pmod(F.xxhash64(*KEY), F.lit(fan_in**rounds))
+    moved = runs.withColumn("slice", slice_of).withColumn("run", F.expr(f"int(run + ({of('slice')} - {of('run')}) * {digit})")).drop("slice")
+    in_order = moved.repartition("run").sortWithinPartitions("run", *KEY)
+    return in_order.groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n"))
+
+
 def merge_runs(runs: DataFrame, n_runs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """The one run that all runs merge to; columns KEY, best, n."""
-    while n_runs > 1:
-        runs = (
-            runs.withColumn("run", F.expr(f"int(run div {fan_in})"))
-            .groupBy("run", *KEY)
-            .agg(F.min("best").alias("best"), F.sum("n").alias("n"))
-        )
-        n_runs = -(-n_runs // fan_in)
+    """Each key's one entry after all rounds; columns KEY, best, n."""
+    rounds = rounds_of(n_runs, fan_in)
+    for k in range(rounds):
+        runs = merge_round(runs, k, rounds, fan_in)
     return runs.drop("run")
 
 
@@ -95,19 +113,20 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Rows are found again by id and digest; of rows alike in both one stays.
     """
+    own_id, sha, points, nth = (fresh(docs, c) for c in ("id", "sha", "points", "nth"))
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
-    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = kept.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(own_id), F.col("text_sha256").alias(sha))
     keyed = docs.withColumns(
         {
-            "_id": F.coalesce(F.col(id_col).cast("string"), F.lit("")),
-            "_sha": F.sha2(normalised(F.col(text_col)), 256),
-            "_points": F.char_length(F.coalesce(F.col(text_col), F.lit(""))),
+            own_id: F.coalesce(F.col(id_col).cast("string"), F.lit("")),
+            sha: F.sha2(normalised(F.col(text_col)), 256),
+            points: F.char_length(F.coalesce(F.col(text_col), F.lit(""))),
         }
     )
-    one = Window.partitionBy("_id", "_sha").orderBy(F.desc("_points"))
+    one = Window.partitionBy(own_id, sha).orderBy(F.desc(points))
     return (
-        keyed.join(kept, ["_id", "_sha"], "left_semi")
-        .withColumn("_nth", F.row_number().over(one))
-        .filter("_nth = 1")
-        .select(*docs.columns)
+        keyed.join(kept, [own_id, sha], "left_semi")
+        .withColumn(nth, F.row_number().over(one))
+        .filter(F.col(nth) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
     )

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril.llm import kernel
-from tendril.llm.shared import cut, small_batches
+from tendril.llm.shared import cut, fresh, small_batches
 
 LANGUAGES = ("en", "fr", "de", "es")
 BUCKETS = 1 << 15
@@ -199,5 +199,6 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def drop_foreign(docs: DataFrame) -> DataFrame:
     """The documents whose language is told, with all their columns."""
-    gone = identify_documents(docs).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone"]), "left_anti")
+    own = fresh(docs, "gone")
+    gone = identify_documents(docs).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[own]), "left_anti")

@@ -41,7 +41,7 @@ from pyspark.sql.types import LongType
 
 from tendril.llm import kernel
 from tendril.llm.components import components
-from tendril.llm.shared import cut, fitted, small_batches, sweep
+from tendril.llm.shared import cut, fitted, fresh, small_batches, sweep
 
 TREES = 12
 COORDS = 64
@@ -325,5 +325,6 @@ def _in_blocks(seen: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns."""
-    gone = near_dedup(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    own = fresh(docs, "gone")
+    gone = near_dedup(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(gone, docs[id_col] == gone[own], "left_anti")

@@ -1,7 +1,7 @@
 import hashlib
 import re
 
-from tendril.llm.exact import drop_copies, exact_dedup, merge_runs
+from tendril.llm.exact import drop_copies, exact_dedup, merge_round, merge_runs
 
 SCHEMA = "doc_id long, text string, lang string, kept string, run string"
 
@@ -51,6 +51,28 @@ def test_drop_copies_keeps_rows_without_id(spark):
 
 
 def test_merge_runs_keeps_the_smallest(spark):
-    runs = spark.sql("SELECT int(id % 9) run, unhex(hex(id % 4)) sha, id % 4 probe, 1 n_bytes, struct(id) best, 1L n FROM range(100)")
-    got = merge_runs(runs, 9, 3).collect()
-    assert sorted((r.probe, r.best.id, r.n) for r in got) == [(k, k, 25) for k in range(4)]
+    runs = spark.sql("SELECT int(id % 29) run, unhex(hex(id % 4)) sha, id % 4 probe, 1 n_bytes, struct(id) best, 1L n FROM range(1000)")
+    for fan_in in (2, 3, 8):
+        got = merge_runs(runs, 29, fan_in).collect()
+        assert sorted((r.probe, r.best.id, r.n) for r in got) == [(k, k, 250) for k in range(4)]
+
+
+def test_rounds_are_binomial(spark):
+    """In each round an entry moves to a run that differs in one digit, and no
+    run receives a key from more than ``fan_in`` others; runs come out sorted."""
+    runs = spark.sql("SELECT int(id % 27) run, unhex(hex(id % 7)) sha, id % 7 probe, 1 n_bytes, struct(id) best, 1L n FROM range(27 * 7)")
+    before = {(r.run, r.probe) for r in runs.collect()}
+    for k in range(3):
+        runs = merge_round(runs, k, 3, 3)
+        after = runs.collect()
+        for r in after:
+            sources = [run for run, probe in before if probe == r.probe and run // 3 ** (k + 1) == r.run // 3 ** (k + 1) and run % 3**k == r.run % 3**k]
+            assert r.n == 3 ** (k + 1) and len(sources) == 3
+        before = {(r.run, r.probe) for r in after}
+        assert "SortAggregate" in runs._jdf.queryExecution().executedPlan().toString()
+    assert len(before) == 7
+
+
+def test_clashing_columns_keep_their_values(spark):
+    docs = spark.createDataFrame([(1, "x", "keep-me", "a", 7, 8), (2, "x ", "b", "c", 9, 10), (3, "x", "d", "e", 1, 2)], "doc_id long, text string, id string, sha string, points long, nth long")
+    assert [tuple(r) for r in drop_copies(docs).collect()] == [(2, "x ", "b", "c", 9, 10)]
