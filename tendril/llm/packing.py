@@ -5,11 +5,16 @@ into pieces of a whole sequence and a rest.  Whole pieces are sequences of their
 own.  All other pieces are dealt into shards of about ``SHARD`` pieces by a hash
 and every shard is bred on ``ISLANDS`` islands at once, each a task of its own:
 
-* a chromosome is a list of bins; its fitness is the mean squared fill;
+* a chromosome is a list of bins; of two the one with fewer bins is fitter, and
+  of equal ones that with the greater mean squared fill, for the room then lies
+  in few bins, which the next turn dissolves;
 * crossover injects whole well-filled bins of one parent into the other, removes
-  the bins that hold injected pieces already and puts the displaced pieces back
-  by best fit, largest first;
-* after ``GENERATIONS`` generations an island's best chromosome migrates to the
+  the bins that hold injected pieces already and her ill-filled ones; displaced
+  pieces are swapped into the bins that stay where that fills them better, and
+  go back by best fit, largest first;
+* an island breeds ``GENERATIONS`` generations, or ``POLISH`` once its bins are as
+  few as its pieces' sum allows, to gather the room that is left;
+* then an island's best chromosome migrates to the
   next island of its shard, and breeding goes on for the remaining epochs.
 
 The best chromosome of a shard wins.  The bins that are less full than
@@ -43,9 +48,15 @@ END = 0
 SHARD = 4000
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 4
-POPULATION = 4
+GENERATIONS = 24
+POLISH = 2
+POPULATION = 5
+#: Swaps of a displaced piece into a bin that are tried a crossover.
+SWAPS = 40
 LEAST_FILL = 0.995
+#: Bins of a shard and shards of a turn: the places of a sequence's number.
+MOST_BINS = 1 << 16
+MOST_SHARDS = 1 << 32
 #: Entries of a worker's memory of encoded chunks, and the longest kept.
 MEMORY = 900_000
 LONGEST = 48
@@ -206,11 +217,41 @@ def best_fit(sizes: np.ndarray, order: np.ndarray, room: list[int], bins: list[l
 
 def labels_of(bins: list[list[int]], n: int) -> np.ndarray:
     out = np.empty(n, np.int32)
-    for b, members in enumerate(bins):
-        out[members] = b
+    flat = np.fromiter((i for members in bins for i in members), np.int64, n)
+    out[flat] = np.repeat(np.arange(len(bins)), [len(members) for members in bins])
     return out
 
 
+def _swap(sizes: np.ndarray, free: list[int], room: list[int], bins: list[list[int]], rng: np.random.Generator) -> list[int]:
+    """Put displaced pieces in the place of smaller ones, or of pairs, where
+    the bin gets fuller and still holds; what they displace is returned with
+    the rest.  Bins with little room are tried, for those can be filled."""
+    where = {}
+    for i in free:
+        where.setdefault(int(sizes[i]), []).append(i)
+    tried = [b for b in np.argsort(room, kind="stable")[-SWAPS:].tolist() if room[b] > 0]
+    for b in tried:
+        members = bins[b]
+        pairs = [(i,) for i in members] + [(i, j) for k, i in enumerate(members[:8]) for j in members[:k]]
+        for out in (pairs[k] for k in rng.permutation(len(pairs))):
+            held = int(sum(sizes[i] for i in out))
+            for gain in range(room[b], 0, -1):
+                if where.get(held + gain):
+                    piece = where[held + gain].pop()
+                    bins[b] = [i for i in members if i not in out] + [piece]
+                    room[b] -= gain
+                    for i in out:
+                        where.setdefault(int(sizes[i]), []).append(i)
+                    break
+                if gain < room[b] - 40:
+                    break
+            else:
+                continue
+            if bins[b] is not members:
+                break
+    return [i for same in where.values() for i in same]
+
+
 def crossover(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, rng: np.random.Generator, length: int) -> np.ndarray:
     """The mother with a share of the father's best-filled bins."""
     n = len(sizes)
@@ -228,18 +269,20 @@ def crossover(sizes: np.ndarray, mother: np.ndarray, father: np.ndarray, rng: np
     label[inside] = father[inside]
     stay = ~hit[mother] & ~inside
     label[stay] = mother[stay] + len(fill)
-    used, label[label >= 0] = np.unique(label[label >= 0], return_inverse=True)
-    room = (length - np.bincount(label[label >= 0], sizes[label >= 0], minlength=len(used)).astype(np.int64)).tolist()
-    bins: list[list[int]] = [[] for _ in room]
-    order = displaced[np.lexsort((rng.random(len(displaced)), -sizes[displaced]))]
+    _, label[label >= 0] = np.unique(label[label >= 0], return_inverse=True)
+    placed = np.flatnonzero(label >= 0)
+    bins: list[list[int]] = [[] for _ in range(int(label.max(initial=-1)) + 1)]
+    for i, b in zip(placed.tolist(), label[placed].tolist(), strict=True):
+        bins[b].append(i)
+    room = (length - np.bincount(label[placed], sizes[placed], minlength=len(bins)).astype(np.int64)).tolist()
+    free = np.array(_swap(sizes, displaced.tolist(), room, bins, rng), np.int64)
+    order = free[np.lexsort((rng.random(len(free)), -sizes[free]))]
     best_fit(sizes, order, room, bins, length)
-    for b, members in enumerate(bins):
-        label[members] = b
-    return label.astype(np.int32)
+    return labels_of(bins, n)
 
 
-def evolve(sizes: np.ndarray, seed: int, migrants: list[np.ndarray], length: int) -> np.ndarray:
-    """The best chromosome (a bin a piece) after some generations."""
+def evolve(sizes: np.ndarray, seed: list[int], migrants: list[np.ndarray], length: int, generations: int = GENERATIONS, polish: int = POLISH) -> tuple[np.ndarray, int]:
+    """The best chromosome (a bin a piece), and the generations bred."""
     rng = np.random.default_rng(seed)
 
     def score(label: np.ndarray) -> tuple[int, float]:
@@ -252,16 +295,19 @@ def evolve(sizes: np.ndarray, seed: int, migrants: list[np.ndarray], length: int
         bins: list[list[int]] = []
         best_fit(sizes, np.argsort(-(sizes + noise), kind="stable"), [], bins, length)
         people.append(labels_of(bins, len(sizes)))
-    people.sort(key=score, reverse=True)
-    least = -(-int(sizes.sum()) // length)
-    for _ in range(GENERATIONS):
-        if -score(people[0])[0] <= least:  # no packing has fewer bins
-            break
-        a, b = rng.choice(len(people), 2, replace=False)
-        people.append(crossover(sizes, people[min(a, b)], people[max(a, b)], rng, length))
-        people.sort(key=score, reverse=True)
-        people = people[:POPULATION]
-    return people[0]
+    total = int(sizes.sum())
+    full, rest = divmod(total, length)
+    ideal = -(full + (rest > 0)), (full * length**2 + rest**2) / max(1, full + (rest > 0))
+    ranked = sorted(((score(p), k, p) for k, p in enumerate(people)), key=lambda x: (x[0], -x[1]), reverse=True)
+    bred = 0
+    while bred < (generations if ranked[0][0][0] < ideal[0] else polish) and ranked[0][0] < ideal:
+        a, b = rng.choice(len(ranked), 2, replace=False)
+        child = crossover(sizes, ranked[min(a, b)][2], ranked[max(a, b)][2], rng, length)
+        bred += 1
+        told = score(child)
+        if all(told != r[0] for r in ranked):  # a twin would only narrow the search
+            ranked = sorted([*ranked, (told, POPULATION + bred, child)], key=lambda x: (x[0], -x[1]), reverse=True)[:POPULATION]
+    return ranked[0][2], bred
 
 
 def _breeder(epoch: int, length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -273,9 +319,10 @@ def _breeder(epoch: int, length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         sizes = island["length"].to_numpy(np.int64)
         migrants = [island[c].to_numpy(np.int32) for c in ("bin", "guest") if (island[c] >= 0).all()]
         seed = [int(island["shard"].iloc[0]) & 0x7FFFFFFF, int(island["island"].iloc[0]), epoch]
-        label = evolve(sizes, seed, migrants, length)
+        label, _ = evolve(sizes, seed, migrants, length)
         fill = np.bincount(label, sizes)
-        return island.assign(bin=label, guest=-1, bins=len(fill), fill=fill[label].astype(np.int64))
+        # The least is best: fewer bins, then fuller ones.
+        return island.assign(bin=label, guest=-1, bins=len(fill), spread=-float((fill * fill).mean()), fill=fill[label].astype(np.int64))
 
     return breed
 
@@ -284,14 +331,14 @@ def _bred(pieces: DataFrame, shards: int, length: int) -> DataFrame:
     """(uid, length, shard, bin, fill): each shard's best chromosome."""
     people = pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
     people = people.withColumns({"island": F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])), "bin": F.lit(-1), "guest": F.lit(-1)})
-    schema = "uid long, length long, shard int, island int, bin int, guest int, bins int, fill long"
+    schema = "uid long, length long, shard int, island int, bin int, guest int, bins int, spread double, fill long"
     for epoch in range(EPOCHS):
         out = people.groupBy("shard", "island").applyInPandas(_breeder(epoch, length), schema)
         people = cut(out)
         if epoch < EPOCHS - 1:
             guest = people.select("uid", ((F.col("island") + 1) % ISLANDS).alias("island"), F.col("bin").alias("guest"))
-            people = people.drop("guest", "bins", "fill").join(guest, ["uid", "island"])
-    best = people.select("shard", "island", "bins").distinct().groupBy("shard").agg(F.min(F.struct("bins", "island")).alias("best"))
+            people = people.drop("guest", "bins", "spread", "fill").join(guest, ["uid", "island"])
+    best = people.groupBy("shard").agg(F.min(F.struct("bins", "spread", "island")).alias("best"))
     won = people.join(best, "shard").filter(F.col("island") == F.col("best.island"))
     return won.select("uid", "length", "shard", "bin", "fill")
 
@@ -299,28 +346,32 @@ def _bred(pieces: DataFrame, shards: int, length: int) -> DataFrame:
 def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """``pieces`` (with a ``length`` of at most ``length``) with sequence_id
     and offset; every other column is kept."""
+    if shard > MOST_BINS // 2:
+        raise ValueError(f"a shard may have {MOST_BINS // 2} pieces at most")
     pieces = cut(pieces.withColumn("uid", F.monotonically_increasing_id()))
-    placed = pieces.filter(F.col("length") == length).select("uid", F.concat_ws("-", F.lit("w"), "uid").alias("seq"))
+    # Numbers of sequences: odd ones for whole pieces, even ones for bins.
+    number = lambda turn: ((F.lit(turn * MOST_SHARDS).cast("long") + F.col("shard")) * MOST_BINS + F.col("bin")) * 2
+    placed = pieces.filter(F.col("length") == length).select("uid", (F.col("uid") * 2 + 1).alias("seq"))
     rest, turn = pieces.filter(F.col("length") < length).select("uid", "length"), 0
     left = rest.count()
     while left:
         shards = -(-left // shard)
         bred = cut(_bred(rest, shards, length))
         full = bred if shards == 1 else bred.filter(F.col("fill") >= LEAST_FILL * length)
-        placed = placed.union(full.select("uid", F.concat_ws("-", F.lit(turn), "shard", "bin").alias("seq")))
+        placed = placed.union(full.select("uid", number(turn).alias("seq")))
         if shards == 1:
             break
         rest = bred.filter(F.col("fill") < LEAST_FILL * length).select("uid", "length")
         now = rest.count()
         if now > 0.7 * left:  # hardly any full bins come out: what is left stays as bred
-            placed = placed.union(bred.filter(F.col("fill") < LEAST_FILL * length).select("uid", F.concat_ws("-", F.lit(turn), "shard", "bin").alias("seq")))
+            placed = placed.union(bred.filter(F.col("fill") < LEAST_FILL * length).select("uid", number(turn).alias("seq")))
             break
         left, turn = now, turn + 1
     # Offsets within a sequence: at most ``length`` pieces, so a window is small.
     before = Window.partitionBy("seq").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
     return (
         pieces.join(placed, "uid")
-        .withColumns({"sequence_id": F.xxhash64("seq"), "offset": F.coalesce(F.sum("length").over(before), F.lit(0))})
+        .withColumns({"sequence_id": F.col("seq"), "offset": F.coalesce(F.sum("length").over(before), F.lit(0))})
         .drop("uid", "seq")
     )
 

@@ -6,9 +6,12 @@ source and measure: values fall into logarithmic bins (relative error
 ``ACCURACY``), bins are counted by a partial and a final sum, and quantiles are
 read off the running counts.  Bin counts merge in any order to the same sketch,
 so a lost executor changes nothing.  A document goes if it fails the base rules
-or lies beyond the fence ``Q3 + SPREAD * (Q3 - Q1) + slack`` of its own
-language and source; small groups use their language's fence, and small
-languages the corpus's.
+or lies outside the fences of its language and source: for each measure two
+quantiles (``FENCES``), and from the higher one upwards and the lower one
+downwards a multiple of their distance.  Groups below ``LEAST_GROUP`` documents,
+and groups whose two quantiles fall in one bin, have their language's fences,
+and languages of that kind the corpus's; only a measure without spread in all of
+them has a fixed distance (``SLACK``) from its quantile.
 
 Defined cases: null and empty texts have no words and fail the base rules; null
 and empty languages or sources are one group; repeated rows are separate
@@ -27,12 +30,19 @@ from pyspark.sql import functions as F
 from tendril.llm import kernel
 from tendril.llm.shared import cut, small_batches
 
-ACCURACY = 0.01
-SPREAD = 3.0
+ACCURACY = 0.001
 #: Documents that a group needs for fences of its own.
-LEAST_GROUP = 200
-#: What is measured, with the least distance of a fence from the third quartile.
-SLACK = {"chars_per_word": 2.0, "symbols_per_word": 0.10, "dup_lines": 0.50, "repeat_words": 0.35}
+LEAST_GROUP = 1_000
+#: What is measured: lower and upper quantile, and the multiple of their
+#: distance.  Few texts repeat anything, so repetition goes by upper quantiles.
+FENCES = {
+    "chars_per_word": (0.25, 0.75, 4.0),
+    "symbols_per_word": (0.25, 0.75, 4.0),
+    "dup_lines": (0.5, 0.99, 1.0),
+    "repeat_words": (0.5, 0.99, 1.0),
+}
+#: The distance of a fence where all documents measure much the same.
+SLACK = {"chars_per_word": 2.0, "symbols_per_word": 0.05, "dup_lines": 0.05, "repeat_words": 0.05}
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -137,37 +147,43 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """A column an upper fence for each measure, and the group's documents."""
+    """For each group its documents and by measure a struct of ``low`` and
+    ``high``, the fences (null without spread), and the upper quantile ``at``."""
     keys = [*by, "measure"]
     so_far = Window.partitionBy(*keys).orderBy("bin")
     ranked = sketches.withColumn("below", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
-    quart = lambda q: F.min(F.when(F.col("below") >= F.ceil(F.col("all") * q), F.col("bin")))
-    per = ranked.groupBy(*keys).agg(F.max("all").alias("size"), _value(quart(0.25)).alias("q1"), _value(quart(0.75)).alias("q3"))
-    slack = F.create_map(*[F.lit(x) for pair in SLACK.items() for x in pair])
-    fence = F.col("q3") + SPREAD * (F.col("q3") - F.col("q1")) + slack[F.col("measure")]
-    wide = per.withColumn("fence", fence).groupBy(*by)
-    return wide.agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(m) for m in SLACK])
+    table = F.create_map(*[x for m, levels in FENCES.items() for x in (F.lit(m), F.array(*map(F.lit, levels)))])
+    level = lambda k: table[F.col("measure")][k]
+    # A quantile is the value at rank ceil(share x documents).
+    at = lambda q: F.min(F.when(F.col("below") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)), F.col("bin")))
+    per = ranked.groupBy(*keys).agg(F.max("all").alias("size"), at(level(0)).alias("lower"), at(level(1)).alias("upper"))
+    low, high = _value(F.col("lower")), _value(F.col("upper"))
+    wide = F.when(F.col("upper") > F.col("lower"), level(2) * (high - low))
+    per = per.withColumn("fence", F.struct((low - wide).alias("low"), (high + wide).alias("high"), high.alias("at")))
+    return per.groupBy(*by).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(m) for m in FENCES])
 
 
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """One row a document: the counts, base_failed, kept and what it failed."""
     measured = cut(measure(docs, id_col, text_col, lang_col, source_col))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    fine = sketch(measured.filter(~failed), ["lang", "source"])
+    fine = cut(sketch(measured.filter(~failed), ["lang", "source"]))
     coarse = merge(fine, ["lang"])
-    corpus = fences(merge(coarse, []), [])
     # A few numbers: the corpus's fences are values of the plan, not a join.
-    whole = (corpus.first() or {}) if corpus.columns else {}
-    whole = {m: whole[m] if whole and whole[m] is not None else float("inf") for m in SLACK}
-    own = fences(fine, ["lang", "source"]).filter(F.col("size") >= LEAST_GROUP)
-    lang = fences(coarse, ["lang"]).filter(F.col("size") >= LEAST_GROUP)
-    own = own.select("lang", "source", F.struct(*SLACK).alias("own"))
-    lang = lang.select("lang", F.struct(*SLACK).alias("of_lang"))
+    whole = fences(merge(coarse, []), []).first()
+    own = fences(fine, ["lang", "source"]).filter(F.col("size") >= LEAST_GROUP).select("lang", "source", F.struct(*FENCES).alias("own"))
+    lang = fences(coarse, ["lang"]).filter(F.col("size") >= LEAST_GROUP).select("lang", F.struct(*FENCES).alias("of_lang"))
     joined = measured.join(own, ["lang", "source"], "left").join(lang, ["lang"], "left")
-    beyond = [
-        F.when(value > F.coalesce(F.col("own")[m], F.col("of_lang")[m], F.lit(whole[m])), F.lit(m))
-        for m, value in ratios().items()
-    ]
+
+    def outside(m: str, value: Column) -> Column:
+        of = whole[m] if whole and whole[m] is not None else None
+        slack = SLACK[m]
+        least = F.lit(float("-inf") if of is None else of.at - slack if of.low is None else of.low)
+        most = F.lit(float("inf") if of is None else of.at + slack if of.high is None else of.high)
+        either = lambda side, last: F.coalesce(F.col("own")[m][side], F.col("of_lang")[m][side], last)
+        return (value > either("high", most)) | (value < either("low", least))
+
+    beyond = [F.when(outside(m, value), F.lit(m)) for m, value in ratios().items()]
     return (
         joined.withColumn("base_failed", failed)
         .withColumn("beyond", F.array_compact(F.array(*beyond)))

@@ -83,5 +83,44 @@ def test_crossover_keeps_every_piece():
         parents.append(packing.labels_of(bins, 500))
     child = packing.crossover(sizes, *parents, rng, 2048)
     assert len(child) == 500 and child.min() == 0 and np.bincount(child, sizes).max() <= 2048
-    best = packing.evolve(sizes, [1], [], 2048)
+    best, _ = packing.evolve(sizes, [1], [], 2048)
     assert best.max() <= min(p.max() for p in parents)
+
+
+def best_fit_decreasing(sizes, length):
+    bins = []
+    packing.best_fit(sizes, np.argsort(-sizes, kind="stable"), [], bins, length)
+    return len(bins)
+
+
+def test_evolution_needs_fewer_bins_than_best_fit():
+    """Thirty full bins of three pieces each, two of them of much the same size."""
+    rng = np.random.default_rng(0)
+    for trial in range(3):
+        sizes = []
+        for _ in range(30):
+            first = rng.integers(380, 490)
+            second = rng.integers((1000 - first) // 2 - 120, (1000 - first) // 2 + 120)
+            sizes += [first, second, 1000 - first - second]
+        sizes = np.array(sizes)
+        label, bred = packing.evolve(sizes, [trial], [], 1000, 300)
+        assert np.bincount(label, sizes).max() <= 1000 and np.bincount(label).sum() == len(sizes)
+        assert bred > 0 and label.max() + 1 < best_fit_decreasing(sizes, 1000)
+
+
+def test_generations_reach_the_bound():
+    sizes = np.clip(np.random.default_rng(0).lognormal(6, 0.9, 4000), 5, 2047).astype(int)
+    least = -(-int(sizes.sum()) // 2048)
+    label, bred = packing.evolve(sizes, [1], [], 2048, 60)
+    assert bred >= packing.POLISH and label.max() + 1 <= least + 1
+    fill, plain = np.bincount(label, sizes), packing.evolve(sizes, [1], [], 2048, 0)[0]
+    assert (len(fill), -(fill**2).mean()) < (plain.max() + 1, -(np.bincount(plain, sizes) ** 2).mean())
+
+
+def test_sequence_numbers_are_those_of_bins(spark):
+    pieces = spark.range(3000).selectExpr("id", "cast(pmod(xxhash64(id), 64) + 1 as long) length")
+    rows = packing.pack(pieces, 64, shard=100).collect()
+    fill = {}
+    for r in rows:
+        fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
+    assert len(rows) == 3000 and max(fill.values()) <= 64 and len(fill) <= sum(fill.values()) / 64 * 1.03

@@ -1,6 +1,9 @@
+import math
 import re
 from collections import Counter
+from types import SimpleNamespace
 
+from tendril.llm import rules
 from tendril.llm.rules import judge, measure
 
 SCHEMA = "doc_id long, text string, lang string, source string, kept string, n_words string"
@@ -34,6 +37,73 @@ def test_documents_match_brute_force(spark):
     assert got == {r.doc_id: brute(r.text) for r in docs.collect()}
 
 
+def quantile(values, share):
+    values = sorted(values)
+    return values[max(math.ceil(len(values) * share), 1) - 1]
+
+
+def exact_verdicts(rows, least_group):
+    """By document and measure: its value and the exact fences."""
+    ratios = {
+        "chars_per_word": lambda r: r.word_chars / max(r.n_words, 1),
+        "symbols_per_word": lambda r: r.n_symbols / max(r.n_words, 1),
+        "dup_lines": lambda r: r.n_dup_lines / max(r.lines, 1),
+        "repeat_words": lambda r: r.n_repeat_words / max(r.n_words, 1),
+    }
+    out = {}
+    for m, (lo, hi, times) in rules.FENCES.items():
+        groups = {}
+        for r in rows:
+            if not r.base_failed:
+                for key in ((r.lang, r.source), (r.lang,), ()):
+                    groups.setdefault(key, []).append(ratios[m](r))
+        bounds = {}
+        for key, values in groups.items():
+            a, b = quantile(values, lo), quantile(values, hi)
+            wide = b > a * (1 + 5 * rules.ACCURACY)
+            if not key or (len(values) >= least_group and wide):
+                d = times * (b - a) if wide else rules.SLACK[m]
+                bounds[key] = a - d if wide else b - d, b + d, b
+        for r in rows:
+            bound = next((bounds[k] for k in ((r.lang, r.source), (r.lang,), ()) if k in bounds))
+            out[r.doc_id, m] = ratios[m](r), bound, times
+    return out
+
+
+def test_verdict_matches_exact_quantiles(spark, monkeypatch):
+    monkeypatch.setattr(rules, "LEAST_GROUP", 250)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang in ('en', 'fr')")
+    rows = judge(docs).collect()
+    lines = {r.doc_id: len([x for x in r.text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]) for r in docs.collect()}
+    rows = [SimpleNamespace(**r.asDict(), lines=lines[r.doc_id]) for r in rows]
+    told = exact_verdicts(rows, 250)
+    unclear = 0
+    for r in rows:
+        for m in rules.FENCES:
+            value, (low, high, at), times = told[r.doc_id, m]
+            error = (1 + 2 * times) * 2 * rules.ACCURACY * max(at, 1e-9)
+            if value > high + error or value < low - error:
+                assert m in r.beyond or r.base_failed, (r.doc_id, m, value, low, high)
+            elif low + error < value < high - error:
+                assert m not in r.beyond.split(","), (r.doc_id, m, value, low, high)
+            else:
+                unclear += 1
+        assert r.kept == (not r.base_failed and not r.beyond)
+    assert unclear < 0.02 * len(rows) * len(rules.FENCES)
+    # Quantiles decide: fences differ between groups, and repetition is caught too.
+    assert len({round(told[r.doc_id, "dup_lines"][1][1], 3) for r in rows}) > 3 and len({told[r.doc_id, "chars_per_word"][1][0] for r in rows}) > 5
+    assert {m for r in rows for m in r.beyond.split(",") if m} >= {"chars_per_word", "symbols_per_word", "repeat_words"}
+
+
+def test_documents_marked_bad_go_and_good_ones_stay(spark):
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    by = {0: [], 1: []}
+    for r in judge(spark.read.parquet(f"{sf}/documents.parquet")).filter("NOT base_failed").join(labels, "doc_id").collect():
+        by[r.quality].append(r.kept)
+    assert sum(by[1]) > 0.99 * len(by[1]) and sum(by[0]) < 0.02 * len(by[0])
+
+
 def test_judge(spark):
     clean = [(i, " ".join(f"w{i}x{j}" for j in range(80)), "en" if i % 2 else None, "s", "k", "n") for i in range(500)]
     junk = [(1000 + i, " ".join(f"w{i}x{j}###" for j in range(80)), "en", "s", "k", "n") for i in range(20)]
