@@ -7,7 +7,6 @@ the next.  All stages but the last keep the columns of ``documents``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +15,7 @@ from tendril.llm.exact import drop_copies
 from tendril.llm.langid import drop_foreign
 from tendril.llm.nearjoin import drop_near_copies
 from tendril.llm.packing import pack_documents
-from tendril.llm.shared import table, tokenizer_path
+from tendril.llm.shared import shared_folder, table, tokenizer_path
 from tendril.llm.substring import drop_repeats
 
 
@@ -59,8 +58,7 @@ ORACLE_SQL = None
 
 
 def _folder(spark: SparkSession) -> str:
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.mkdtemp(prefix='pipeline')}/pipeline-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
 
 
 def _remove(spark: SparkSession, path: str) -> None:

@@ -14,7 +14,10 @@ Four kinds of evidence are combined in one posterior for each row:
   pseudo-rows), all counted by grouped aggregation of what the texts read as.
 
 Rows of a host or suffix are only joined to one aggregated row, without their
-texts; the models are a fixed number of values and are broadcast.
+texts: aggregates of up to ``MOST_SHARED`` rows are counted and broadcast, larger
+ones are joined in ``SALT`` parts a key, so a suffix or host that a third of all
+rows share is no task of its own.  The models are a fixed number of values and
+are broadcast.
 
 A row is rejected if ``und`` reads better than every language, if it has no
 letters, or if the posterior of the best language is below ``LEAST``.
@@ -43,6 +46,9 @@ TEMPER = 0.3
 LEAST = 0.5
 HOST_WEIGHT = 20.0
 DOMAIN_WEIGHT = 20.0
+#: Rows of an aggregate that may be broadcast; parts of a key beyond that.
+MOST_SHARED = 100_000
+SALT = 32
 
 _FOLD = np.full(256, 32, np.int64)
 _FOLD[65:91] = np.arange(97, 123)
@@ -114,6 +120,15 @@ def _best(scores: dict[str, Column]) -> Column:
     return pick
 
 
+def _attach(rows: DataFrame, table: DataFrame, by: str) -> DataFrame:
+    """``rows`` with the one row of ``table`` that has their ``by``, if any."""
+    table = cut(table)
+    if table.count() <= MOST_SHARED:
+        return rows.join(F.broadcast(table), by, "left")
+    parts = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id", "n_trigrams"), F.lit(SALT)).cast("int")).join(parts, [by, "_salt"], "left").drop("_salt")
+
+
 def identify(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -155,7 +170,12 @@ def identify(
     def counts(by: str, prefix: str) -> DataFrame:
         return shares(by).select(F.col(by), *[F.col(name).alias(f"{prefix}{name}") for name in languages])
 
-    joined = read.join(counts("domain", "d_"), "domain", "left").join(counts("host", "h_"), "host", "left").join(counts("suffix", "s_"), "suffix", "left")
+    joined = read
+    for by, prefix, used in (("domain", "d_", host), ("host", "h_", host), ("suffix", "s_", suffix)):
+        if used is None:  # no such evidence
+            joined = joined.withColumns({f"{prefix}{name}": F.lit(0) for name in languages})
+        else:
+            joined = _attach(joined, counts(by, prefix), by)
     at = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
     size = lambda prefix: sum((at(f"{prefix}{name}") for name in languages), F.lit(0.0))
     scores = {}
@@ -185,8 +205,10 @@ def identify(
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """Documents declare ``lang`` and their ``source`` is their host."""
-    return identify(docs, markup=F.col("lang"), host=F.col("source"))
+    """Documents declare ``lang`` and their ``source`` is their host, whose
+    last label is the address suffix where it has several."""
+    suffix = F.when(F.col("source").contains("."), F.substring_index("source", ".", -1))
+    return identify(docs, markup=F.col("lang"), suffix=suffix, host=F.col("source"))
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:

@@ -52,6 +52,10 @@ NODE = 4096
 #: Members compared at once, and comparisons from which a node is cut into
 #: blocks: a mixed one (sketches spare most of its pairs), one of mostly copies.
 BLOCK = 256
+#: Shingles of the members that are compared at once.
+ELEMENTS = 1_000_000
+#: Parts in which the rows of one component are dealt.
+SALT = 32
 GRID = 4_000
 COPIES_GRID = 500
 #: Of 64 two-bit positions; a pair at 0.8 has 54.4 in common, with deviation 2.9.
@@ -230,7 +234,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     more = confirmed(rest, texts, size, percent) if not rest.isEmpty() else None
     large = seen.filter(blocked)
     if not large.isEmpty():
-        blocks = _in_blocks(large, texts, size, percent)
+        blocks = _in_blocks(large, sketch, texts, size, percent)
         more = blocks if more is None else more.union(blocks)
     if more is not None:
         more = fitted(more)
@@ -275,9 +279,10 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return np.rint(holds[: len(left)] @ holds[len(left) :].T).astype(np.int64)
 
 
-def _in_blocks(seen: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _in_blocks(seen: DataFrame, sketch: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (u, v) between the members outside their node's main component and
-    the members of others: both are cut into blocks of about BLOCK, and every
+    the members of others: both are cut into blocks of about BLOCK members and
+    ELEMENTS shingles, and every
     block of the ones meets every block of the others in a task that returns
     the links only.
 
@@ -285,21 +290,30 @@ def _in_blocks(seen: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     together where that makes fewer comparisons than node by node.
     """
     out = F.when(F.col("c") != F.col("main"), F.col("rep"))
-    mains = seen.groupBy("main").agg(F.sum(F.when(F.col("c") != F.col("main"), F.col("members"))).alias("apart"), (F.count_distinct("rep") * F.count_distinct(out)).alias("together"))
+    # A main component may hold most documents: it is counted by member first,
+    # and its rows meet its one line of counts in SALT parts.
+    by_rep = seen.groupBy("main", "rep").agg(F.sum(F.when(F.col("c") != F.col("main"), F.col("members"))).alias("apart"), F.max(F.col("c") != F.col("main")).alias("out"))
+    mains = by_rep.groupBy("main").agg(F.sum("apart").alias("apart"), (F.count(F.lit(1)) * F.count_if("out")).alias("together"))
+    mains = mains.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     key = F.when(F.col("together") <= F.col("apart"), F.xxhash64(F.lit("main"), F.col("main"))).otherwise(F.col("key"))
-    seen = fitted(seen.join(mains, "main").select(key.alias("key"), "rep", "c", "main").distinct())
-    sizes = seen.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count(out).alias("outside"))
-    seen = seen.join(sizes, "key")
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("rep", "key"), F.lit(SALT)).cast("int")).join(mains, ["main", "salt"])
+    seen = fitted(seen.select(key.alias("key"), "rep", "c", "main").distinct())
+    seen = seen.join(sketch.select("rep", F.col("s.n").alias("n")), "rep")
+    size_of = lambda c, n: F.greatest(F.count(c) / BLOCK, F.sum(n) / ELEMENTS)
+    sizes = seen.groupBy("key").agg(size_of(F.lit(1), F.col("n")).alias("members"), size_of(out, F.when(out.isNotNull(), F.col("n"))).alias("outside"))
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    seen = seen.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALT)).cast("int")).join(sizes, ["key", "salt"])
     grid = seen.select(
         "key",
         "rep",
         "c",
         (F.col("c") != F.col("main")).alias("out"),
-        F.ceil(F.col("members") / BLOCK).alias("across"),
-        F.ceil(F.col("outside") / BLOCK).alias("down"),
+        F.ceil("members").alias("across"),
+        F.ceil(F.coalesce("outside", F.lit(0.0))).alias("down"),
     )
     place = lambda n: F.pmod(F.xxhash64("rep", "key"), n)
     # The outsiders' block goes along its row of the grid, the members' down its column.
+    grid = grid.filter("down > 0")
     asks = grid.filter("out").select("key", "rep", "c", F.lit(True).alias("asks"), place(F.col("down")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("across") - 1)).alias("j"))
     told = grid.select("key", "rep", "c", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("down") - 1)).alias("i"), place(F.col("across")).alias("j"))
     reps = seen.select(F.col("rep").alias("doc_id")).distinct()

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tendril.llm import kernel
 from tendril.llm.labelled import learnable
-from tendril.llm.shared import held_out, small_batches
+from tendril.llm.shared import cut, held_out, small_batches
 
 LEARN_ROWS = 16_000
 SHARDS = 8
@@ -130,7 +130,7 @@ def _scorer(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", learn_rows: int = LEARN_ROWS) -> DataFrame:
     """One row a document: doc_id, held_out, score, predicted."""
     small_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(learn(learnable(docs, labels, label_col, learn_rows, id_col, text_col)))
+    model = docs.sparkSession.sparkContext.broadcast(learn(cut(learnable(docs, labels, label_col, learn_rows, id_col, text_col))))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = texts.mapInArrow(_scorer(model), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -13,12 +13,13 @@ document (least id) found by a partial and a final aggregation; and every
 sentence that a repeated span covers is removed from all but its first place:
 from other documents, and from later places in the first document itself.
 
-The second join deals spans by hash, whose hot keys (a passage of a third of
-all documents) are one aggregated row on one side and are split on the other.
+Spans are made once and written.  The join with the repeated ones deals them by
+hash, whose hot keys (a passage of a third of all documents) are one aggregated
+row on one side and are split on the other.
 
 Defined cases: null texts stay null, empty ones empty, with no sentences; rows
-of one id are one document; rows without id count as last and as one document;
-what stays of a text keeps its white space, but for its end; an empty table
+of one id are one document; rows without id come after all others and are
+documents of their own, those of equal text being one; what stays of a text keeps its white space, but for its end; an empty table
 gives no rows; other columns are kept as they are.
 """
 
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tendril.llm import kernel
-from tendril.llm.shared import small_batches
+from tendril.llm.shared import cut, small_batches
 
 WORDS = 25
 ALONE = 50
@@ -47,7 +48,6 @@ _CLOSER = np.zeros(256, bool)
 _CLOSER[list(b"\"')]")] = True
 _PAUSE = np.zeros(256, bool)
 _PAUSE[list(b",;")] = True
-_NO_ID = (1 << 63) - 1
 _ADDED = StructType([StructField("text", StringType()), StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
 
 
@@ -120,13 +120,14 @@ def _keys(h1: np.ndarray, h2: np.ndarray, row: np.ndarray) -> np.ndarray:
 
 def _spans(batches: Iterator[pa.RecordBatch], tails: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = batch.column("id").to_numpy()
+        ids, anon = batch.column("id"), batch.column("anon")
         for s in kernel.slabs(batch.column("text")):
             own = Sentences(s, tails)
             at = np.flatnonzero(own.spans)
             if len(at):
                 keys = np.unique(_keys(own.h1[at], own.h2[at], own.row[own.start[at]]))
-                yield pa.RecordBatch.from_arrays([pa.array(keys["h1"]), pa.array(keys["h2"]), pa.array(ids[s.first + keys["row"]])], ["h1", "h2", "id"])
+                row = pa.array(s.first + keys["row"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys["h1"]), pa.array(keys["h2"]), ids.take(row), anon.take(row)], ["h1", "h2", "id", "anon"])
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch], tails: bool = False) -> Iterator[pa.RecordBatch]:
@@ -181,15 +182,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``docs`` with repeated passages out of its text, and the columns
     n_sentences and n_removed after the others (in place of like-named ones)."""
     small_batches(docs.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
-    spans = docs.select(key.alias("id"), F.col(text_col).alias("text")).mapInArrow(partial(_spans, tails=tails), "h1 long, h2 long, id long")
-    firsts = spans.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.max("id").alias("final")).filter(F.col("first") < F.col("final"))
-    later = spans.join(firsts, ["h1", "h2"]).filter(F.col("id") > F.col("first"))
-    gone = later.groupBy(F.col("id").alias("_gone_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("_gone"))
+    # A document goes by its id, or without one by its text.
+    key = F.col(id_col).cast("long")
+    anon = F.when(key.isNull(), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    spans = docs.select(key.alias("id"), anon.alias("anon"), F.col(text_col).alias("text")).mapInArrow(partial(_spans, tails=tails), "h1 long, h2 long, id long, anon long")
+    spans = cut(spans)
+    firsts = spans.groupBy("h1", "h2").agg(*[f(c).alias(f"{name}_{c}") for c in ("id", "anon") for name, f in (("first", F.min), ("last", F.max))])
+    both = F.col("first_id").isNotNull() & F.col("first_anon").isNotNull()
+    firsts = firsts.filter(both | (F.col("first_id") < F.col("last_id")) | (F.col("first_anon") < F.col("last_anon"))).drop("last_id", "last_anon")
+    after = (F.col("id") > F.col("first_id")) | (F.col("anon").isNotNull() & (F.col("first_id").isNotNull() | (F.col("anon") > F.col("first_anon"))))
+    later = spans.join(firsts, ["h1", "h2"]).filter(after)
+    gone = later.groupBy("id", "anon").agg(F.collect_set(F.struct("h1", "h2")).alias("_gone"))
+    gone = gone.select(F.coalesce("id", "anon").alias("_gone_key"), F.col("id").isNull().alias("_gone_anon"), "_gone")
     others = [c for c in docs.columns if c not in (text_col, "n_sentences", "n_removed")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others])
-    keyed = docs.select(rest.alias("_rest"), F.col(text_col).alias("_text"), key.alias("_key"))
-    joined = keyed.join(gone, F.col("_key") == F.col("_gone_id"), "left").select("_rest", "_text", "_gone")
+    keyed = docs.select(rest.alias("_rest"), F.col(text_col).alias("_text"), F.coalesce(key, anon).alias("_key"), key.isNull().alias("_anon"))
+    joined = keyed.join(gone, (F.col("_key") == F.col("_gone_key")) & (F.col("_anon") == F.col("_gone_anon")), "left").select("_rest", "_text", "_gone")
     schema = StructType([joined.schema["_rest"], *_ADDED.fields])
     out = joined.mapInArrow(partial(_cleaned, tails=tails), schema)
     back = {c: F.col("_rest").getField(c) for c in others} | {text_col: F.col("text")}

@@ -10,6 +10,8 @@ whole words with the first letter right (from ``FIRST`` letters on any edit),
 stems with the first and the last letter right, for an edit of its last letter
 would make any stem a shorter one.  The learnt words under a stem are terms too,
 besides the ``TERMS``, so that their misspellings are found by the whole word.
+A token with figures or marks between its letters is also looked up with the
+letters that those stand for (``MASKS``), and counts as misspelled.
 
 Every hit weighs its term's log-odds, and its context window: inside quotation
 marks, or next to words that report speech, it counts as quoted; near a second
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -57,7 +60,12 @@ REPORTING = frozenset("said says say quote quoted quotes called calls word words
 ADDRESS = frozenset("you your youre u ur yourself du dein deine tu te toi vous ton usted".split())
 FEATURES = ["exact", "misspelled", "quoted", "strongest", "densest", "rate"]
 
+#: Figures and marks that stand for letters, or for nothing.
+MASKS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", ".": "", "-": "", "_": "", "+": ""}
+
 _WORD = re.compile(r"[^\W_]+")
+_MASKED = re.compile(r"[\w@$!|*.+-]{4,40}")
+_UNMASK = str.maketrans(MASKS)
 _QUOTE = re.compile("[\"“”«»„]")
 
 
@@ -158,14 +166,30 @@ class Lexicon:
         self.known[word] = found
         return found
 
+    def masked(self, low: str) -> dict[str, int]:
+        """The term of each token that is one behind figures or marks."""
+        out = {}
+        for token in set(_MASKED.findall(low)):
+            core = token.strip(".!*-|+_")
+            if len(core) > 3 and not core.isalpha() and (plain := core.translate(_UNMASK)).isalpha() and len(plain) > 3:
+                if (found := self.look(plain)) and not any(self.look(w) for w in _WORD.findall(core)):
+                    out[token] = found[0]
+        return out
+
     def features(self, text: str) -> list[float]:
         low = text.lower()
         words = _WORD.findall(low)
-        if not any(self.look(w) for w in set(words)):
+        masked = self.masked(low)
+        if not masked and not any(self.look(w) for w in set(words)):
             return [0.0] * len(FEATURES)
         places = [(m.start(), m[0]) for m in _WORD.finditer(low)]
         quotes = np.array([m.start() for m in _QUOTE.finditer(low)])
         hits = [(i, found) for i, (_, w) in enumerate(places) if (found := self.look(w))]
+        if masked:
+            starts = [at for at, _ in places]
+            # The word that a masked token begins with, or comes before.
+            hits += [(min(bisect_left(starts, m.start()), len(places) - 1), (masked[m[0]], False)) for m in _MASKED.finditer(low) if m[0] in masked]
+            hits.sort()
         at = np.array([i for i, _ in hits])
         sums, weights = Counter(), []
         for i, (term, exact) in hits:

@@ -92,6 +92,13 @@ def test_blocks_match_brute_force(spark, monkeypatch):
     assert result(near_dedup(make(spark, rows), size=2)) == brute(rows, 2)
 
 
+def test_blocks_bounded_by_shingles_match_brute_force(spark, monkeypatch):
+    for name, value in {"NODE": 1, "GRID": 1, "COPIES_GRID": 1, "ELEMENTS": 900}.items():
+        monkeypatch.setattr(nearjoin, name, value)
+    rows = corpus(5)
+    assert result(near_dedup(make(spark, rows), size=2)) == brute(rows, 2)
+
+
 def test_overlaps():
     sets = [np.unique(np.random.default_rng(k).integers(0, 60, 25)).astype(np.uint64) for k in range(9)]
     want = [[len(np.intersect1d(a, b)) for b in sets[4:]] for a in sets[:4]]

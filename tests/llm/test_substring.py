@@ -148,3 +148,13 @@ def test_planted_passages_go_to_the_last_sentence(spark):
     got = result(substring_dedup(make(spark, rows), tails=True))
     assert [got[k][2] for k in range(3)] == [0, 3, 3] and [got[k][2] for k in range(5, 8)] == [0, 1, 1]
     assert "c9." not in got[1][0] and "e29." not in got[6][0] and "u1v39." in got[1][0]
+
+
+def test_rows_without_id_are_documents_of_their_own(spark):
+    passage = "One two three four five six seven eight nine ten eleven twelve. " + "Thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty and more words in here. "
+    rows = [(None, f"Lead {k}. {passage}Tail {k}.") for k in range(30)] + [((1 << 63) - 1, f"Big. {passage}"), (5, passage + "Five.")]
+    got = [tuple(r) for r in substring_dedup(make(spark, rows), tails=True).select("doc_id", "text", "n_removed").collect()]
+    assert sorted(n for i, _, n in got if i is None) == [2] * 30
+    assert {i: n for i, _, n in got if i is not None} == {(1 << 63) - 1: 2, 5: 0}
+    got = [tuple(r) for r in substring_dedup(make(spark, rows[:30]), tails=True).select("n_removed").collect()]
+    assert sorted(n for (n,) in got) == [0] + [2] * 29

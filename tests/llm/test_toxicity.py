@@ -1,5 +1,6 @@
 import random
 
+from tendril.llm import toxicity
 from tendril.llm.toxicity import FIRST, FUZZY, Lexicon, learn_terms, score_toxicity
 
 SCHEMA = "doc_id long, text string, label int, exact string"
@@ -93,3 +94,12 @@ def test_words_under_a_stem_are_learnt(spark):
     terms = learn_terms(spark.createDataFrame(rows, "text string, label int"))
     assert ("idio", True) in {t[:2] for t in terms} and {t for t, stem, _ in terms if not stem} == {"idiotic", "idiocy", "idioten"}
     assert Lexicon(terms).look("idotic") is not None and Lexicon(terms).look("idiotic")[1]
+
+
+def test_masked_terms():
+    lexicon = toxicity.Lexicon([("idiot", False, 3.0), ("lowei", True, 2.0)])
+    for text in ("you 1diot!", "an id1ot", "i-d-i-o-t", "1d*i*0t", "so l0weish", "i.d.i.o.t."):
+        features = dict(zip(toxicity.FEATURES, lexicon.features(f"some words {text} and more"), strict=True))
+        assert features["misspelled"] > 0 and features["exact"] == 0, text
+    for text in ("2024-10-11", "a.b.c.d", "well-being 3.5 times", "....", "____", "@$!|"):
+        assert not any(lexicon.features(text)), text
