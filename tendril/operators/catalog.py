@@ -10,6 +10,7 @@ from tendril.functions import text as T
 # Markers of a kit's contents in a specification.
 CONTENTS = r"(?iuU)состав\s+комплекта\s*:"
 NUMBERED = r"(?U)^\s*\d+[.)]\s*"
+NO_COMPONENT = ["комплект", "модели изготов", "технические характеристики", "окпд", "предназначен", "включает не менее", "включает следующие", "изготовлены из гипса"]
 
 
 def classify(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -71,17 +72,37 @@ def kit_components(items: DataFrame, specs_col: str = "specifications") -> DataF
     lines = F.filter(F.split(specs, "\n"), lambda x: x.rlike(NUMBERED) | x.rlike(r";\s*$"))
     raw = F.when(specs.rlike(CONTENTS), listed).otherwise(lines)
     clean = F.transform(raw, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, NUMBERED, ""), r"[\s;.,]+$", "")))
-    clean = F.filter(clean, lambda x: (F.length(x) >= 3) & ~x.rlike(r"^\d"))
+    told = lambda x: F.exists(F.array(*map(F.lit, NO_COMPONENT)), lambda part: F.lower(x).contains(part))
+    clean = F.filter(clean, lambda x: (F.length(x) >= 3) & ~x.rlike(r"^\d+[.)]") & ~told(x))
     keys = F.transform(clean, F.lower)
     first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(clean), F.lit(1))), lambda k: (k <= F.size(clean)) & (F.array_position(keys, F.try_element_at(keys, k)) == k))
     return items.withColumn("components", F.transform(first, lambda k: F.try_element_at(clean, k)))
 
 
-def kit_members(catalog: DataFrame) -> DataFrame:
+def report_period(rows: DataFrame) -> DataFrame:
+    """(path, purchase_date): the last cell with a date among a report's first
+    six rows."""
+    dated = rows.filter((F.col("row_idx") <= 6) & F.col("name").rlike(r"\d{2}\.\d{2}\.\d{4}"))
+    return dated.groupBy("path").agg(F.max_by(F.trim("name"), "row_idx").alias("purchase_date"))
+
+
+def kit_members(catalog: DataFrame, by: list[str] = ()) -> DataFrame:
     """(kit_row, row_idx, ...) : the priced rows of each kit header's group; a
-    sub-kit is its own member."""
+    sub-kit is its own member.  ``by`` names the sheet, for groups of one name
+    on two sheets are two groups."""
     priced = F.col("m.cost").isNotNull() | F.col("m.price").isNotNull()
-    kits = catalog.filter("entry_type = 'kit_total'").select(F.col("row_idx").alias("kit_row"), F.col("components_group").alias("of"))
-    group = kits.join(catalog.alias("m"), F.col("of") == F.col("m.components_group")).filter(priced & F.col("m.entry_type").isin("sub_kit", "item"))
+    kits = catalog.filter("entry_type = 'kit_total'").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("row_idx").alias("kit_row"), F.col("components_group").alias("_of"))
+    same = F.col("_of") == F.col("m.components_group")
+    for c in by:
+        same = same & (F.col(f"_{c}") == F.col(f"m.{c}"))
+    group = kits.join(catalog.alias("m"), same).filter(priced & F.col("m.entry_type").isin("sub_kit", "item"))
     alone = catalog.alias("m").filter("entry_type = 'sub_kit'").select(F.col("row_idx").alias("kit_row"), "m.*")
     return group.select("kit_row", "m.*").unionByName(alone)
+
+
+def kit_totals(lines: DataFrame, by: list[str]) -> DataFrame:
+    """By kit: its lines, those with a cost or price, and the catalog quote's
+    cost: the sum of cost x quantity over the costs there are, null for zero."""
+    total = F.round(F.sum(F.col("unit_cost").cast("decimal(18,4)") * F.col("quantity").cast("decimal(18,4)")), 2).cast("double")
+    counts = [F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("unit_cost").isNotNull() | F.col("unit_price").isNotNull()).alias("n_priced")]
+    return lines.groupBy(*by).agg(*counts, F.nullif(total, F.lit(0.0)).alias("quote_cost"), kit_lenient("unit_cost").alias("sum_cost"), kit_lenient("unit_price").alias("sum_price"))

@@ -87,15 +87,15 @@ def best_fuzzy(items: DataFrame, corpus: DataFrame, limit: int = 5) -> DataFrame
     spec = T.usable_spec(F.col("name"), F.col("specifications"))
     asked = items.select("item_id", F.col("name").alias("asked"), "specifications", F.posexplode(T.search_queries(F.col("name"), F.col("specifications"))).alias("query_pos", "query"), T.normalize_name("name").alias("name_query"), T.normalize_name(spec).alias("spec_query"))
     rows = corpus.withColumn("choice", T.normalize_name("name"))
-    terms = asked.select(F.explode(F.array("query", "name_query", F.coalesce("spec_query", F.lit("")))).alias("query"))
-    known = scored(pairs(terms, rows)).persist()
-    side = lambda q, s: known.select(F.col("query").alias(q), F.col("choice"), F.col("score").alias(s))
-    hits = asked.join(side("query", "raw"), "query").join(rows.select("row_idx", "name", "choice"), "choice")
+    # A query's best rows have its best texts, in order of score and first row.
+    texts = rows.groupBy("choice").agg(F.min("row_idx").alias("first_row"))
+    found = scored(pairs(asked.select("query"), texts)).withColumnRenamed("score", "raw")
+    found = top(found.join(texts, "choice"), ["query"], [F.desc("raw"), F.col("first_row")], max(limit, 8), "_text").drop("_text", "first_row")
+    hits = asked.join(found, "query").join(rows.select("row_idx", "name", "choice"), "choice")
     hits = top(hits, ["item_id", "query_pos"], [F.desc("raw"), F.col("row_idx")], max(limit, 8))
-    hits = hits.join(side("name_query", "of_name"), ["name_query", "choice"], "left").join(side("spec_query", "of_spec"), ["spec_query", "choice"], "left")
-    of_name = F.coalesce("of_name", F.lit(0.0))
-    hits = hits.filter(is_relevant(F.col("asked"), F.col("specifications"), F.col("choice"), of_name, F.col("of_spec"), F.col("raw")))
-    hits = hits.withColumn("score", T.adjust_score(F.col("query"), F.col("choice"), F.greatest(of_name, F.coalesce("of_spec", F.lit(0.0)))))
+    hits = hits.withColumns({"of_name": name_match_score("name_query", "choice"), "of_spec": F.when(F.col("spec_query").isNotNull(), name_match_score(F.coalesce("spec_query", F.lit("")), F.col("choice")))})
+    hits = hits.filter(is_relevant(F.col("asked"), F.col("specifications"), F.col("choice"), F.col("of_name"), F.col("of_spec"), F.col("raw")))
+    hits = hits.withColumn("score", T.adjust_score(F.col("query"), F.col("choice"), F.greatest(F.col("of_name"), F.coalesce("of_spec", F.lit(0.0)))))
     hits = top(hits, ["item_id", "query_pos"], [F.desc("score"), F.col("rank")], limit, "place")
     hits = top(hits, ["item_id", "name"], [F.desc("score"), F.col("query_pos"), F.col("place")], 1, "_one")
     return top(hits, ["item_id"], [F.desc("score"), F.col("query_pos"), F.col("place")], limit).select("item_id", "row_idx", "name", "score", "rank")

@@ -40,9 +40,12 @@ def extra_quotes(hits: DataFrame, by: list[str], least: float = T.LOCAL_THRESHOL
 
 
 def best_local(quotes: DataFrame, by: list[str], order: dict[str, int] | None = None) -> DataFrame:
-    """The priced quote of the first source that has one, then by score."""
+    """The priced quote of the first source that has one, then by score; where
+    quotes have ``relevant`` and ``mismatch``, only those that tell the item."""
     order = order or LOCAL_PRIORITY
     usable = quotes.filter(F.col("source").isin(*order) & F.coalesce("price", "cost").isNotNull())
+    if {"relevant", "mismatch"} <= set(quotes.columns):
+        usable = usable.filter((F.col("match_score") >= T.LOCAL_THRESHOLD) & F.col("relevant") & ~F.col("mismatch"))
     return top(usable, by, [priority(F.col("source"), order), F.desc("match_score"), F.col("pos")], 1, "_best").drop("_best")
 
 
@@ -60,11 +63,24 @@ def best_web(quotes: DataFrame, by: list[str]) -> DataFrame:
     return top(good, by, [*Wb.quote_order(F.col("url"), F.col("match_score"), F.col("price")), F.col("pos")], 1, "_best").drop("_best")
 
 
+def internet_url(quotes: DataFrame, by: list[str]) -> DataFrame:
+    """The url of the best product page among web quotes, else of the first."""
+    linked = quotes.filter((F.col("source") == "web") & (F.coalesce("url", F.lit("")) != ""))
+    card = Wb.is_product_page(F.col("url"))
+    order = [F.desc(card), *[F.when(card, k) for k in Wb.quote_order(F.col("url"), F.col("match_score"), F.col("price"))], F.col("pos")]
+    return top(linked, by, order, 1, "_best").select(*by, F.col("url").alias("internet_url"))
+
+
 def filter_quotes(quotes: DataFrame, disabled: list[str] = (), excluded_platforms: list[str] = ()) -> DataFrame:
     """Quotes that the preferences leave: web quotes of a full score from no
-    listing or excluded platform, local quotes of 95 and more."""
+    listing and with no excluded word in label or url, local quotes of 95 and
+    more."""
     url = F.coalesce("url", F.lit(""))
-    platform = F.coalesce(Wb.platform_label(url).isin(*excluded_platforms), F.lit(False)) if excluded_platforms else F.lit(False)
+    label = F.col("label") if "label" in quotes.columns else F.concat_ws(" ", F.lit("Интернет:"), Wb.platform_label(url))
+    where = F.lower(F.concat_ws(" ", F.coalesce(label, F.lit("")), url))
+    platform = F.lit(False)
+    for token in filter(None, excluded_platforms):
+        platform = platform | where.contains(token.lower())
     web = (F.col("match_score") >= T.WEB_THRESHOLD) & ~Wb.is_listing(url) & ~platform
     kept = F.when(F.col("source") == "web", web).otherwise(F.col("match_score") >= T.LOCAL_THRESHOLD)
     return quotes.filter(kept & (~F.col("source").isin(*disabled) if disabled else F.lit(True)))

@@ -49,6 +49,17 @@ def request_items(rows: DataFrame, cells: str = "cells", at: dict[str, Column] |
     return found.withColumn("number", F.col("_number").try_cast("int")).drop("_number")
 
 
+def cell_tables(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Items of tables of cells (row_idx, cells): the first row of a table with
+    a name column is its header, rows with a number below it are items."""
+    whole = Window.partitionBy(*by).orderBy("row_idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_header = F.exists("cells", lambda c: F.coalesce(F.lower(c).contains(NAME_WORD), F.lit(False)))
+    head = F.first(F.when(F.col("_header"), F.col("cells")), ignorenulls=True).over(whole)
+    below = rows.withColumn("_header", is_header).withColumn("_head", head).filter("_head IS NOT NULL AND NOT _header")
+    blank = F.transform("_head", lambda c: F.coalesce(c, F.lit("")))
+    return request_items(below, "cells", column_map(blank)).drop("_head", "_header", "cells", "numbers")
+
+
 def split_line(line: Column) -> Column:
     """Cells by tab, else by two spaces and more if that makes four, else by
     any space."""

@@ -31,6 +31,48 @@ def merge_results(items: DataFrame, old: DataFrame, new: DataFrame, key: list[st
     return out.select(*items.columns, *pick)
 
 
+def with_results(items: DataFrame, results: DataFrame, key: list[str]) -> DataFrame:
+    """Every item with its result, if it has one."""
+    return items.join(results, key, "left")
+
+
+def override_kits(results: DataFrame, sums: DataFrame) -> DataFrame:
+    """Results of kits take the sums over their components that there are."""
+    out = results.join(sums.select("item_id", "sum_cost", "sum_price"), "item_id", "left")
+    return out.withColumns({"unit_cost": F.coalesce("sum_cost", "unit_cost"), "unit_base_price": F.coalesce("sum_price", "unit_base_price")}).drop("sum_cost", "sum_price")
+
+
+def grand_total(results: DataFrame, by: list[str]) -> DataFrame:
+    """The sum of a sheet's rounded lines; missing ones count nothing."""
+    cents = F.round(F.coalesce("total_price", F.lit(0.0)).cast("decimal(18,4)"), 2)
+    return results.groupBy(*by).agg(F.sum(cents).cast("double").alias("grand_total"))
+
+
+def none_found(blocks: DataFrame, by: list[str], found: str = "found") -> DataFrame:
+    """Whether none of a group's sources found anything."""
+    return blocks.groupBy(*by).agg(F.bool_and(~F.coalesce(F.col(found), F.lit(False))).alias("all_missing"))
+
+
+def comparison_rows(quotes: DataFrame, by: list[str], most: int = 3) -> DataFrame:
+    """The comparison sheet: a line each item, a column each source's best
+    price, and the first web links."""
+    price = F.coalesce("price", "cost")
+    own = {"catalog": "catalog_price", "goods_report": "purchase_price", "price_list": "list_price"}
+    links = F.array_sort(F.collect_list(F.when((F.col("source") == "web") & F.col("url").isNotNull(), F.struct("place", "url"))))
+    cells = [F.min_by(F.when(F.col("source") == s, price), F.when((F.col("source") == s) & price.isNotNull(), F.col("place"))).alias(c) for s, c in own.items()]
+    return quotes.groupBy(*by).agg(*cells, F.min(F.when(F.col("source") == "web", price)).alias("web_price"), F.slice(F.transform(links, lambda x: x["url"]), 1, most).alias("links"))
+
+
+def to_json(results: DataFrame) -> DataFrame:
+    """The results' JSON for an interface: scores to one decimal, five other
+    names at most, and the base total."""
+    base = F.round(F.col("unit_base_price").cast("decimal(18,4)") * F.col("quantity").cast("decimal(18,4)"), 2).cast("double")
+    shown = results.withColumns({"score": F.round("score", 1), "total_base_price": base})
+    if "alternatives" in results.columns:
+        shown = shown.withColumn("alternatives", F.slice("alternatives", 1, 5))
+    return shown.select("item_id", F.to_json(F.struct("*")).alias("json"))
+
+
 def subset(results: DataFrame, numbers: DataFrame, key: list[str]) -> DataFrame:
     return results.join(numbers.select(*key).distinct(), key, "left_semi")
 

@@ -20,12 +20,14 @@ from pyspark.sql import functions as F
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 _WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-ROWS = "path string, sheet string, row_idx int, cells array<string>, numbers array<double>"
+ROWS = "path string, sheet string, sheet_no int, row_idx int, cells array<string>, numbers array<double>"
 
 # Sheets that price lists leave out, and column places.
 SKIPPED_SHEETS = ["Лист1", "ПРОСМОТР ЗАКАЗА"]
 CATALOG_COLUMNS = {"name": 0, "price": 1, "stock": 2, "cost": 3, "unit": 4, "markup": 5}
 GOODS_COLUMNS = {"name": 0, "supplier": 1, "purchase_date": 2, "cost": 3, "price": 4, "unit": 5}
+REGISTRY_COLUMNS = {"name": 0, "quantity": 1, "condition": 3, "link": 7}
+PROCUREMENT = "отчет по закупкам"
 PRICE_COLUMNS = {"code": 0, "name": 1, "recommended": 2, "price": 3, "order_qty": 4, "order_sum": 5}
 
 
@@ -90,12 +92,14 @@ def read_rows(spark: SparkSession, paths: str | list[str]) -> DataFrame:
             out = []
             for path, content in zip(batch["path"], batch["content"], strict=True):
                 if path.lower().endswith(".docx"):
-                    out += [(path, s, n, c, [None] * len(c)) for s, n, c in document_rows(content)]
+                    found = [(s, n, c, [None] * len(c)) for s, n, c in document_rows(content)]
                 elif path.lower().endswith(".xlsx"):
-                    out += [(path, *r) for r in workbook_rows(content)]
+                    found = list(workbook_rows(content))
                 else:
                     raise ValueError(f"{path}: only .xlsx and .docx can be read; give the text of others to text_tables")
-            yield pd.DataFrame(out, columns=["path", "sheet", "row_idx", "cells", "numbers"])
+                places = {name: k for k, name in enumerate(dict.fromkeys(r[0] for r in found))}
+                out += [(path, r[0], places[r[0]], *r[1:]) for r in found]
+            yield pd.DataFrame(out, columns=["path", "sheet", "sheet_no", "row_idx", "cells", "numbers"])
 
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInPandas(rows, ROWS)
@@ -108,14 +112,50 @@ def fields(rows: DataFrame, columns: dict[str, int], numbers: list[str]) -> Data
 
 
 def read_catalog(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Catalog workbooks: rows from the second with a name."""
-    rows = fields(read_rows(spark, paths).filter("row_idx >= 2"), CATALOG_COLUMNS, ["price", "stock", "cost", "markup"])
+    """Catalog workbooks: rows of the first sheet from the second with a name."""
+    rows = fields(first_sheets(read_rows(spark, paths)).filter("row_idx >= 2"), CATALOG_COLUMNS, ["price", "stock", "cost", "markup"])
     return rows.filter("name IS NOT NULL").withColumn("unit", F.coalesce("unit", F.lit("шт")))
 
 
+def first_sheets(rows: DataFrame) -> DataFrame:
+    return rows.filter("sheet_no = 0").drop("sheet_no")
+
+
+def is_procurement(rows: DataFrame) -> DataFrame:
+    """(path, procurement): whether one of the first three cells of a file's
+    first twelve rows tells a purchase report of two-row records."""
+    told = F.exists(F.slice("cells", 1, 3), lambda c: F.coalesce(F.lower(c).contains(PROCUREMENT), F.lit(False)))
+    return rows.groupBy("path").agg(F.bool_or((F.col("row_idx") <= 12) & told).alias("procurement"))
+
+
 def read_goods(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Purchase reports in the plain layout."""
-    return fields(read_rows(spark, paths).filter("row_idx >= 2"), GOODS_COLUMNS, ["cost", "price"]).filter("name IS NOT NULL")
+    """Purchase reports of both layouts: path, row_idx, name, supplier,
+    purchase_date, cost, price, unit, procurement."""
+    from tendril.operators.catalog import procurement_items, report_period
+
+    rows = first_sheets(read_rows(spark, paths))
+    kinds = is_procurement(rows)
+    plain = fields(rows.filter("row_idx >= 2").join(kinds.filter("NOT procurement"), "path"), GOODS_COLUMNS, ["cost", "price"]).filter("name IS NOT NULL")
+    two = fields(rows.join(kinds.filter("procurement"), "path"), {"name": 0, "quantity": 1, "unit": 2, "price": 3}, ["quantity", "price"])
+    two = procurement_items(two, ["path"]).join(report_period(two), "path", "left")
+    columns = ["path", "row_idx", "name", "supplier", "purchase_date", "cost", "price", "unit"]
+    return plain.select(*columns, F.lit(False).alias("procurement")).unionByName(two.select(*columns, F.lit(True).alias("procurement")))
+
+
+def read_registry(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Stock registers: name, quantity (0 for what is no number), condition,
+    link ("None" is nothing), and the row's place for its pictures."""
+    rows = fields(first_sheets(read_rows(spark, paths)).filter("row_idx >= 2"), REGISTRY_COLUMNS, ["quantity"]).filter("name IS NOT NULL")
+    told = lambda c: F.when(F.col(c) != "None", F.col(c))
+    return rows.select("path", "row_idx", "name", F.coalesce("quantity", F.lit(0.0)).alias("quantity"), told("condition").alias("condition"), told("link").alias("link"), (F.col("row_idx") - 2).alias("row_pos"))
+
+
+def read_requests(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Items of request documents (.docx and .xlsx): in every table the first
+    header row names the columns, and rows with a number follow."""
+    from tendril.operators.requests import cell_tables
+
+    return cell_tables(read_rows(spark, paths), ["path", "sheet_no", "sheet"])
 
 
 def read_price_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -128,10 +168,15 @@ def read_price_lists(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_000_000) -> None:
-    """A workbook of a few result sheets, ``most`` rows each (what the format
-    holds); larger results are for ``df.write``."""
+    """A workbook of a few result sheets, one request's; a sheet with more than
+    ``most`` rows (what the format holds) is an error, before anything is
+    written: such results are for ``df.write``."""
     from xml.sax.saxutils import escape
 
+    for name, df in sheets.items():
+        if df.limit(most + 1).count() > most:
+            raise ValueError(f"sheet {name} has more than {most} rows")
+
     def cell(v: object) -> str:
         if v is None:
             return "<c/>"
@@ -152,7 +197,7 @@ def write_workbook(sheets: dict[str, DataFrame], path: str, most: int = 1_000_00
                 out.write(f'<?xml version="1.0"?><worksheet {ns}><sheetData>'.encode())
                 letters = [_letters(c) for c in range(len(df.columns))]
                 out.write(_row(1, letters, df.columns, cell))
-                for n, row in enumerate(df.limit(most).toLocalIterator(), 2):
+                for n, row in enumerate(df.toLocalIterator(), 2):
                     out.write(_row(n, letters, row, cell))
                 out.write(b"</sheetData></worksheet>")
 
