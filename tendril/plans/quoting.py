@@ -168,14 +168,15 @@ def goods_latest_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "extra_price_quotes",
     f"""WITH {PRICES_SQL}, one AS (
-  SELECT *, row_number() OVER (PARTITION BY code, supplier_id ORDER BY price) AS a FROM (SELECT DISTINCT code, supplier_id, price FROM prices)), three AS (
+  SELECT *, row_number() OVER (PARTITION BY code, supplier_id ORDER BY price) AS a FROM (SELECT DISTINCT code, supplier_id, price FROM prices WHERE price < 2000)), three AS (
   SELECT code, supplier_id, price, row_number() OVER (PARTITION BY code ORDER BY price, supplier_id) AS place FROM one WHERE a = 1)
 SELECT code, supplier_id, price, place FROM three WHERE place <= 3""",
 )
 def extra_price_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest three suppliers of a part, one quote each."""
-    cheapest = price_list(spark, sf_dir).groupBy("code", "supplier_id").agg(F.min("price").alias("price"))
-    return M.top(cheapest, ["code"], [F.col("price"), F.col("supplier_id")], 3, "place")
+    """Of a part's good offers (under 2,000) the three cheapest, one a
+    supplier."""
+    hits = price_list(spark, sf_dir).select("code", F.col("supplier_id").alias("supplier"), "price", F.when(F.col("price") < 2000, 100.0).otherwise(90.0).alias("score"), F.struct("price", "supplier_id").alias("rank"))
+    return Q.extra_quotes(hits, ["code"]).select("code", F.col("supplier").alias("supplier_id"), "price", "place")
 
 
 @query(
@@ -363,13 +364,16 @@ def procurement_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "quotes_not_yet_known",
-    f"""WITH {PRICES_SQL}
-SELECT DISTINCT a.code, a.supplier_id FROM prices a WHERE NOT EXISTS (SELECT 1 FROM prices b WHERE b.code = a.code AND b.supplier_id = a.supplier_id AND b.price < 1000)""",
+    f"""WITH {PRICES_SQL}, p AS (SELECT code, CASE WHEN supplier_id % 7 <> 0 THEN CAST(supplier_id AS VARCHAR) END AS supplier, price FROM prices), known AS (SELECT DISTINCT code, coalesce(supplier, '') AS s FROM p WHERE price < 1000)
+SELECT DISTINCT code, supplier FROM p WHERE NOT EXISTS (SELECT 1 FROM known k WHERE k.code = p.code AND k.s = coalesce(p.supplier, ''))""",
 )
 def quotes_not_yet_known(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Quotes that no known one equals."""
-    prices = price_list(spark, sf_dir)
-    return Q.new_quotes(prices.select("code", "supplier_id").distinct(), prices.filter("price < 1000").select("code", "supplier_id").distinct(), ["code", "supplier_id"])
+    """Quotes that no known one equals; some name no supplier, and in
+    known quotes that is an empty text."""
+    supplier = F.when(F.col("supplier_id") % 7 != 0, F.col("supplier_id").cast("string"))
+    prices = price_list(spark, sf_dir).select("code", supplier.alias("supplier"), "price")
+    known = prices.filter("price < 1000").select("code", F.coalesce("supplier", F.lit("")).alias("supplier"))
+    return Q.new_quotes(prices.select("code", "supplier").distinct(), known, ["code", "supplier"])
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tendril.plans import quoting, texts
+from tendril.plans import lookups, quoting, sheets, texts
 
-QUERIES: dict = {**quoting.QUERIES, **texts.QUERIES}
-ORACLES: dict = {**quoting.ORACLES, **texts.ORACLES}
+QUERIES: dict = {**quoting.QUERIES, **texts.QUERIES, **lookups.QUERIES, **sheets.QUERIES}
+ORACLES: dict = {**quoting.ORACLES, **texts.ORACLES, **lookups.ORACLES, **sheets.ORACLES}

@@ -59,15 +59,16 @@ def token_subset_block(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "containment_adjust",
     NAMES_SQL
-    + """, p AS (SELECT query, choice, strpos(choice, query) > 0 AS inside, 90.0 AS base FROM q, c WHERE substr(q.query, 1, 3) = substr(c.choice, 1, 3))
-SELECT query, choice, CASE WHEN query = choice THEN 100.0 ELSE least(CASE WHEN inside OR strpos(query, choice) > 0 THEN greatest(base, 95.0) ELSE base END + CASE WHEN inside THEN least(length(choice) - length(query), 20) * 0.3 ELSE 0.0 END, 100.0) END AS score
-FROM p""",
+    + """, p AS (SELECT query, choice, strpos(choice, query) > 0 AS inside, 100.0 * len(list_intersect(list_distinct(string_split(query, ' ')), string_split(choice, ' '))) / len(list_distinct(string_split(query, ' '))) AS base FROM q, c),
+s AS (SELECT query, choice, CASE WHEN query = choice THEN 100.0 ELSE least(CASE WHEN inside OR strpos(query, choice) > 0 THEN greatest(base, 95.0) ELSE base END + CASE WHEN inside THEN least(length(choice) - length(query), 20) * 0.3 ELSE 0.0 END, 100.0) END AS score FROM p)
+SELECT query, choice, CAST(score AS DOUBLE) AS score FROM s WHERE score >= 70""",
 )
 def containment_adjust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C6 over names that start alike."""
-    q, c = part_names(spark, sf_dir), catalog_names(spark, sf_dir)
-    met = q.join(c, F.substring("query", 1, 3) == F.substring("choice", 1, 3))
-    return met.select("query", "choice", T.adjust_score(F.col("query"), F.col("choice"), F.lit(90.0)).alias("score"))
+    """C6 over every pair of names, the share of common words being the score
+    that is adjusted."""
+    met = M.pairs(part_names(spark, sf_dir), catalog_names(spark, sf_dir))
+    met = met.withColumn("score", T.adjust_score(F.col("query"), F.col("choice"), 100 * T.token_overlap(F.col("query"), F.col("choice"))))
+    return met.filter(F.col("score") >= T.SIMILAR_THRESHOLD).select("query", "choice", "score")
 
 
 @query(
@@ -280,14 +281,14 @@ SESSIONS_SQL = "WITH s AS (SELECT user_id AS session_id, min(ts) AS created_at F
 
 @query(
     "session_ttl",
-    SESSIONS_SQL + " SELECT session_id, created_at FROM s WHERE created_at >= (SELECT min(ts) FROM events) - INTERVAL 8 HOURS ORDER BY created_at DESC, session_id DESC LIMIT 30",
+    SESSIONS_SQL + " SELECT session_id, created_at FROM s WHERE created_at >= (SELECT max(created_at) FROM s) - INTERVAL 8 HOURS ORDER BY created_at DESC, session_id DESC LIMIT 30",
 )
 def session_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sessions (first event of a user) alive at the table's start; at
+    """Sessions (first event of a user) alive when the last one starts; at
     most thirty."""
     events = load(spark, sf_dir, "events")
     sessions = events.groupBy(F.col("user_id").alias("session_id")).agg(F.min("ts").alias("created_at"))
-    now = F.lit(events.agg(F.min("ts")).first()[0])
+    now = F.lit(sessions.agg(F.max("created_at")).first()[0])
     return R.alive_sessions(sessions, now)
 
 
