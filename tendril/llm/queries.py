@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tendril.llm.audit import filter_audit
 from tendril.llm.exact import exact_dedup
+from tendril.llm.fingerprints import compare_with_next
 from tendril.llm.langid import identify_documents, identify_pages
 from tendril.llm.nearjoin import near_dedup
 from tendril.llm.packing import pack_documents
@@ -15,6 +17,7 @@ from tendril.llm.shared import table, tokenizer_path
 from tendril.llm.substring import substring_dedup
 from tendril.llm.toxicity import score_toxicity
 from tendril.llm.urls import judge_urls
+from tendril.llm.whitening import whiten
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -128,3 +131,69 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op3_sentencepiece"] = op3_sentencepiece
+
+
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES["op11_filter_interaction_audit"] = op11_filter_interaction_audit
+ORACLES["op11_filter_interaction_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, [x FOR x IN regexp_split_to_array(t, '[\x20\x09-\x0D]+') IF x <> ''] AS words, min(doc_id) OVER (PARTITION BY t) AS least FROM d
+), l AS (
+  SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id
+), m AS (
+  SELECT part, (len(words) < 200)::INT AS a, (100 * len(list_distinct(words)) < 50 * len(words))::INT AS b,
+         (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT AS c,
+         regexp_matches(t, '[#$%&*|]')::INT AS d, (doc_id > least)::INT AS e,
+         coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS bad
+  FROM w LEFT JOIN l USING (doc_id)
+), cells AS (
+  SELECT part, a, b, c, d, e, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (bad) AS n_bad FROM m GROUP BY ALL
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT f1.x || f2.x || f3.x || f4.x || f5.x AS filter_order FROM f f1, f f2, f f3, f f4, f f5
+  WHERE len(list_distinct([f1.x, f2.x, f3.x, f4.x, f5.x])) = 5
+), steps AS (
+  SELECT filter_order, s::INT AS step, filter_order[s] AS x, filter_order[1:s - 1] AS earlier FROM orders, range(1, 6) AS r(s)
+), fails AS (
+  SELECT part, n, n_good, n_bad, a + b + c + d + e AS fail_count,
+         (CASE WHEN a = 1 THEN 'A' ELSE '' END) || (CASE WHEN b = 1 THEN 'B' ELSE '' END) || (CASE WHEN c = 1 THEN 'C' ELSE '' END)
+         || (CASE WHEN d = 1 THEN 'D' ELSE '' END) || (CASE WHEN e = 1 THEN 'E' ELSE '' END) AS failed
+  FROM cells
+), judged AS (
+  SELECT part, filter_order, step, x, n, n_good, n_bad, fail_count, contains(failed, x) AS hit,
+         earlier <> '' AND regexp_matches(failed, '[' || CASE WHEN earlier = '' THEN '_' ELSE earlier END || ']') AS gone
+  FROM fails, steps
+), s AS (
+  SELECT part, filter_order, step, x,
+         coalesce(sum(n) FILTER (NOT gone AND NOT hit), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (NOT gone AND hit), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (gone AND hit), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (hit AND fail_count = 1), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n_good) FILTER (NOT gone AND hit), 0)::BIGINT AS good_lost,
+         coalesce(sum(n_bad) FILTER (NOT gone AND hit), 0)::BIGINT AS toxic_lost
+  FROM judged GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) OVER (PARTITION BY part, x)::BIGINT AS shapley
+FROM s
+"""
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op12_embedding_whitening"] = op12_embedding_whitening
+
+
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+QUERIES["op13_document_fingerprints"] = op13_document_fingerprints
