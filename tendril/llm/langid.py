@@ -20,7 +20,10 @@ rows share is no task of its own.  The models are a fixed number of values and
 are broadcast.
 
 A row is rejected if ``und`` reads better than every language, if it has no
-letters, or if the posterior of the best language is below ``LEAST``.
+letters, or if the posterior of the best language is below ``LEAST``.  A verdict
+follows from what a row holds, so ``drop_foreign`` drops rows by id, text,
+declaration and source together: rows that share an id, or have none, are judged
+each by itself.
 
 Defined cases: null or empty texts have no evidence of their own and are
 rejected; null markup, suffix or host is no evidence; declared languages outside
@@ -137,8 +140,11 @@ def identify(
     suffix: Column | None = None,
     host: Column | None = None,
     languages: tuple[str, ...] = LANGUAGES,
+    carry: dict[str, Column] | None = None,
 ) -> DataFrame:
-    """One row a row: the id, lang (or und), confidence, text_lang, kept."""
+    """One row a row: the id, lang (or und), confidence, text_lang, kept, and
+    the columns ``carry``."""
+    carry = {f"_c{k}": c for k, c in enumerate((carry or {}).values())}, list(carry or {})
     small_batches(docs.sparkSession)
     none = F.lit(None).cast("string")
     low = lambda c: none if c is None else F.nullif(F.lower(F.trim(c)), F.lit(""))
@@ -148,11 +154,12 @@ def identify(
         low(markup).alias("markup"),
         low(suffix).alias("suffix"),
         low(host).alias("host"),
+        *[c.alias(name) for name, c in carry[0].items()],
     )
     model = text_model(rows, languages)
     names = [f"t{k}" for k in range(len(languages) + 1)]
     kind = dict(rows.dtypes)["id"]
-    read = rows.mapInArrow(_scorer(model, names), f"id {kind}, markup string, suffix string, host string, n_trigrams long, " + ", ".join(f"{n} double" for n in names))
+    read = rows.mapInArrow(_scorer(model, names), f"id {kind}, markup string, suffix string, host string, {''.join(f'{c} {k}, ' for c, k in rows.dtypes if c in carry[0])}n_trigrams long, " + ", ".join(f"{n} double" for n in names))
     texts = {name: F.col(t) for name, t in zip((*languages, "und"), names, strict=True)}
     read = read.withColumn("text_lang", F.when(F.col("n_trigrams") > 0, _best(texts)))
     domain = F.substring_index("host", ".", -2)
@@ -189,7 +196,7 @@ def identify(
             chance = (table.get((name, m), 0) + 1.0) / (said + len(languages) + 1)
             of_markup = F.when(declared == m, F.lit(float(np.log(chance)))).otherwise(of_markup)
         scores[name] = TEMPER * text + F.log(of_host) + of_suffix + of_markup
-    out = joined.select("id", "n_trigrams", "text_lang", *[v.alias(f"p_{k}") for k, v in scores.items()])
+    out = joined.select("id", *carry[0], "n_trigrams", "text_lang", *[v.alias(f"p_{k}") for k, v in scores.items()])
     logs = {name: F.col(f"p_{name}") for name in languages}
     top = F.greatest(*logs.values())
     out = out.withColumns({"best": _best(logs), "confidence": 1 / sum((F.exp(v - top) for v in logs.values()), F.lit(0.0))})
@@ -201,14 +208,15 @@ def identify(
         F.when(kept, F.col("confidence")).otherwise(0.0).alias("confidence"),
         F.coalesce("text_lang", F.lit("und")).alias("text_lang"),
         kept.alias("kept"),
+        *[F.col(c).alias(name) for c, name in zip(*carry, strict=True)],
     )
 
 
-def identify_documents(docs: DataFrame) -> DataFrame:
+def identify_documents(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFrame:
     """Documents declare ``lang`` and their ``source`` is their host, whose
     last label is the address suffix where it has several."""
     suffix = F.when(F.col("source").contains("."), F.substring_index("source", ".", -1))
-    return identify(docs, markup=F.col("lang"), suffix=suffix, host=F.col("source"))
+    return identify(docs, markup=F.col("lang"), suffix=suffix, host=F.col("source"), carry=carry)
 
 
 def identify_pages(pages: DataFrame) -> DataFrame:
@@ -221,6 +229,11 @@ def identify_pages(pages: DataFrame) -> DataFrame:
 
 def drop_foreign(docs: DataFrame) -> DataFrame:
     """The documents whose language is told, with all their columns."""
-    own = fresh(docs, "gone")
-    gone = identify_documents(docs).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone[own]), "left_anti")
+    held = {"digest": F.md5(F.coalesce("text", F.lit(""))), "said": F.col("lang"), "origin": F.col("source")}
+    gone = identify_documents(docs, held).filter("NOT kept").select("doc_id", *held).distinct()
+    digest = fresh(docs, "digest")
+    rows, gone = docs.withColumn(digest, held["digest"]).alias("r"), gone.alias("g")
+    same = F.col(f"r.{digest}") == F.col("g.digest")
+    for mine, other in (("doc_id", "doc_id"), ("lang", "said"), ("source", "origin")):
+        same = same & F.col(f"r.{mine}").eqNullSafe(F.col(f"g.{other}"))
+    return rows.join(gone, same, "left_anti").drop(digest)

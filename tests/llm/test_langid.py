@@ -36,3 +36,16 @@ def test_odd_rows(spark):
     kept = drop_foreign(docs)
     assert kept.columns == docs.columns and kept.count() == 3
     assert identify(docs.limit(0)).count() == 0
+
+
+def test_rows_are_dropped_one_by_one(spark):
+    """A rejected row takes no other row of its id, or without one, along."""
+    english = "The committee will publish the whole report of the meeting on the following day, and everybody is welcome to read it."
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(None, english, "en", "src0"), (None, "12 34", "en", "src0"), (-1, english, None, None), (-7, english, "en", None), (-7, "", "en", None), (-7, None, "en", None)]
+    more = spark.createDataFrame([(*r, 0, "mine", "own") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string, said string")
+    every = docs.withColumn("digest", F.lit("d")).withColumn("said", F.lit("s")).unionByName(more)
+    left = drop_foreign(every)
+    assert left.columns == every.columns
+    got = sorted(((r.doc_id, r.text, r.digest) for r in left.filter("doc_id IS NULL OR doc_id < 0").collect()), key=str)
+    assert got == sorted([(None, english, "mine"), (-1, english, "mine"), (-7, english, "mine")], key=str)
