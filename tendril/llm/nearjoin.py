@@ -24,8 +24,11 @@ they draw from the same ``COORDS`` tokens: over the spread of agreeing positions
 (binomial 64, 0.8) it is about 6e-5; more similar pairs miss far less often.
 
 Defined cases: no words (or null text): empty set, linked with nothing; rows of
-one id are one vertex; rows without id stay unlinked (component_id null, kept);
-an empty table gives no rows; other columns are not read.
+one id and one text are one vertex, rows of one id and different texts are each
+a vertex of their own (all but one under a number from 2^62 on, where no id may
+lie), and a row is kept if its id is the least of its component; rows without id
+stay unlinked (component_id null, kept); ``drop_near_copies`` drops rows by id and
+text; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -57,6 +60,8 @@ ELEMENTS = 1_000_000
 #: Parts in which the rows of one component are dealt.
 SALT = 32
 GRID = 4_000
+#: Vertices of rows whose id other texts have as well are numbered from here.
+SURROGATE = 1 << 62
 COPIES_GRID = 500
 #: Of 64 two-bit positions; a pair at 0.8 has 54.4 in common, with deviation 2.9.
 LEAST_MATCHES = 38
@@ -112,7 +117,8 @@ def _signer(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
             longs = [pa.array(np.concatenate(c), pa.int64()) for c in cols[:5]]
             tokens = np.concatenate(cols[5])
             tokens = kernel.binary_column(tokens.ravel(), np.arange(len(tokens) + 1) * COORDS)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *longs, tokens], ["doc_id", "n", "a", "b", "low", "high", "tokens"])
+            carried = ["doc_id", "own", "mark"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *longs, tokens], [*carried, "n", "a", "b", "low", "high", "tokens"])
 
     return sign
 
@@ -195,8 +201,20 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
     return both.filter(F.col("shared") * 100 >= union * percent).select("u", "v")
 
 
+def _vertices(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` (own, text, mark: a hash of the text) with doc_id, the vertex
+    of each row, and whether any differs from the row's own id."""
+    shared = docs.filter("own IS NOT NULL").groupBy("own").agg(F.min("mark").alias("first"), F.max("mark").alias("last")).filter("first <> last")
+    shared = cut(shared.select("own", "first"))
+    if shared.isEmpty():
+        return docs.withColumn("doc_id", F.col("own")), False
+    other = F.xxhash64("own", "mark").bitwiseAND(F.lit(SURROGATE - 1)).bitwiseOR(F.lit(SURROGATE))
+    return docs.join(shared, "own", "left").withColumn("doc_id", F.when(F.col("mark") != F.col("first"), other).otherwise(F.col("own"))).drop("first"), True
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, and
+    text_hash, which tells rows of one id apart.
 
     ``size`` words a shingle; a link from ``percent`` of the union in common.
     The trees are laid out for thresholds of 80 per cent and above.
@@ -204,8 +222,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if percent < 80:
         raise ValueError("the trees are laid out for a similarity of 0.8 or more")
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = cut(texts.mapInArrow(_signer(size), "doc_id long, n long, a long, b long, low long, high long, tokens binary"))
+    rows, several = _vertices(docs.select(F.col(id_col).cast("long").alias("own"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark")))
+    texts = rows.select("doc_id", "text")
+    signed = cut(rows.select("doc_id", "own", "mark", "text").mapInArrow(_signer(size), "doc_id long, own long, mark long, n long, a long, b long, low long, high long, tokens binary"))
     able = signed.filter("n > 0 AND doc_id IS NOT NULL")
     classes = able.groupBy("a", "b", "n").agg(F.min("doc_id").alias("rep"))
     reps = able.join(classes, ["a", "b", "n"]).filter("doc_id = rep").dropDuplicates(["doc_id", "a", "b"])
@@ -244,12 +263,17 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     place = F.coalesce(F.col("component"), F.col("rep"), F.col("doc_id"))
     out = (
-        signed.select("doc_id", "n", "a", "b")
+        signed.select("doc_id", "own", "mark", "n", "a", "b")
         .join(classes, ["a", "b", "n"], "left")
         .join(found.withColumnRenamed("u", "rep"), "rep", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, place).otherwise(F.col("doc_id"))).alias("component_id"))
+        .select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, place).otherwise(F.col("doc_id"))).alias("component_id"), F.col("mark").alias("text_hash"))
     )
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    if several:  # a component's least id may stand behind another number
+        out = cut(out)
+        least = out.filter("component_id IS NOT NULL").groupBy("component_id").agg(F.min("doc_id").alias("least")).filter("least <> component_id")
+        out = out.join(least, "component_id", "left").withColumn("component_id", F.coalesce("least", "component_id")).drop("least")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), "text_hash")
 
 
 def _across(seen: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
@@ -339,6 +363,7 @@ def _in_blocks(seen: DataFrame, sketch: DataFrame, texts: DataFrame, size: int,
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` whose document stays, with all their columns."""
-    own = fresh(docs, "gone")
-    gone = near_dedup(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias(own)).distinct()
-    return docs.join(gone, docs[id_col] == gone[own], "left_anti")
+    mark = fresh(docs, "text_hash")
+    gone = near_dedup(docs, id_col, text_col, size, percent).filter("NOT kept").select(F.col("doc_id").alias("gone"), "text_hash").distinct()
+    rows, gone = docs.withColumn(mark, F.xxhash64(text_col)).alias("r"), gone.alias("g")
+    return rows.join(gone, (F.col(f"r.{id_col}") == F.col("g.gone")) & (F.col(f"r.{mark}") == F.col("g.text_hash")), "left_anti").drop(mark)
