@@ -1,17 +1,19 @@
 """Quality rules with thresholds learnt from the corpus.
 
 ``measure`` counts words, symbols, repeated lines and repeated 3-word windows of
-each whole text.  ``fences`` builds one mergeable quantile sketch a language,
+each whole text.  ``sketch`` builds one mergeable quantile sketch a language,
 source and measure: values fall into logarithmic bins (relative error
 ``ACCURACY``), bins are counted by a partial and a final sum, and quantiles are
-read off the running counts.  Bin counts merge in any order to the same sketch,
+read off the running counts (``quantiles``).  Bin counts merge in any order to the same sketch,
 so a lost executor changes nothing.  A document goes if it fails the base rules
 or lies outside the fences of its language and source: for each measure two
 quantiles (``FENCES``), and from the higher one upwards and the lower one
-downwards a multiple of their distance.  Groups below ``LEAST_GROUP`` documents,
-and groups whose two quantiles fall in one bin, have their language's fences,
-and languages of that kind the corpus's; only a measure without spread in all of
-them has a fixed distance (``SLACK``) from its quantile.
+downwards a multiple of their distance.  A group's quantiles are averaged with its
+language's, and those with the corpus's, which count as ``PRIOR`` documents: so
+every group of every size has fences of its own, the nearer to its language's the
+fewer documents it has.  Quantiles that fall in one bin say nothing of a spread
+and weigh nothing; only a measure without spread in the whole corpus has a fixed
+distance (``SLACK``) from its quantile.
 
 Defined cases: null and empty texts have no words and fail the base rules; null
 and empty languages or sources are one group; repeated rows are separate
@@ -31,8 +33,8 @@ from tendril.llm import kernel
 from tendril.llm.shared import cut, small_batches
 
 ACCURACY = 0.001
-#: Documents that a group needs for fences of its own.
-LEAST_GROUP = 1_000
+#: Documents that a parent's quantiles count as.
+PRIOR = 500
 #: What is measured: lower and upper quantile, and the multiple of their
 #: distance.  Few texts repeat anything, so repetition goes by upper quantiles.
 FENCES = {
@@ -146,9 +148,9 @@ def merge(sketches: DataFrame, by: list[str]) -> DataFrame:
     return sketches.groupBy(*by, "measure", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """For each group its documents and by measure a struct of ``low`` and
-    ``high``, the fences (null without spread), and the upper quantile ``at``."""
+def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """For each group its documents and by measure a struct of the quantiles
+    ``low`` and ``high`` (null without spread), and the upper quantile ``at``."""
     keys = [*by, "measure"]
     so_far = Window.partitionBy(*keys).orderBy("bin")
     ranked = sketches.withColumn("below", F.sum("n").over(so_far)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys)))
@@ -158,8 +160,8 @@ def fences(sketches: DataFrame, by: list[str]) -> DataFrame:
     at = lambda q: F.min(F.when(F.col("below") >= F.greatest(F.ceil(F.col("all") * q), F.lit(1)), F.col("bin")))
     per = ranked.groupBy(*keys).agg(F.max("all").alias("size"), at(level(0)).alias("lower"), at(level(1)).alias("upper"))
     low, high = _value(F.col("lower")), _value(F.col("upper"))
-    wide = F.when(F.col("upper") > F.col("lower"), level(2) * (high - low))
-    per = per.withColumn("fence", F.struct((low - wide).alias("low"), (high + wide).alias("high"), high.alias("at")))
+    wide = lambda v: F.when(F.col("upper") > F.col("lower"), v)
+    per = per.withColumn("fence", F.struct(wide(low).alias("low"), wide(high).alias("high"), high.alias("at")))
     return per.groupBy(*by).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == m, F.col("fence"))).alias(m) for m in FENCES])
 
 
@@ -169,19 +171,27 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     fine = cut(sketch(measured.filter(~failed), ["lang", "source"]))
     coarse = merge(fine, ["lang"])
-    # A few numbers: the corpus's fences are values of the plan, not a join.
-    whole = fences(merge(coarse, []), []).first()
-    own = fences(fine, ["lang", "source"]).filter(F.col("size") >= LEAST_GROUP).select("lang", "source", F.struct(*FENCES).alias("own"))
-    lang = fences(coarse, ["lang"]).filter(F.col("size") >= LEAST_GROUP).select("lang", F.struct(*FENCES).alias("of_lang"))
+    # A few numbers: the corpus's quantiles are values of the plan, not a join.
+    whole = quantiles(merge(coarse, []), []).first()
+    own = quantiles(fine, ["lang", "source"]).select("lang", "source", F.struct("size", *FENCES).alias("own"))
+    lang = quantiles(coarse, ["lang"]).select("lang", F.struct("size", *FENCES).alias("of_lang"))
     joined = measured.join(own, ["lang", "source"], "left").join(lang, ["lang"], "left")
 
     def outside(m: str, value: Column) -> Column:
         of = whole[m] if whole and whole[m] is not None else None
-        slack = SLACK[m]
-        least = F.lit(float("-inf") if of is None else of.at - slack if of.low is None else of.low)
-        most = F.lit(float("inf") if of is None else of.at + slack if of.high is None else of.high)
-        either = lambda side, last: F.coalesce(F.col("own")[m][side], F.col("of_lang")[m][side], last)
-        return (value > either("high", most)) | (value < either("low", least))
+        if of is None:  # nothing passed the base rules
+            return F.lit(False)
+
+        def shrunk(side: str) -> Column:
+            level = F.lit(of[side]).cast("double")
+            for name in ("of_lang", "own"):
+                mine, n = F.col(name)[m][side], F.col(name)["size"]
+                level = F.coalesce((n * mine + PRIOR * level) / (n + PRIOR), mine, level)
+            return level
+
+        low, high = shrunk("low"), shrunk("high")
+        far = FENCES[m][2] * (high - low)
+        return (value > F.coalesce(high + far, F.lit(of.at + SLACK[m]))) | (value < F.coalesce(low - far, F.lit(of.at - SLACK[m])))
 
     beyond = [F.when(outside(m, value), F.lit(m)) for m, value in ratios().items()]
     return (

@@ -42,7 +42,7 @@ def quantile(values, share):
     return values[max(math.ceil(len(values) * share), 1) - 1]
 
 
-def exact_verdicts(rows, least_group):
+def exact_verdicts(rows, prior):
     """By document and measure: its value and the exact fences."""
     ratios = {
         "chars_per_word": lambda r: r.word_chars / max(r.n_words, 1),
@@ -57,26 +57,30 @@ def exact_verdicts(rows, least_group):
             if not r.base_failed:
                 for key in ((r.lang, r.source), (r.lang,), ()):
                     groups.setdefault(key, []).append(ratios[m](r))
-        bounds = {}
-        for key, values in groups.items():
+        bounds, top = {}, quantile(groups[()], hi)
+        for key in sorted(groups, key=len):  # parents first
+            values = groups[key]
             a, b = quantile(values, lo), quantile(values, hi)
-            wide = b > a * (1 + 5 * rules.ACCURACY)
-            if not key or (len(values) >= least_group and wide):
-                d = times * (b - a) if wide else rules.SLACK[m]
-                bounds[key] = a - d if wide else b - d, b + d, b
+            parent = bounds.get(key[:-1]) if key else None
+            if b <= a * (1 + 5 * rules.ACCURACY):
+                bounds[key] = parent
+            elif parent:
+                bounds[key] = tuple((len(values) * own + prior * of) / (len(values) + prior) for own, of in zip((a, b), parent, strict=True))
+            else:
+                bounds[key] = a, b
         for r in rows:
-            bound = next((bounds[k] for k in ((r.lang, r.source), (r.lang,), ()) if k in bounds))
+            a, b = next((bounds[k] for k in ((r.lang, r.source), (r.lang,), ()) if bounds.get(k)), (None, None))
+            bound = (top - rules.SLACK[m], top + rules.SLACK[m], top) if a is None else (a - times * (b - a), b + times * (b - a), b)
             out[r.doc_id, m] = ratios[m](r), bound, times
     return out
 
 
-def test_verdict_matches_exact_quantiles(spark, monkeypatch):
-    monkeypatch.setattr(rules, "LEAST_GROUP", 250)
+def test_verdict_matches_exact_quantiles(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("lang in ('en', 'fr')")
     rows = judge(docs).collect()
     lines = {r.doc_id: len([x for x in r.text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]) for r in docs.collect()}
     rows = [SimpleNamespace(**r.asDict(), lines=lines[r.doc_id]) for r in rows]
-    told = exact_verdicts(rows, 250)
+    told = exact_verdicts(rows, rules.PRIOR)
     unclear = 0
     for r in rows:
         for m in rules.FENCES:
@@ -116,3 +120,14 @@ def test_judge(spark):
 
 def test_empty_table(spark):
     assert judge(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_small_groups_have_fences_of_their_own(spark):
+    """Twelve documents of long words pull their fence, but hardly."""
+    rows = [(i, " ".join(f"{'w' * (3 + i % 5)}{i}x{j}" for j in range(60)), "en", "a", "k", "n") for i in range(300)]
+    long = [(1000 + i, " ".join(f"{'w' * (24 + i % 5)}{i}x{j}" for j in range(60)), "en", "b", "k", "n") for i in range(12)]
+    alone = {r.doc_id: r.kept for r in judge(spark.createDataFrame(rows + long, SCHEMA)).collect()}
+    more = [(5000 + i, " ".join(f"{'w' * (24 + i % 5)}{i}y{j}" for j in range(60)), "en", "b", "k", "n") for i in range(3000)]
+    many = {r.doc_id: r.kept for r in judge(spark.createDataFrame(rows + long + more, SCHEMA)).collect()}
+    assert not any(alone[1000 + i] for i in range(12)) and all(many[1000 + i] for i in range(12))
+    assert all(alone[i] for i in range(300))
