@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tendril.llm import kernel
-from tendril.llm.shared import cut, small_batches
+from tendril.llm.shared import cut, fresh, small_batches
 
 LENGTH = 2048
 END = 0
@@ -327,9 +327,9 @@ def _breeder(epoch: int, length: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return breed
 
 
-def _bred(pieces: DataFrame, shards: int, length: int) -> DataFrame:
+def _bred(pieces: DataFrame, shards: int, length: int, turn: int = 0) -> DataFrame:
     """(uid, length, shard, bin, fill): each shard's best chromosome."""
-    people = pieces.select("uid", "length", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
+    people = pieces.select("uid", "length", F.pmod(F.xxhash64("uid", F.lit(turn)) if turn else F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard"))
     people = people.withColumns({"island": F.explode(F.array(*[F.lit(k) for k in range(ISLANDS)])), "bin": F.lit(-1), "guest": F.lit(-1)})
     schema = "uid long, length long, shard int, island int, bin int, guest int, bins int, spread double, fill long"
     for epoch in range(EPOCHS):
@@ -345,37 +345,51 @@ def _bred(pieces: DataFrame, shards: int, length: int) -> DataFrame:
 
 def pack(pieces: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFrame:
     """``pieces`` (with a ``length`` of at most ``length``) with sequence_id
-    and offset; every other column is kept."""
+    and offset; every other column is kept.
+
+    Pieces of ill-filled bins are packed again, dealt into other shards; a turn
+    that leaves over 70 % of its pieces in such bins has one more after it, and
+    what that leaves stays as bred.
+    """
     if shard > MOST_BINS // 2:
         raise ValueError(f"a shard may have {MOST_BINS // 2} pieces at most")
-    pieces = cut(pieces.withColumn("uid", F.monotonically_increasing_id()))
+    uid, seq = fresh(pieces, "uid"), fresh(pieces, "seq")
+    pieces = cut(pieces.withColumn(uid, F.monotonically_increasing_id()))
     # Numbers of sequences: odd ones for whole pieces, even ones for bins.
     number = lambda turn: ((F.lit(turn * MOST_SHARDS).cast("long") + F.col("shard")) * MOST_BINS + F.col("bin")) * 2
-    placed = pieces.filter(F.col("length") == length).select("uid", (F.col("uid") * 2 + 1).alias("seq"))
-    rest, turn = pieces.filter(F.col("length") < length).select("uid", "length"), 0
+    placed = pieces.filter(F.col("length") == length).select(F.col(uid).alias("uid"), (F.col(uid) * 2 + 1).alias("seq"))
+    rest, turn, stuck = pieces.filter(F.col("length") < length).select(F.col(uid).alias("uid"), "length"), 0, 0
     left = rest.count()
     while left:
         shards = -(-left // shard)
-        bred = cut(_bred(rest, shards, length))
+        bred = cut(_bred(rest, shards, length, turn))
         full = bred if shards == 1 else bred.filter(F.col("fill") >= LEAST_FILL * length)
         placed = placed.union(full.select("uid", number(turn).alias("seq")))
         if shards == 1:
             break
         rest = bred.filter(F.col("fill") < LEAST_FILL * length).select("uid", "length")
         now = rest.count()
-        if now > 0.7 * left:  # hardly any full bins come out: what is left stays as bred
+        stuck += now > 0.7 * left  # hardly any full bins came out
+        if stuck > 1:
             placed = placed.union(bred.filter(F.col("fill") < LEAST_FILL * length).select("uid", number(turn).alias("seq")))
             break
         left, turn = now, turn + 1
     # Offsets within a sequence: at most ``length`` pieces, so a window is small.
-    before = Window.partitionBy("seq").orderBy("uid").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(seq).orderBy(uid).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        pieces.join(placed, "uid")
-        .withColumns({"sequence_id": F.col("seq"), "offset": F.coalesce(F.sum("length").over(before), F.lit(0))})
-        .drop("uid", "seq")
+        pieces.join(placed.select(F.col("uid").alias(uid), F.col("seq").alias(seq)), uid)
+        .withColumns({"sequence_id": F.col(seq), "offset": F.coalesce(F.sum("length").over(before), F.lit(0))})
+        .drop(uid, seq)
     )
 
 
+def report(packed: DataFrame, length: int = LENGTH) -> DataFrame:
+    """One row: sequences used, the least that the tokens need, their fill."""
+    sizes = packed.groupBy("sequence_id").agg(F.sum("length").alias("tokens"))
+    least = F.ceil(F.sum("tokens") / length)
+    return sizes.agg(F.count(F.lit(1)).alias("sequences"), least.alias("least"), (F.sum("tokens") / (F.count(F.lit(1)) * length)).alias("fill"))
+
+
 def sequences(packed: DataFrame) -> DataFrame:
     """The sequences' ids themselves; ``packed`` has ``ids`` (binary)."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
