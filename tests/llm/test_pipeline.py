@@ -38,3 +38,30 @@ def test_stages_keep_columns(spark):
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+def test_rows_without_or_with_shared_ids_pass_every_stage(spark, tmp_path):
+    """Every text that no other row holds comes out, whatever its id."""
+    base = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = sorted((r.text for r in base.filter("lang = 'en' AND n_chars BETWEEN 300 AND 900").collect()), key=len)
+    a, b, c, d = [t for k, t in enumerate(lines) if t not in lines[:k]][:4]
+    rows = [(None, a), (None, "12 34"), (None, b), (7, c), (7, ""), (7, d), (-1, a + "\n"), (None, a), (-2, "%% 99")]
+    odd = spark.createDataFrame([(i, t, "en", "src0", 0, "mine", 5) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, digest string, uid int")
+    docs = base.filter("doc_id > 100000").selectExpr("*", "'x' AS digest", "1 AS uid").unionByName(odd)
+    stages = corpus_pipeline.STAGES
+    for name, stage in stages[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        left = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if name == "language_id":
+            assert left == sorted([(None, a), (None, b), (7, c), (7, d), (-1, a + "\n"), (None, a)], key=str)
+        else:  # of the equal texts the longest stays
+            assert left == sorted([(None, b), (7, c), (7, d), (-1, a + "\n")], key=str), name
+        assert {r.digest for r in docs.collect()} == {"mine"}
+    tokenizer = ChunkEncoder(tokenizer_path("word_bpe_49k.json")).tokenizer
+    packed = stages[-1][1](spark, docs, "/root/testdata/sf0.001").collect()
+    want = sorted((i, len(tokenizer.encode(t, add_special_tokens=False).ids) + 1) for i, t in [(-1, a + "\n"), (7, c), (7, d)])
+    got = sorted((r.doc_id, r.length) for r in packed if r.doc_id is not None)
+    assert got == want and sum(r.doc_id is None for r in packed) == 1
