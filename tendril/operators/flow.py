@@ -23,8 +23,10 @@ from tendril.functions import text as T
 from tendril.functions.similarity import name_match_score
 from tendril.operators import catalog as C
 from tendril.operators import quotes as Q
+from tendril.operators.fuzzyjoin import close_pairs
 from tendril.operators.items import apply_quotes, local_match, pick_best
 from tendril.operators.matching import best_fuzzy, is_relevant, pairs, scored, top
+from tendril.sources.shared import written
 
 # Labels of the comparison, and a purchase report's score.
 CATALOG_LABEL, REGISTRY_LABEL = "Каталог", "Реестр остатков"
@@ -44,17 +46,6 @@ class Tables:
     web: DataFrame
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df``, computed once: a checkpoint in the folder of spark.checkpoint.dir."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
-
-
 def find_candidates(items: DataFrame, tables: Tables) -> DataFrame:
     """The best five rows of each of the three sources for each item, with the
     fields of their rows: item_id, source, row_idx, name, score, rank, cost,
@@ -72,25 +63,31 @@ def find_candidates(items: DataFrame, tables: Tables) -> DataFrame:
     return out
 
 
+def _asked(items: DataFrame) -> DataFrame:
+    spec = T.usable_spec(F.col("asked"), F.col("specifications"))
+    return items.select("item_id", F.col("name").alias("asked"), "specifications").withColumns({"query": T.normalize_name("asked"), "spec_query": T.normalize_name(spec)})
+
+
 def judged_pairs(items: DataFrame, rows: DataFrame, most: int | None) -> DataFrame:
     """Items and the rows of a table (row_idx, name, ...), the ``most`` best of
-    each item by name (None: all that score 95), with of_name, of_spec,
-    relevance (the better of both), relevant and mismatch."""
-    spec = T.usable_spec(F.col("asked"), F.col("specifications"))
-    asked = items.select("item_id", F.col("name").alias("asked"), "specifications").withColumns({"query": T.normalize_name("asked"), "spec_query": T.normalize_name(spec)})
+    each item by name (None: all that score 95, found by index), with of_name,
+    of_spec, relevance (the better of both), relevant and mismatch."""
+    asked = _asked(items)
     rows = rows.withColumn("choice", T.normalize_name("name"))
     texts = rows.groupBy("choice").agg(F.min("row_idx").alias("first_row"))
-    found = scored(pairs(asked, texts)).withColumnRenamed("score", "of_name")
     if most is None:
-        found = found.filter(F.col("of_name") >= T.LOCAL_THRESHOLD)
-    else:
-        found = top(found.join(texts, "choice"), ["query"], [F.desc("of_name"), F.col("first_row")], most, "_text").drop("_text", "first_row")
-    met = asked.join(found, "query").join(rows, "choice")
-    if most is not None:
-        met = top(met, ["item_id"], [F.desc("of_name"), F.col("row_idx")], most, "_nth")
+        found = close_pairs(asked, texts).withColumnRenamed("score", "of_name")
+        return _judged(asked.join(found, "query").join(rows, "choice"), F.col("of_name"))
+    found = scored(pairs(asked, texts)).withColumnRenamed("score", "of_name")
+    found = top(found.join(texts, "choice"), ["query"], [F.desc("of_name"), F.col("first_row")], most, "_text").drop("_text", "first_row")
+    met = top(asked.join(found, "query").join(rows, "choice"), ["item_id"], [F.desc("of_name"), F.col("row_idx")], most, "_nth")
+    return _judged(met, None)
+
+
+def _judged(met: DataFrame, score: Column | None) -> DataFrame:
     met = met.withColumn("of_spec", F.when(F.col("spec_query").isNotNull(), name_match_score(F.coalesce("spec_query", F.lit("")), F.col("choice"))))
     met = met.withColumn("relevance", F.greatest(F.col("of_name"), F.coalesce("of_spec", F.lit(0.0))))
-    score = F.col("of_name") if most is None else F.col("relevance")
+    score = F.col("relevance") if score is None else score
     relevant = is_relevant(F.col("asked"), F.col("specifications"), F.col("choice"), F.col("of_name"), F.col("of_spec"), score)
     return met.withColumns({"relevant": relevant, "mismatch": T.distinctive_mismatch(F.col("query"), F.col("choice"))})
 
@@ -105,8 +102,27 @@ def direct_catalog(items: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def goods_match(items: DataFrame, goods: DataFrame) -> DataFrame:
     """Each item's purchase: of the three best rows by name the most relevant,
-    if it reaches 95."""
-    good = judged_pairs(items, goods, 3).filter((F.col("relevance") >= T.LOCAL_THRESHOLD) & F.col("relevant") & ~F.col("mismatch"))
+    if it reaches 95.
+
+    Rows that reach 95 by name or by specification come from the index.  Only
+    where a specification finds a row that the name doesn't, and the name finds
+    under three, does it matter which rows are best below 95: those items, and no
+    others, are scored against all rows.
+    """
+    asked, rows = _asked(items), goods.withColumn("choice", T.normalize_name("name"))
+    texts = rows.select("choice").distinct()
+    both = asked.select("query").union(asked.select(F.col("spec_query").alias("query")))
+    near = written(close_pairs(both, texts))
+    by_name = asked.join(near.withColumnRenamed("score", "of_name"), "query").join(rows, "choice")
+    counts = by_name.groupBy("item_id").agg(F.count(F.lit(1)).alias("_n"))
+    by_spec = asked.join(near.select(F.col("query").alias("spec_query"), "choice"), "spec_query").join(near.select("query", "choice"), ["query", "choice"], "left_anti")
+    open_items = by_spec.select("item_id").distinct().join(counts.filter("_n >= 3"), "item_id", "left_anti")
+    rest = written(items.join(open_items, "item_id", "left_semi"))
+    first = top(by_name.join(rest.select("item_id"), "item_id", "left_anti"), ["item_id"], [F.desc("of_name"), F.col("row_idx")], 3, "_nth")
+    met = _judged(first, None)
+    if not rest.isEmpty():
+        met = met.unionByName(judged_pairs(rest, goods, 3))
+    good = met.filter((F.col("relevance") >= T.LOCAL_THRESHOLD) & F.col("relevant") & ~F.col("mismatch"))
     best = top(good, ["item_id"], [F.desc("relevance"), F.desc("of_name"), F.col("row_idx")], 1, "_one")
     return best.select("item_id", F.col("name").alias("goods_name"), "supplier", "purchase_date", F.col("cost").alias("goods_cost"), F.col("price").alias("goods_price"), F.col("relevance").alias("goods_score"), "procurement")
 
@@ -136,11 +152,11 @@ def component_lines(names: DataFrame, tables: Tables) -> DataFrame:
     the catalog's row from 95, its purchase going first for the cost; else the
     price list's price."""
     minis = names.select(F.col("name").alias("item_id"), "name", F.lit("").alias("specifications"))
-    minis = _written(minis)
-    hits = _written(find_candidates(minis, tables).filter("source <> 'registry'"))
-    picked = _written(pick_best(minis, hits))
+    minis = written(minis)
+    hits = written(find_candidates(minis, tables).filter("source <> 'registry'"))
+    picked = written(pick_best(minis, hits))
     own = picked.filter((F.col("source") == "catalog") & (F.col("score") >= T.LOCAL_THRESHOLD) & ~F.col("mismatch"))
-    own = _written(own.select("item_id", F.col("name").alias("catalog_name"), "cost", "price"))
+    own = written(own.select("item_id", F.col("name").alias("catalog_name"), "cost", "price"))
     listed = picked.filter("source = 'price_list'").select("item_id", F.col("price").alias("list_price"))
     purchase = lambda asked, p: goods_match(asked, tables.goods).select("item_id", *[F.col(c).alias(f"{p}{c}") for c in ("supplier", "purchase_date", "goods_cost", "goods_price")])
     by_catalog = purchase(own.select("item_id", F.col("catalog_name").alias("name"), F.lit("").alias("specifications")), "c_")
@@ -169,7 +185,7 @@ def kit_lines(items: DataFrame, hits: DataFrame, tables: Tables, sheets: list[st
     sure = is_relevant(F.col("_asked"), F.col("specifications"), F.col("_choice"), F.col("_n"), F.col("_p"), F.col("score")) & (F.greatest(F.col("_n"), F.coalesce("_p", F.lit(0.0))) >= T.LOCAL_THRESHOLD)
     known = judged.filter(sure).select("item_id")
     listed = C.kit_components(items.select("item_id", "specifications")).join(known, "item_id", "left_anti").select("item_id", F.posexplode("components").alias("pos", "name"))
-    listed = _written(listed)
+    listed = written(listed)
     told = listed.join(component_lines(listed.select("name").distinct(), tables), "name").withColumns({"from_specs": F.lit(True), "quantity": F.lit(1.0)})
     own = C.kit_members(tables.catalog, list(sheets)).select("kit_row", F.col("row_idx").alias("pos"), "name", "cost", "price")
     own = hits.select("item_id", F.col("row_idx").alias("kit_row")).join(listed.select("item_id").distinct(), "item_id", "left_anti").join(own, "kit_row")
@@ -212,23 +228,23 @@ def match_items(items: DataFrame, tables: Tables, disabled: list[str] = (), excl
     unit_base_price, unit_price, total_price, supplier, purchase_date, is_kit,
     n_components, n_quotes, internet, url, local_miss and the ladder's rung."""
     c = F.col
-    items = _written(items)
-    candidates = _written(find_candidates(items, tables))
-    picked = _written(pick_best(items, candidates))
-    hits = _written(catalog_hits(items, candidates, tables.catalog))
-    goods = _written(goods_match(items, tables.goods))
-    lines = _written(kit_lines(items, hits, tables, sheets))
+    items = written(items)
+    candidates = written(find_candidates(items, tables))
+    picked = written(pick_best(items, candidates))
+    hits = written(catalog_hits(items, candidates, tables.catalog))
+    goods = written(goods_match(items, tables.goods))
+    lines = written(kit_lines(items, hits, tables, sheets))
     kits = C.kit_totals(lines, ["item_id"]).join(lines.groupBy("item_id").agg(F.bool_or("from_specs").alias("from_specs"), F.count_if("found_in_catalog").alias("in_catalog")), "item_id")
     checks = supplier_price(items.select("item_id", "name").join(goods.select("item_id", "supplier"), "item_id").filter("supplier IS NOT NULL"), tables.prices)
     web = tables.web if "web" not in disabled else tables.web.limit(0)
-    quotes = _written(Q.filter_quotes(comparison(candidates, picked, hits, kits, goods, checks, web), list(disabled), list(excluded)))
+    quotes = written(Q.filter_quotes(comparison(candidates, picked, hits, kits, goods, checks, web), list(disabled), list(excluded)))
 
     sure = picked.filter("source <> 'registry'").select("item_id", "source", "score", "price", "relevant", "mismatch")
     side = lambda source, p: sure.filter(c("source") == source).select("item_id", c("price").alias(f"{p}_price"), c("score").alias(f"{p}_score"), (c("relevant") & ~c("mismatch")).alias(f"{p}_ok"))
     # The catalog's own row was judged when it was picked.
     own = hits.select("item_id", c("cost").alias("catalog_cost"), c("price").alias("catalog_price"), c("score").alias("catalog_score"))
     own = own.join(side("catalog", "picked"), "item_id", "left").withColumn("catalog_ok", F.coalesce(c("picked_ok") | (c("catalog_score") > c("picked_score")), F.lit(True))).drop("picked_price", "picked_score", "picked_ok")
-    local = _written(local_match(items, candidates)).select("item_id", c("status").alias("local_status"), c("source").alias("local_source"), c("score").alias("local_score"), c("unit_cost").alias("local_cost"), c("unit_base_price").alias("local_price"), c("matched_name").alias("local_name"))
+    local = written(local_match(items, candidates)).select("item_id", c("status").alias("local_status"), c("source").alias("local_source"), c("score").alias("local_score"), c("unit_cost").alias("local_cost"), c("unit_base_price").alias("local_price"), c("matched_name").alias("local_name"))
     best_web = Q.best_web(quotes, ["item_id"]).select("item_id", c("price").alias("web_price"), c("matched_name").alias("web_name"))
     joined = items
     for df in (local, own, goods, side("price_list", "price"), best_web, Q.internet_url(quotes, ["item_id"]), kits):
@@ -250,7 +266,7 @@ def match_items(items: DataFrame, tables: Tables, disabled: list[str] = (), excl
             "local_miss": ~F.coalesce(confident, false),
         }
     )
-    solved = _written(Q.resolve(_written(joined)))
+    solved = written(Q.resolve(written(joined)))
     # A kit by its specification is priced by its components.
     by_kit = F.coalesce(c("from_specs") & (c("sum_cost").isNotNull() | c("sum_price").isNotNull()), false)
     solved = solved.withColumns(
@@ -267,7 +283,7 @@ def match_items(items: DataFrame, tables: Tables, disabled: list[str] = (), excl
     shelf = picked.filter("source = 'price_list'").select("item_id", c("name").alias("shelf_name"))
     solved = solved.join(named, "item_id", "left").join(shelf, "item_id", "left")
     names = F.coalesce(names, F.when(c("rung") == 3, c("hit_name")).when(c("rung") == 5, c("shelf_name")), F.when(by_kit, c("name")))
-    solved = _written(solved)
+    solved = written(solved)
     results = solved.select("item_id", "name", "status", "source", "score", names.alias("matched_name"), "unit_cost", "unit_base_price", (c("rung") == 6).alias("internet"))
     # Of the local quotes only those that tell the item may price it.
     judged = quotes.join(picked.select("item_id", "source", c("name").alias("matched_name"), "relevant", "mismatch"), ["item_id", "source", "matched_name"], "left")

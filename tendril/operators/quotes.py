@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tendril.functions import text as T
 from tendril.functions import web as Wb
+from tendril.operators.containment import containing
 from tendril.operators.matching import top
 
 # Which source's price counts first, when matching and when a
@@ -24,11 +25,11 @@ def priority(source: Column, order: dict[str, int]) -> Column:
 
 def by_supplier(needs: DataFrame, prices: DataFrame) -> DataFrame:
     """Needs (supplier) and prices (supplier) where one name holds the other's,
-    case aside.  The distinct supplier names are matched first, so that the
-    rows themselves meet in an equi-join."""
-    wanted = needs.select("supplier").distinct().withColumn("part", F.lower(F.trim("supplier"))).filter("part <> ''")
-    known = prices.select(F.col("supplier").alias("known")).distinct()
-    names = known.join(wanted, F.lower("known").contains(F.col("part")))
+    case aside.  The distinct supplier names are matched first, by an index of
+    their substrings, so that the rows themselves meet in an equi-join."""
+    wanted = needs.select("supplier").distinct().withColumn("pattern", F.lower(F.trim("supplier")))
+    known = prices.select(F.col("supplier").alias("known")).distinct().withColumn("text", F.lower("known"))
+    names = containing(known, wanted).join(known, "text").join(wanted, "pattern").select("supplier", "known")
     return needs.join(names, "supplier").join(prices.withColumnRenamed("supplier", "known"), "known")
 
 
