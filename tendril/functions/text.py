@@ -26,14 +26,15 @@ KIT_HEADER = r"(?iuU)(?:включает|в\s+состав\s+вход|состо
 EXACT_THRESHOLD, LOCAL_THRESHOLD, SIMILAR_THRESHOLD, WEB_THRESHOLD = 90.0, 95.0, 70.0, 100.0
 
 
-def _strip(x: Column) -> Column:
+def strip(x: Column) -> Column:
+    """Without white space at its ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
 def normalize_name(x: Column) -> Column:
     """Lower case, one space between words, then no quote marks (which may
     leave two spaces where a mark stood alone)."""
-    return F.regexp_replace(F.regexp_replace(_strip(F.lower(x)), r"(?U)\s+", " "), "[«»\"']", "")
+    return F.regexp_replace(F.regexp_replace(strip(F.lower(x)), r"(?U)\s+", " "), "[«»\"']", "")
 
 
 def tokens(x: Column) -> Column:
@@ -70,9 +71,9 @@ def cell_text(x: Column) -> Column:
 def primary_spec_line(specs: Column) -> Column:
     """The first line without its code and compliance mark; empty for none."""
     first = F.substring_index(F.regexp_replace(F.coalesce(specs, F.lit("")), "\r\n|\r", "\n"), "\n", 1)
-    line = _strip(F.regexp_replace(_strip(first), COMPLIANCE_SUFFIX, ""))
-    blank = _strip(F.coalesce(specs, F.lit(""))) == ""
-    return F.when(blank, "").otherwise(_strip(F.regexp_replace(line, CODE_PREFIX, "")))
+    line = strip(F.regexp_replace(strip(first), COMPLIANCE_SUFFIX, ""))
+    blank = strip(F.coalesce(specs, F.lit(""))) == ""
+    return F.when(blank, "").otherwise(strip(F.regexp_replace(line, CODE_PREFIX, "")))
 
 
 def is_kit_header(line: Column) -> Column:
@@ -82,18 +83,18 @@ def is_kit_header(line: Column) -> Column:
 def usable_spec(name: Column, specs: Column) -> Column:
     """The spec line if it can be searched by, else null."""
     line = primary_spec_line(specs)
-    return F.when((line != "") & ~is_kit_header(line) & (normalize_name(line) != normalize_name(_strip(name))), line)
+    return F.when((line != "") & ~is_kit_header(line) & (normalize_name(line) != normalize_name(strip(name))), line)
 
 
 def search_queries(name: Column, specs: Column) -> Column:
     """Distinct normalised queries in order: name, spec line, both."""
-    line, plain = usable_spec(name, specs), _strip(name)
+    line, plain = usable_spec(name, specs), strip(name)
     wanted = F.array(plain, line, F.when(line.isNotNull(), F.concat(plain, F.lit(" "), line)))
     return F.array_distinct(F.filter(F.transform(F.array_compact(wanted), normalize_name), lambda q: q != ""))
 
 
 def primary_search_text(name: Column, specs: Column) -> Column:
-    return F.coalesce(usable_spec(name, specs), _strip(name))
+    return F.coalesce(usable_spec(name, specs), strip(name))
 
 
 def required_tokens(name: Column, specs: Column) -> Column:
@@ -153,7 +154,7 @@ def quantity_text(x: Column) -> Column:
 
 
 def spec_preview(x: Column, most: int = 2000) -> Column:
-    flat = _strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
+    flat = strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
     return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
 
 

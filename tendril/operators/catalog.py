@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 from tendril.functions import text as T
 
-# Markers of a kit's contents in a specification.
-CONTENTS = r"(?iuU)состав\s+комплекта\s*:"
-NUMBERED = r"(?U)^\s*\d+[.)]\s*"
+# Markers of a kit's contents in a specification, the mark of a
+# numbered line, and what no component's name holds.
+CONTENTS = r"(?iuU)состав\s+комплекта\s*:\s*"
+SECTIONS = [r"состав\s+комплекта", r"в\s+состав\s+комплекта\s+вход", r"комплект\s+включает", r"в\s+комплект\s+вход"]
+PLASTER = r"(?iuU),(?=\s*гипсовая\s+)"
+NUMBERED = r"(?U)^\s*\d+[).:\-–—]\s*(.+?)\s*$"
+INLINE = r"(?U)\d+[).:\-–—]\s*([^;\d]+?)(?=\s*\d+[).:\-–—]|$)"
 NO_COMPONENT = ["комплект", "модели изготов", "технические характеристики", "окпд", "предназначен", "включает не менее", "включает следующие", "изготовлены из гипса"]
 
 
@@ -63,20 +67,55 @@ def kit_lenient(cost: str) -> Column:
     return F.round(F.sum(F.col(cost).cast("decimal(18,4)")), 2).cast("double")
 
 
+def component_name(text: Column) -> Column:
+    """A listed name without marks at its ends; null if it can't be one."""
+    name = F.regexp_replace(F.regexp_replace(T.strip(text), "^[;.,]+|[;.,]+$", ""), r"(?U)\s+", " ")
+    told = F.lit(False)
+    for part in NO_COMPONENT:
+        told = told | F.lower(name).contains(part)
+    return F.when((F.length(name) >= 3) & ~name.rlike(r"(?U)^\d+[.)]") & ~told, name)
+
+
+def _first_of_each(names: Column) -> Column:
+    """Names without the later ones of equal letters, case aside."""
+    seen = F.struct(F.array().cast("array<string>").alias("keys"), F.array().cast("array<string>").alias("names"))
+    add = lambda a, x: F.when(F.array_contains(a["keys"], F.lower(x)), a).otherwise(F.struct(F.array_append(a["keys"], F.lower(x)).alias("keys"), F.array_append(a["names"], x).alias("names")))
+    return F.aggregate(names, seen, add, lambda a: a["names"])
+
+
 def kit_components(items: DataFrame, specs_col: str = "specifications") -> DataFrame:
     """Adds ``components``: the names that a specification lists as a kit's
-    contents, first of each kept."""
+    contents, first of each kept.
+
+    Three readings, the first that finds any: what follows the contents' mark and
+    its colon, cut at line ends and semicolons; lines of the contents' section
+    that end with a semicolon or start with a number; numbered names within a
+    line.  Without a section the whole text is read, if it speaks of a kit.
+    """
     specs = F.regexp_replace(F.coalesce(specs_col, F.lit("")), "\r\n|\r", "\n")
-    tail = F.element_at(F.split(specs, CONTENTS, 2), -1)
-    listed = F.split(tail, r"(?iuU),(?=\s*гипсовая\s+)|[;\n]")
-    lines = F.filter(F.split(specs, "\n"), lambda x: x.rlike(NUMBERED) | x.rlike(r";\s*$"))
-    raw = F.when(specs.rlike(CONTENTS), listed).otherwise(lines)
-    clean = F.transform(raw, lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, NUMBERED, ""), r"[\s;.,]+$", "")))
-    told = lambda x: F.exists(F.array(*map(F.lit, NO_COMPONENT)), lambda part: F.lower(x).contains(part))
-    clean = F.filter(clean, lambda x: (F.length(x) >= 3) & ~x.rlike(r"^\d+[.)]") & ~told(x))
-    keys = F.transform(clean, F.lower)
-    first = F.filter(F.sequence(F.lit(1), F.greatest(F.size(clean), F.lit(1))), lambda k: (k <= F.size(clean)) & (F.array_position(keys, F.try_element_at(keys, k)) == k))
-    return items.withColumn("components", F.transform(first, lambda k: F.try_element_at(clean, k)))
+    after = lambda pattern: F.element_at(F.split("_specs", pattern, 2), 2)
+    section = F.when(F.lower("_specs").contains("комплект"), F.col("_specs"))
+    for pattern in reversed([f"(?iuU){p}" for p in SECTIONS]):
+        section = F.when(F.col("_specs").rlike(pattern), after(pattern)).otherwise(section)
+    names = lambda parts: F.array_compact(F.transform(parts, component_name))
+
+    def line_name(line: Column) -> Column:
+        line = T.strip(line)
+        ended = F.when(line.endswith(";"), component_name(F.substring(line, F.lit(1), F.length(line) - 1)))
+        return F.coalesce(ended, component_name(F.nullif(F.regexp_extract(line, NUMBERED, 1), F.lit(""))))
+
+    plastered = F.flatten(F.transform(F.split("_listed", PLASTER), lambda part: F.split(part, r"[;\n]+")))
+    out = items.withColumn("_specs", specs).withColumns({"_listed": F.when(F.col("_specs").rlike(CONTENTS), after(CONTENTS)), "_section": section})
+    out = out.withColumns(
+        {
+            "_marked": names(plastered),
+            "_lines": F.array_compact(F.transform(F.split("_section", "\n"), line_name)),
+            "_inline": names(F.regexp_extract_all(F.translate("_section", "\n", " "), F.lit(INLINE), 1)),
+        }
+    )
+    some = lambda c: F.when(F.size(c) > 0, F.col(c))
+    found = F.coalesce(some("_marked"), some("_lines"), F.col("_inline"), F.array().cast("array<string>"))
+    return out.withColumn("components", _first_of_each(found)).drop("_specs", "_listed", "_section", "_marked", "_lines", "_inline")
 
 
 def report_period(rows: DataFrame) -> DataFrame:

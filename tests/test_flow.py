@@ -84,7 +84,8 @@ def test_parts(items, tables, spark):
 
 
 def test_component_names(spark):
-    specs = ["состав комплекта: колба; комплект ложек; 2) пробирка;", "1. Стакан\n2) Воронка большая\nокпд 12.3;", "нет", None]
+    # A text that doesn't speak of a kit lists none.
+    specs = ["состав комплекта: колба; комплект ложек; пробирка;", "Комплект:\n1. Стакан\n2) Воронка большая\nокпд 12.3;", "1. Стакан\n2) Воронка большая", None]
     rows = C.kit_components(spark.createDataFrame([(i, s) for i, s in enumerate(specs)], "item_id int, specifications string")).collect()
     assert {r.item_id: r.components for r in rows} == {0: ["колба", "пробирка"], 1: ["Стакан", "Воронка большая"], 2: [], 3: []}
 
