@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from tendril.functions import intent, pii
 from tendril.functions import text as T
 from tendril.functions import web as Wb
-from tendril.operators import catalog as C
 from tendril.operators import matching as M
 from tendril.operators import quotes as Q
 from tendril.operators import requests as Rq
@@ -331,15 +330,6 @@ def request_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rq.text_tables(texts, "request_id", "text").groupBy("request_id").agg(F.count(F.lit(1)).alias("n_items"), F.sum("quantity").alias("quantity"))
 
 
-@query("kit_components")
-def kit_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """kit contents listed in a specification; every part's own is
-    written from its columns."""
-    specs = F.concat(F.lit("Состав комплекта: "), F.concat_ws("; ", "p_name", "p_type", "p_brand", "p_name"))
-    rows = load(spark, sf_dir, "part").select("p_partkey", specs.alias("specifications"))
-    return C.kit_components(rows).select("p_partkey", F.size("components").alias("n_components"), F.array_join("components", "|").alias("components"))
-
-
 @query(
     "spec_previews",
     r"""WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat FROM documents)
