@@ -65,10 +65,11 @@ def best_web(quotes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def internet_url(quotes: DataFrame, by: list[str]) -> DataFrame:
-    """The url of the best product page among web quotes, else of the first."""
-    linked = quotes.filter((F.col("source") == "web") & (F.coalesce("url", F.lit("")) != ""))
-    card = Wb.is_product_page(F.col("url"))
-    order = [F.desc(card), *[F.when(card, k) for k in Wb.quote_order(F.col("url"), F.col("match_score"), F.col("price"))], F.col("pos")]
+    """The url of the best product page among the web quotes that may set a
+    price, else of the best of them."""
+    paid = F.coalesce("price", "cost") if "cost" in quotes.columns else F.col("price")
+    linked = quotes.filter((F.col("source") == "web") & (F.coalesce("url", F.lit("")) != "") & Wb.acceptable_quote(F.col("source"), F.col("url"), F.col("match_score"), paid))
+    order = [F.desc(Wb.is_product_page(F.col("url"))), *Wb.quote_order(F.col("url"), F.col("match_score"), paid), F.col("pos")]
     return top(linked, by, order, 1, "_best").select(*by, F.col("url").alias("internet_url"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tendril.plans import flows, lookups, quoting, sheets, texts
+from tendril.plans import flows, lookups, matching, metadata, quoting, sheets, texts
 
-QUERIES: dict = {**quoting.QUERIES, **texts.QUERIES, **lookups.QUERIES, **sheets.QUERIES, **flows.QUERIES}
-ORACLES: dict = {**quoting.ORACLES, **texts.ORACLES, **lookups.ORACLES, **sheets.ORACLES, **flows.ORACLES}
+QUERIES: dict = {**quoting.QUERIES, **texts.QUERIES, **lookups.QUERIES, **sheets.QUERIES, **flows.QUERIES, **metadata.QUERIES, **matching.QUERIES}
+ORACLES: dict = {**quoting.ORACLES, **texts.ORACLES, **lookups.ORACLES, **sheets.ORACLES, **flows.ORACLES, **metadata.ORACLES, **matching.ORACLES}
