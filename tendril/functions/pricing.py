@@ -42,4 +42,4 @@ def check_markup(value: float) -> float:
 
 
 def adjustment_label(internet: Column, markup: float = MARKUP, discount: float = WEB_DISCOUNT) -> Column:
-    return F.when(internet, F.lit(f"−{discount:g}% от цены в интернете")).otherwise(F.lit(f"+{markup:g}%"))
+    return F.when(internet, F.lit(f"−{float(discount)}% от цены в интернете")).otherwise(F.lit(f"+{float(markup)}%"))

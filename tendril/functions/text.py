@@ -155,7 +155,7 @@ def quantity_text(x: Column) -> Column:
 
 def spec_preview(x: Column, most: int = 2000) -> Column:
     flat = strip(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
-    return F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most - 1)), F.lit("…"))).otherwise(flat)
+    return F.when(F.length(flat) > most, F.concat(F.substring(flat, 1, most - 1), F.lit("…"))).otherwise(flat)
 
 
 def slug(x: Column) -> Column:

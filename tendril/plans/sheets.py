@@ -123,7 +123,7 @@ def kit_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "line_labels",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, CASE WHEN l_linenumber % 3 = 0 THEN '—' WHEN l_linenumber % 3 = 1 THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.5' END AS quantity,
-  CASE WHEN l_returnflag = 'R' THEN '−5% от цены в интернете' ELSE '+30%' END AS adjustment FROM lineitem""",
+  CASE WHEN l_returnflag = 'R' THEN '−5.0% от цены в интернете' ELSE '+30.0%' END AS adjustment FROM lineitem""",
 )
 def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantities and price adjustments as text."""

@@ -333,7 +333,7 @@ def request_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "spec_previews",
     r"""WITH s AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS flat FROM documents)
-SELECT doc_id, CASE WHEN length(flat) > 200 THEN rtrim(substr(flat, 1, 199)) || '…' ELSE flat END AS preview FROM s""",
+SELECT doc_id, CASE WHEN length(flat) > 200 THEN substr(flat, 1, 199) || '…' ELSE flat END AS preview FROM s""",
 )
 def spec_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts on one line, cut with an ellipsis."""
