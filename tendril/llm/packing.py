@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -113,12 +114,12 @@ class ChunkEncoder:
             middle = int(np.median(np.fromiter(map(len, self.known), np.int64, len(self.known)))) if self.known else 0
             self.known = {c: v for c, v in self.known.items() if len(c) <= middle}
             new = [c for c in chunks if c not in self.known]
-        texts = [c.decode() for c in new]
-        plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        odd = [i for i, t in enumerate(texts) if not t.isalpha()]
-        found = dict(zip([new[i] for i in plain], self._together([texts[i] for i in plain]), strict=True))
-        found.update(zip([new[i] for i in odd], self._one_by_one([texts[i] for i in odd]), strict=True))
-        self.known.update(found)
+        # No chunk holds white space, so one line end parts them for sure.
+        texts = b"\n".join(new).decode().split("\n") if new else []
+        plain = list(map(str.isalpha, texts))
+        odd = [not p for p in plain]
+        self.known.update(zip(compress(new, plain), self._together(list(compress(texts, plain))), strict=True))
+        self.known.update(zip(compress(new, odd), self._one_by_one(list(compress(texts, odd))), strict=True))
         out = list(map(self.known.__getitem__, chunks))
         for c in new:
             if len(c) > LONGEST:
