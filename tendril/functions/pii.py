@@ -50,6 +50,28 @@ def counts(text: Column, categories: list[str], unicode: bool = True) -> dict[st
     return out
 
 
+#: What a text must hold for a category to be looked for.
+NEEDS = {"EMAIL": "@", "USERNAME": "@", "URL": "."}
+
+
+def counted(df: DataFrame, text_col: str, categories: list[str], unicode: bool = True) -> DataFrame:
+    """``df`` with the number of finds of each category in a column of its name
+    in lower case, earlier categories masked first.
+
+    Each category is one column over the text that the last one left, so the
+    work grows with the categories and not with their square.
+    """
+    rows = df.withColumn("_masked", F.coalesce(F.col(text_col), F.lit("")))
+    for name, pattern in PATTERNS:
+        if name not in categories:
+            continue
+        full = ("(?uU)" if unicode else "") + pattern
+        there = F.col("_masked").contains(NEEDS[name]) if name in NEEDS else F.lit(True)
+        rows = rows.withColumn(name.lower(), F.when(there, F.regexp_count("_masked", F.lit(full))).otherwise(0).cast("long"))
+        rows = rows.withColumn("_masked", F.when(F.col(name.lower()) > 0, F.regexp_replace("_masked", full, f"[{name}]")).otherwise(F.col("_masked")))
+    return rows.drop("_masked")
+
+
 def numbered(text: str, org_terms: list[str] = ()) -> tuple[str, list[tuple[str, str]]]:
     """One text with numbered tokens, equal values sharing one, and the pairs
     of token and value in the order in which they were made."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,8 +95,22 @@ def marketplace_search(platform: str, query: Column) -> Column:
     return F.concat(F.lit(base), F.url_encode(query))
 
 
+def _numbered(mark: str, base: int) -> Callable[[Column, Column], Column]:
+    """Puts the character of a number in the place of its entity."""
+
+    def put(text: Column, digits: Column) -> Column:
+        number = F.conv(digits, base, 10).cast("long")
+        char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+        known = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        return F.when(known, F.replace(text, F.concat(F.lit(mark), digits, F.lit(";")), char)).otherwise(text)
+
+    return put
+
+
 def unescape(x: Column) -> Column:
-    """The common named entities and the ASCII apostrophe's number."""
+    """The common named entities, and characters by their numbers."""
+    for mark, digits, base in (("&#", "[0-9]{1,7}", 10), ("&#x", "[0-9a-fA-F]{1,6}", 16), ("&#X", "[0-9a-fA-F]{1,6}", 16)):
+        x = F.aggregate(F.array_distinct(F.regexp_extract_all(x, F.lit(f"{mark}({digits});"), 1)), x, _numbered(mark, base))
     for entity, char in ENTITIES.items():
         x = F.replace(x, F.lit(entity), F.lit(char))
     return x

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tendril.functions import web as Wb
 from tendril.functions.similarity import name_match_score
 from tendril.functions.text import normalize_name
+from tendril.operators.quotes import first_by_url
 
 # A search page's link and snippet, and how many pages are read.
 LINK = r'(?is)class="result__a"[^>]*href="([^"]+)"[^>]*>(.*?)</a>'
@@ -31,8 +32,7 @@ def offers(results: DataFrame, fetched: DataFrame, keys: list[str]) -> DataFrame
     score = name_match_score(normalize_name("query"), Wb.clean_title(F.col("title")))
     good = results.filter(~Wb.is_blocked(F.col("url")) & ~Wb.is_listing(F.col("url"))).withColumn("score", score)
     good = good.filter(Wb.exact_title(F.col("query"), F.col("title"), F.col("snippet"), F.col("score")))
-    one = F.row_number().over(Window.partitionBy(*keys, "url").orderBy("pos"))
-    good = good.withColumn("_one", one).filter("_one = 1").drop("_one")
+    good = first_by_url(good, keys)
     by = Window.partitionBy(*keys).orderBy("pos")
     good = good.withColumn("nth", F.row_number().over(by))
     page = fetched.select("url", Wb.upper_median(Wb.prices(F.col("text"))).alias("page_price"))

@@ -97,6 +97,21 @@ def new_quotes(found: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame
     return found.alias("found").join(known.select(*keys).distinct().alias("known"), condition, "left_anti")
 
 
+def extended(known: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The known quotes and, behind them, the first of each found one that no
+    other equals in ``keys`` (null equals empty)."""
+    one = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    fresh = new_quotes(found, known, keys).withColumn("_one", F.row_number().over(Window.partitionBy(*one).orderBy("pos")))
+    return known.unionByName(fresh.filter("_one = 1").drop("_one"), allowMissingColumns=True)
+
+
+def first_by_url(quotes: DataFrame, by: list[str]) -> DataFrame:
+    """The first quote of each url in a group; those without a url all stay."""
+    linked = F.coalesce("url", F.lit("")) != ""
+    nth = F.row_number().over(Window.partitionBy(*by, "url").orderBy("pos"))
+    return quotes.filter(linked).withColumn("_one", nth).filter("_one = 1").drop("_one").unionByName(quotes.filter(~linked))
+
+
 def resolve(items: DataFrame) -> DataFrame:
     """The primary match of each item by the first rung whose test holds.
 

@@ -153,7 +153,7 @@ def detail_sheet(results: DataFrame, components: DataFrame, quotes: DataFrame, b
 
 def kit_sheet(results: DataFrame, components: DataFrame, by: list[str]) -> DataFrame:
     """Kits' components; one that the catalog has with a supplier has a row
-    for the supplier under it."""
+    for the supplier under it.  Without kits the sheet says so."""
     c, key = F.col, [*by, "number"]
     kits = results.filter("is_kit").select(*key, c("name").alias("kit"), c("unit_base_price").alias("kit_base"), c("unit_price").alias("kit_price"))
     rows = components.join(kits, key).withColumn("found", F.coalesce("found_in_catalog", F.lit(False)))
@@ -164,7 +164,10 @@ def kit_sheet(results: DataFrame, components: DataFrame, by: list[str]) -> DataF
     own = rows.select(*key, "pos", F.lit(0).alias("sub"), F.when(first, c("number").cast("string")).otherwise("").alias("item"), F.when(first, c("kit")).otherwise("").alias("kit"), c("pos").cast("string").alias("place"), shown.alias("component"), "quantity", "unit_cost", "unit_price", total.alias("total_price"), text(F.when(c("found"), c("supplier"))).alias("supplier"), text(F.when(c("found"), c("purchase_date"))).alias("purchase_date"), "list_price", F.when(first, c("kit_base")).alias("kit_base"), F.when(first, c("kit_price")).alias("kit_price"))
     none = F.lit(None).cast("double")
     sub = rows.filter(c("found") & (F.coalesce("supplier", F.lit("")) != "")).select(*key, "pos", F.lit(1).alias("sub"), F.lit("").alias("item"), F.lit("").alias("kit"), F.lit("").alias("place"), F.concat(F.lit(PART_MARK), c("supplier")).alias("component"), "quantity", none.alias("unit_cost"), "unit_price", total.alias("total_price"), "supplier", "purchase_date", "list_price", none.alias("kit_base"), none.alias("kit_price"))
-    return _numbered(own.unionByName(sub), by, "number", "pos", "sub").drop("number", "pos", "sub")
+    every = own.unionByName(sub)
+    bare = results.select(*by).distinct().join(every.select(*by).distinct(), by, "left_anti")
+    empty = {f.name: F.lit(None).cast(f.dataType) for f in every.schema if f.name not in by} | {"item": F.lit(NO_KITS)}
+    return _numbered(every.unionByName(bare.withColumns(empty)), by, "number", "pos", "sub").drop("number", "pos", "sub")
 
 
 def comparison_sheet(results: DataFrame, components: DataFrame, quotes: DataFrame, by: list[str]) -> DataFrame:

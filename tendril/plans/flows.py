@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tendril.functions import text as T
 from tendril.operators import blocks as B
 from tendril.operators import catalog as C
 from tendril.operators import fuzzyjoin as Fz
@@ -222,3 +223,41 @@ def model_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = B.model_candidates(hits, ["item"])
     shown = lambda c, value: F.array_join(F.transform(c, lambda x: F.concat(x["name"], F.lit("="), value(x))), "|").alias(c)
     return out.select("item", *[F.size(c).cast("long").alias(f"n_{c}") for c in ("catalog", "registry", "price_list")], shown("catalog", lambda x: x["score"].cast("string")), shown("registry", lambda x: x["quantity"].cast("long").cast("string")), shown("price_list", lambda x: x["supplier"]))
+
+
+_HELD_SQL = """names AS (SELECT lower(p_name) AS query, string_split(lower(p_name), ' ') AS w FROM (SELECT DISTINCT p_name FROM part)),
+rows AS (SELECT row_idx, name, lower(name) AS choice, cost, price FROM catalog), stock AS (SELECT l_partkey AS row_idx, CAST(sum(CAST(l_quantity AS DECIMAL(18, 2))) AS DOUBLE) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1),
+s AS (SELECT 'catalog' AS source, row_idx, name, choice, format('{:,.2f}', cost) AS shown FROM rows UNION ALL SELECT 'price_list', row_idx, name, choice, 'S' || CAST(row_idx % 7 AS VARCHAR) FROM rows UNION ALL SELECT 'registry', row_idx, name, choice, CAST(CAST(quantity AS BIGINT) AS VARCHAR) FROM rows JOIN stock USING (row_idx)),
+h AS (SELECT query, source, name, shown, contains(choice, query) AS inside, row_number() OVER (PARTITION BY query, source ORDER BY row_idx) AS rank FROM names JOIN s ON list_has_all(string_split(choice, ' '), w)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query, source, name ORDER BY rank) AS same FROM h WHERE rank <= 12),
+p AS (SELECT *, row_number() OVER (PARTITION BY query, source ORDER BY inside DESC, length(name) DESC, rank) AS place FROM o WHERE same = 1)"""
+
+
+@query(
+    "lookup_blocks",
+    f"""WITH {CATALOG_SQL}, {_HELD_SQL}
+SELECT n.query, x.source, count(p.name) > 0 AS found, max(CASE WHEN place = 1 THEN p.name END) AS name, max(CASE WHEN place = 1 THEN replace(shown, ',', ' ') END) AS shown, count(p.name) AS n_items, coalesce(string_agg(p.name, '|' ORDER BY place), '') AS names
+FROM names n CROSS JOIN (SELECT unnest(['catalog', 'price_list', 'registry']) AS source) x LEFT JOIN p ON p.query = n.query AND p.source = x.source AND place <= 5 GROUP BY 1, 2""",
+)
+def lookup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part name looked up in catalog, price list and
+    stock: the ranked block of every source."""
+    asked, c = part_names(spark, sf_dir).select("query"), F.col
+    shelf = catalog(spark, sf_dir).select("row_idx", "name", "cost", "price")
+    none = lambda kind: F.lit(None).cast(kind)
+    stock = registry(spark, sf_dir).select(c("code").alias("row_idx"), c("stock").alias("quantity")).join(shelf.select("row_idx", "name"), "row_idx")
+    sources = {
+        "catalog": (shelf.withColumns({"stock": none("double"), "unit": none("string")}), "cost"),
+        "price_list": (shelf.drop("cost").withColumns({"code": c("row_idx").cast("string"), "supplier": F.concat(F.lit("S"), (c("row_idx") % 7).cast("string")), **{x: none("double") for x in ("recommended_qty", "order_qty", "order_sum")}}), "supplier"),
+        "registry": (stock.withColumns({"condition": none("string"), "link": none("string"), "photo_files": none("array<string>")}), "quantity"),
+    }
+    near, out = Fz.close_pairs(asked, shelf.select(T.normalize_name("name").alias("choice"))), None
+    for source, (rows, shown) in sources.items():
+        met = near.join(rows.withColumn("choice", T.normalize_name("name")), "choice")
+        hits = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row_idx")))
+        # The keys are the lookups' own texts.
+        block = B.lookup_block(hits.withColumn("asked", c("query")), asked.withColumn("asked", c("query")), source, ["asked"])
+        value = F.replace(F.replace(c(shown), F.lit(" ₽"), F.lit("")), F.lit(","), F.lit(" "))
+        own = block.select(c("asked").alias("query"), F.lit(source).alias("source"), "found", "name", value.alias("shown"), F.size("items").cast("long").alias("n_items"), F.array_join(F.transform("items", lambda x: x["name"]), "|").alias("names"))
+        out = own if out is None else out.unionByName(own)
+    return out

@@ -69,5 +69,23 @@ def match_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", *shown, F.round("score", 6).alias("score"), F.col("rung").cast("int").alias("rung"))
 
 
-QUERIES["match_items"] = match_items
-ORACLES["match_items"] = MATCHED_SQL
+def direct_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C14: the best catalog row of each request's name, by index."""
+    found = Fl.direct_catalog(request_forms(spark, sf_dir), tables(spark, sf_dir).catalog)
+    return found.select("item_id", F.col("row_idx").cast("long").alias("row_idx"), F.col("name").alias("matched_name"), F.round("score", 6).alias("score"), "cost")
+
+
+def goods_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The purchase of each request's name, by index."""
+    found = Fl.goods_match(request_forms(spark, sf_dir), tables(spark, sf_dir).goods)
+    return found.select("item_id", F.col("goods_name").alias("matched_name"), "supplier", "purchase_date", F.round("goods_score", 6).alias("score"))
+
+
+_FORMS_SQL = MATCHED_SQL[: MATCHED_SQL.index(", m AS (")]
+QUERIES |= {"match_items": match_items, "direct_catalog": direct_catalog, "goods_match": goods_match}
+ORACLES |= {
+    "match_items": MATCHED_SQL,
+    "direct_catalog": f"{_FORMS_SQL} SELECT item_id, i.k AS row_idx, p.name AS matched_name, round(score, 6) AS score, p.cost FROM items i JOIN p ON p.p_partkey = i.k",
+    # A part without a sale isn't among the purchases; every part of these tables has one.
+    "goods_match": f"{_FORMS_SQL} SELECT item_id, p.name AS matched_name, g.supplier, g.purchase_date, round(score, 6) AS score FROM items i JOIN p ON p.p_partkey = i.k JOIN g ON g.k = i.k AND g.nth = 1",
+}

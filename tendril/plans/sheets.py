@@ -134,13 +134,13 @@ def line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "internet_links",
-    """WITH w AS (SELECT page_id % 40 AS item, page_id, CASE WHEN page_id % 3 = 0 THEN 'https://www.ozon.ru/product/' || CAST(page_id AS VARCHAR) ELSE 'https://www.ozon.ru/search/?text=a' || CAST(page_id AS VARCHAR) END AS url, page_id % 3 = 0 AS card, CAST(page_id AS DOUBLE) AS price FROM pages),
-r AS (SELECT item, url, row_number() OVER (PARTITION BY item ORDER BY card DESC, CASE WHEN card THEN price END, page_id) AS nth FROM w)
+    """WITH w AS (SELECT page_id % 40 AS item, page_id, url, regexp_matches(lower(url), '^https?://') AS card FROM pages WHERE url <> '' AND NOT regexp_matches(lower(url), '/search\\?|/search/|search\\?text=|\\?q=')),
+r AS (SELECT item, url, row_number() OVER (PARTITION BY item ORDER BY card DESC, page_id) AS nth FROM w)
 SELECT item, url AS internet_url FROM r WHERE nth = 1""",
 )
 def internet_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O3: an item's link: its cheapest product page, else its first."""
+    """O3: an item's link: of forty items' pages the best product page, else
+    the best of those that may set a price."""
     key = F.col("page_id")
-    url = F.when(key % 3 == 0, F.concat(F.lit("https://www.ozon.ru/product/"), key.cast("string"))).otherwise(F.concat(F.lit("https://www.ozon.ru/search/?text=a"), key.cast("string")))
-    quotes = load(spark, sf_dir, "pages").select((key % 40).alias("item"), F.lit("web").alias("source"), url.alias("url"), F.lit(100.0).alias("match_score"), key.cast("double").alias("price"), key.alias("pos"))
+    quotes = load(spark, sf_dir, "pages").select((key % 40).alias("item"), F.lit("web").alias("source"), "url", F.lit(100.0).alias("match_score"), key.cast("double").alias("price"), key.alias("pos"))
     return Q.internet_url(quotes, ["item"])

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tendril.functions import intent, pii
 from tendril.functions import text as T
 from tendril.functions import web as Wb
+from tendril.operators import jsonwalk as Jw
 from tendril.operators import matching as M
 from tendril.operators import quotes as Q
 from tendril.operators import requests as Rq
@@ -199,13 +200,17 @@ def marketplace_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.select("p_name", Wb.marketplace_search("Ozon", F.col("p_name")).alias("ozon"), Wb.marketplace_search("Яндекс.Маркет", F.col("p_name")).alias("yandex"))
 
 
-@query("page_prices")
+@query(
+    "page_prices",
+    """WITH t AS (SELECT page_id, coalesce(html, '') AS html FROM pages)
+SELECT page_id, 3 + len(regexp_extract_all(html, '(?i)data-price=[\\"'']\\d')) + len(regexp_extract_all(html, '(?i)(?:₽|руб)')) AS n_prices, CAST(page_id + 10 AS DOUBLE) AS price FROM t""",
+)
 def page_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices on a page and their upper median; pages carry none
-    of their own, so one is written in."""
+    of their own, so three are written in, the key's twice."""
     text = F.concat(F.lit('{"price": "'), (F.col("page_id") + 10).cast("string"), F.lit('"} 1 200,50 ₽ '), F.coalesce("html", F.lit("")))
     rows = load(spark, sf_dir, "pages").select("page_id", Wb.prices(text).alias("prices"))
-    return rows.select("page_id", F.size("prices").alias("n_prices"), Wb.upper_median(F.col("prices")).alias("price"))
+    return rows.select("page_id", F.size("prices").cast("long").alias("n_prices"), Wb.upper_median(F.col("prices")).alias("price"))
 
 
 PII_PLAIN = ["EMAIL", "SNILS", "PASSPORT", "CARD", "BANK_ACCOUNT", "IP"]
@@ -224,9 +229,8 @@ def _pii_sql() -> str:
 @query("pii_counts", _pii_sql())
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds by category and language, earlier categories masked first."""
-    found = pii.counts(F.col("text"), PII_PLAIN, unicode=False)
-    docs = load(spark, sf_dir, "documents").select("lang", *[c.cast("long").alias(n.lower()) for n, c in found.items()])
-    return docs.groupBy("lang").agg(*[F.sum(n.lower()).alias(n.lower()) for n in found])
+    docs = pii.counted(load(spark, sf_dir, "documents").select("lang", "text"), "text", PII_PLAIN, unicode=False)
+    return docs.groupBy("lang").agg(*[F.sum(n.lower()).alias(n.lower()) for n in PII_PLAIN])
 
 
 @query(
@@ -238,6 +242,27 @@ def pii_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.md5(pii.mask(F.col("text"), ["EMAIL", "IP"], unicode=False).cast("binary")).alias("masked_md5"))
 
 
+#: A piece of text for each category: what stays and what is found.
+PII_PIECES = [
+    ("URL", "сайт ", "https://shop.example/{k}"), ("EMAIL", "почта ", "user{k}@shop.example"), ("SNILS", "снилс ", "111-222-333 44"), ("INN", "", "ИНН 1234567890"), ("KPP", "", "КПП 111111111"),
+    ("OGRN", "", "ОГРН 1111111111111"), ("PASSPORT", "паспорт ", "1234 567890"), ("PHONE", "тел. ", "+7 (999) 123-45-67"), ("CARD", "карта ", "1111 2222 3333 4444"), ("BANK_ACCOUNT", "счёт ", "11111111111111111111"),
+    ("BIK", "", "БИК 222222222"), ("USERNAME", "", "@user_{k}"), ("IP", "узел ", "10.0.0.1"), ("ADDRESS", "", "г. Тихвин"), ("FIO", "", "Петров Пётр Петрович"),
+]
+_PIECES_SQL = ", ".join(f"CASE WHEN (c_custkey >> {j}) % 2 = 0 THEN '{before}[{name}]' END" for j, (name, before, _) in enumerate(PII_PIECES))
+_FOUND_SQL = ", ".join(f"CAST((c_custkey >> {j}) % 2 = 0 AS BIGINT) AS {name.lower()}" for j, (name, *_) in enumerate(PII_PIECES))
+
+
+@query("pii_categories", f"SELECT c_custkey, concat_ws(chr(10), {_PIECES_SQL}) AS masked, {_FOUND_SQL} FROM customer")
+def pii_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All fifteen categories in Russian text: a sentence of each
+    customer with those that its number's bits name."""
+    key = F.col("c_custkey")
+    pieces = [F.when(F.shiftright(key, j) % 2 == 0, F.concat(F.lit(before), F.replace(F.lit(found), F.lit("{k}"), key.cast("string")))) for j, (_, before, found) in enumerate(PII_PIECES)]
+    rows = load(spark, sf_dir, "customer").select("c_custkey", F.concat_ws("\n", *pieces).alias("text"))
+    names = [name for name, *_ in PII_PIECES]
+    return pii.counted(rows, "text", names).select("c_custkey", pii.mask(F.col("text")).alias("masked"), *[n.lower() for n in names])
+
+
 @query("pii_tokens")
 def pii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbered tokens, and whether they restore the text."""
@@ -247,31 +272,30 @@ def pii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masked.join(docs, "doc_id").select("doc_id", F.size("tokens").alias("n_tokens"), (F.regexp_replace(back, r"(?U)\s", "") == F.regexp_replace("text", r"(?U)\s", "")).alias("restored"))
 
 
+PHRASES = ["Найди в каталогах позиции №3 и №12, наценка 12,5%", "сформируй excel", "Запомни правило: без интернета", "задача 1+2, конкуренты", "пересчитай все по составу, убери ozon"]
+_PHRASE_SQL = " ".join(f"WHEN {k} THEN '. {p}'" for k, p in enumerate(PHRASES))
+
+
 @query(
     "chat_intent",
-    r"""WITH m AS (SELECT conv_id, turn, CASE turn % 6 WHEN 0 THEN 'Найди в каталогах позиции №3 и №12, наценка 12,5%' WHEN 1 THEN 'сформируй excel' WHEN 2 THEN 'Запомни правило: без интернета' WHEN 3 THEN 'задача 1+2, конкуренты' WHEN 4 THEN 'пересчитай все по составу, убери ozon' ELSE text END AS message FROM conversations)
-SELECT conv_id, turn, CASE WHEN turn % 6 IN (2, 3) THEN 'task1_task2' END AS task_mode, turn % 6 IN (0, 2, 3) AS run_local_search, turn % 6 IN (2, 3) AS run_web_search, turn % 6 = 1 AS generate_excel,
-       CASE turn % 6 WHEN 0 THEN 12.5 END AS markup_percent, CASE turn % 6 WHEN 0 THEN 2 ELSE 0 END AS n_reprocess, turn % 6 = 4 AS reprocess_all, CASE turn % 6 WHEN 2 THEN 'без интернета' END AS save_rule, CASE turn % 6 WHEN 4 THEN 'Ozon' ELSE '' END AS excluded
-FROM m WHERE turn % 6 <> 4
-UNION ALL SELECT conv_id, turn, 'task1_task2', TRUE, TRUE, FALSE, NULL, 0, TRUE, NULL, 'Ozon' FROM m WHERE turn % 6 = 4""",
+    f"""WITH m AS (SELECT conv_id, turn, turn % 6 AS k, text || CASE turn % 6 {_PHRASE_SQL} ELSE '' END AS message FROM conversations)
+SELECT conv_id, turn, CASE WHEN k IN (2, 3, 4) THEN 'task1_task2' END AS task_mode, k IN (0, 2, 3, 4) AS run_local_search, k IN (2, 3, 4) AS run_web_search, k = 1 AS generate_excel,
+       CASE k WHEN 0 THEN 12.5 END AS markup_percent, CASE k WHEN 0 THEN 2 ELSE 0 END AS n_reprocess, k = 4 AS reprocess_all, CASE k WHEN 2 THEN trim(substr(message, strpos(message, ':') + 1)) END AS save_rule, CASE k WHEN 4 THEN 'Ozon' ELSE '' END AS excluded
+FROM m""",
 )
 def chat_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """X31 over chat turns; every sixth message is one of the test phrases."""
-    turn = F.col("turn") % 6
-    phrases = ["Найди в каталогах позиции №3 и №12, наценка 12,5%", "сформируй excel", "Запомни правило: без интернета", "задача 1+2, конкуренты", "пересчитай все по составу, убери ozon"]
+    """X31 over every chat turn's own text, with a request of the engine's
+    language behind five of six."""
     message = F.col("text")
-    for k, phrase in enumerate(phrases):
-        message = F.when(turn == k, phrase).otherwise(message)
+    for k, phrase in enumerate(PHRASES):
+        message = F.when(F.col("turn") % 6 == k, F.concat("text", F.lit(f". {phrase}"))).otherwise(message)
     flags = intent.detect(message, F.lit(True), F.lit(True))
-    return (
-        load(spark, sf_dir, "conversations")
-        .select(
-            "conv_id",
-            "turn",
-            *[flags[c].alias(c) for c in ("task_mode", "run_local_search", "run_web_search", "generate_excel", "markup_percent", "reprocess_all", "save_rule")],
-            F.size(flags["reprocess_items"]).alias("n_reprocess"),
-            F.array_join(flags["excluded_platforms_add"], ",").alias("excluded"),
-        )
+    return load(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        *[flags[c].alias(c) for c in ("task_mode", "run_local_search", "run_web_search", "generate_excel", "markup_percent", "reprocess_all", "save_rule")],
+        F.size(flags["reprocess_items"]).alias("n_reprocess"),
+        F.array_join(flags["excluded_platforms_add"], ",").alias("excluded"),
     )
 
 
@@ -321,7 +345,7 @@ def request_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Rq.request_items(rows).select("request_id", "number", "name", "unit", "quantity")
 
 
-@query("request_tables")
+@query("request_tables", "SELECT l_orderkey AS request_id, count(*) AS n_items, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1")
 def request_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables found in plain text; each order is written as one."""
     head = F.lit("№\tНаименование\tЕд.\tКол-во")
@@ -350,3 +374,19 @@ def product_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = met.join(rows, "choice").withColumn("score", T.adjust_score(F.col("query"), F.col("choice"), F.col("score")))
     hits = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row_idx")))
     return M.rank_hits(hits, ["query"]).select("query", "name", "score", "place", (F.col("place") == 1).alias("is_primary"))
+
+
+@query(
+    "json_walk",
+    """SELECT p_partkey, '{"deep":[{"a":[' || p_size || ',{"n":"[EMAIL]"}]},[],{}],"item":{"name":"' || p_name || '","price":' || CASE WHEN p_retailprice = floor(p_retailprice) THEN CAST(CAST(p_retailprice AS BIGINT) AS VARCHAR) ELSE CAST(p_retailprice AS VARCHAR) END || '},"none":null,"note":"к [IP] \\"x\\""' || CASE WHEN p_partkey % 2 = 0 THEN ',"ok":true' ELSE '' END || '}' AS json FROM part""",
+)
+def json_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A nested document of each part without links and contacts at any
+    depth, its texts masked."""
+    c, text = F.col, lambda x: x.cast("string")
+    price = F.when(c("p_retailprice") == F.floor("p_retailprice"), text(c("p_retailprice").cast("long"))).otherwise(text(c("p_retailprice")))
+    doc = F.concat(
+        F.lit('{"note": "к 10.0.0.1 \\"x\\"", "URL": "https://a.example", "item": {"price": '), price, F.lit(', "name": "'), c("p_name"), F.lit('", "Contact": {"fio": "x"}}, "none": null, "deep": [{"link": 1, "a": ['), text(c("p_size")),
+        F.lit(', {"n": "u@b.example", "email": "y"}]}, [], {"phone": 5}]'), F.when(c("p_partkey") % 2 == 0, ', "ok": true').otherwise(""), F.lit("}"),
+    )
+    return Jw.anonymize(load(spark, sf_dir, "part").select("p_partkey", doc.alias("doc")), "p_partkey", "doc")

@@ -129,6 +129,7 @@ def sheet_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT request_id, pt.number, pos, 0 AS sub, CASE WHEN pos = 1 THEN CAST(pt.number AS VARCHAR) ELSE '' END AS item, CASE WHEN pos = 1 THEN r.name ELSE '' END AS kit, CAST(pos AS VARCHAR) AS place, pt.name || CASE WHEN found THEN ' (каталог: ' || shelf || ')' ELSE '' END AS component, CAST(pos AS DOUBLE) AS quantity, pt.unit_cost, pt.unit_price, CAST(round(CAST(pt.unit_price AS DECIMAL(18, 4)) * pos, 2) AS DOUBLE) AS total_price,
     coalesce(CASE WHEN found THEN supplier END, '') AS supplier, CASE WHEN found THEN '03.04.2024' ELSE '' END AS purchase_date, list_price, CASE WHEN pos = 1 THEN r.unit_base_price END AS kit_base, CASE WHEN pos = 1 THEN r.unit_price END AS kit_price FROM pt JOIN r USING (request_id, number)
   UNION ALL SELECT request_id, number, pos, 1, '', '', '', '  ↳ ' || supplier, CAST(pos AS DOUBLE), NULL, unit_price, CAST(round(CAST(unit_price AS DECIMAL(18, 4)) * pos, 2) AS DOUBLE), supplier, '03.04.2024', list_price, NULL, NULL FROM pt WHERE found AND supplier IS NOT NULL
+  UNION ALL SELECT request_id, NULL, NULL, NULL, '— комплекты с составом не найдены', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r GROUP BY request_id HAVING NOT bool_or(is_kit)
 )
 SELECT * EXCLUDE (number, pos, sub), row_number() OVER (PARTITION BY request_id ORDER BY number, pos, sub) AS row FROM u""",
 )

@@ -92,3 +92,37 @@ def test_answers(spark):
         6: (An.ESTIMATE, None), 7: ("Нейросеть", None), 8: ("Каталог", None), 9: ("Прайс (прайс): Стул", "https://c.example/cart#1"),
     }
     assert out.columns == [*schema.replace(" string", "").replace(" int", "").split(", "), "price_source_text"]
+
+
+def test_json_documents_without_contacts(spark):
+    import json
+
+    from tendril.operators import jsonwalk as Jw
+
+    docs = [
+        (1, '{"b": {"URL": 1, "a": ["x@y.example", {"fio": "z"}, [], {}, [[1.50, null]]]}, "a": "тел. +7 (999) 123-45-67", "Phone": {"deep": 1}}'),
+        (2, '"петров@a.example"'), (3, "[]"), (4, '{"link": 1}'), (5, "not json"), (6, None), (7, "7"), (8, '{"a.b": {"0": {"k": "\\"q\\" \\n"}}, "0": ["t"]}'),
+    ]
+    rows = spark.createDataFrame(docs, "i int, doc string")
+    got = {r.i: r.json for r in Jw.anonymize(rows, "i", "doc").collect()}
+    want = {1: {"b": {"a": ["[EMAIL]", {}, [], {}, [[1.5, None]]]}, "a": "тел. [PHONE]"}, 2: "[EMAIL]", 3: [], 4: {}, 7: 7, 8: {"a.b": {"0": {"k": '"q" \n'}}, "0": ["t"]}}
+    assert {k: json.loads(v) for k, v in got.items() if v is not None} == want and got[5] is None and got[6] is None
+
+
+def test_distinct_quotes(spark):
+    from tendril.operators import quotes as Q
+
+    rows = [(1, "web", "u", "a", 1.0, 0), (1, "web", None, "b", 1.0, 1), (1, "web", None, "b", 1.0, 2), (1, "web", "u", "c", 2.0, 3), (2, "web", "u", "a", 1.0, 4), (1, "web", "", "d", None, 5)]
+    quotes = spark.createDataFrame(rows, "item_id int, source string, url string, matched_name string, price double, pos int")
+    assert sorted(r.pos for r in Q.first_by_url(quotes, ["item_id"]).collect()) == [0, 1, 2, 4, 5]
+    keys = ["item_id", "source", "url", "matched_name", "price"]
+    known = quotes.filter("pos = 1")
+    assert sorted(r.pos for r in Q.extended(known, quotes.filter("pos <> 1"), keys).collect()) == [0, 1, 3, 4, 5]
+
+
+def test_entities(spark):
+    from tendril.functions import web as Wb
+
+    texts = {"a &#8211; b": "a – b", "&#x2013;&#X41;": "–A", "&amp;#39; &amp;lt;": "&#39; &lt;", "&#128512;&#55296;": "😀&#55296;", "&#39;&quot;&nbsp;": "'\" ", "&#0; &#x110000;": "&#0; &#x110000;", "&#1;5": "\x015"}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.u for r in rows.select("t", Wb.unescape(rows.t).alias("u")).collect()} == texts
