@@ -91,9 +91,9 @@ _COMMON_SQL = """lcs AS (
     "close_names",
     f"""WITH RECURSIVE {CATALOG_SQL}, n AS (SELECT DISTINCT lower(name) AS t, list_sort(list_distinct(string_split(lower(name), ' '))) AS w FROM catalog),
 q AS (SELECT DISTINCT lower(p_name) AS t, list_sort(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part), every AS (SELECT * FROM q UNION SELECT * FROM n),
-p AS (SELECT a.t AS query, b.t AS choice, list_sort(list_intersect(a.w, b.w)) AS met, array_to_string(list_sort(list_filter(a.w, lambda v: NOT list_contains(b.w, v))), ' ') AS x, array_to_string(list_sort(list_filter(b.w, lambda v: NOT list_contains(a.w, v))), ' ') AS y
+p AS (SELECT a.t AS query, b.t AS choice, least(len(a.w), len(b.w)) < 4 AS doubled, list_sort(list_intersect(a.w, b.w)) AS met, array_to_string(list_sort(list_filter(a.w, lambda v: NOT list_contains(b.w, v))), ' ') AS x, array_to_string(list_sort(list_filter(b.w, lambda v: NOT list_contains(a.w, v))), ' ') AS y
   FROM every a, n b WHERE len(list_intersect(a.w, b.w)) > 0),
-words AS (SELECT DISTINCT x, y FROM p WHERE x <> '' AND y <> '' AND abs(length(x) - length(y)) <= 4 UNION SELECT query, choice FROM p WHERE x <> '' AND y <> '' AND abs(length(query) - length(choice)) <= 4 AND len(met) >= 3),
+words AS (SELECT DISTINCT x, y FROM p WHERE x <> '' AND y <> '' AND abs(length(x) - length(y)) <= 4 UNION SELECT query, choice FROM p WHERE x <> '' AND y <> '' AND abs(length(query) - length(choice)) <= 4 AND (len(met) >= 3 OR (len(met) >= 2 AND doubled))),
 {_COMMON_SQL},
 s AS (SELECT p.*, length(array_to_string(met, ' ')) AS shared, length(array_to_string(met, ' ')) + 1 + length(p.x) AS lx, length(array_to_string(met, ' ')) + 1 + length(p.y) AS ly, c.n AS left_common, d.n AS text_common
   FROM p LEFT JOIN common c ON c.x = p.x AND c.y = p.y LEFT JOIN common d ON d.x = p.query AND d.y = p.choice),

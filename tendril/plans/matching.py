@@ -18,17 +18,17 @@ FORM = 100_000_000
 
 MATCHED_SQL = f"""WITH {CATALOG_SQL}, p AS (SELECT p_partkey, p_name, p_size, name, cost, price FROM catalog JOIN part ON p_partkey = row_idx),
 least AS (SELECT p_name, min(p_partkey) AS k FROM p GROUP BY 1),
-held AS (SELECT l.k AS item, min(p.p_partkey) AS k FROM least l JOIN p ON list_has_all(string_split(lower(p.name), ' '), string_split(lower(l.p_name), ' ')) GROUP BY 1),
+asked AS (SELECT p_name, k AS item, 0 AS form, lower(p_name) AS query FROM least UNION ALL SELECT l.p_name, l.k, 1, lower(p.name) FROM least l JOIN p ON p.p_partkey = l.k),
+held AS (SELECT item, form, p_partkey AS k, least(length(p.name) / CAST(length(query) AS DOUBLE), 1.5) AS longer, row_number() OVER (PARTITION BY item, form ORDER BY p_partkey) AS rank FROM asked JOIN p ON list_has_all(string_split(lower(p.name), ' '), string_split(query, ' '))),
 items AS (
-  SELECT item AS item_id, item, k, 100.0 AS score FROM held
-  UNION ALL SELECT {FORM} + k, k, k, 100.0 FROM least
-  UNION ALL SELECT {2 * FORM} + k, k, k, 100.0 * (1 - 1 / CAST(2 * length(p.name) + 1 AS DOUBLE)) FROM least JOIN p ON p_partkey = k
+  SELECT form * {FORM} + item AS item_id, item, min(k) AS k, arg_max(k, longer * 1000000 - rank) AS longest, 100.0 AS score FROM held WHERE rank <= 5 GROUP BY item, form
+  UNION ALL SELECT {2 * FORM} + k, k, k, k, 100.0 * (1 - 1 / CAST(2 * length(p.name) + 1 AS DOUBLE)) FROM least JOIN p ON p_partkey = k
 ), g AS (
   SELECT l_partkey AS k, s_name AS supplier, strftime(l_shipdate, '%d.%m.%Y') AS purchase_date, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) AS nth
   FROM lineitem JOIN supplier ON s_suppkey = l_suppkey
 ), m AS (
-  SELECT i.item_id, i.score, p.name AS matched_name, p.cost AS unit_cost, coalesce(p.price, CAST(round(CAST(p.cost AS DECIMAL(18, 4)) * 1.1, 2) AS DOUBLE)) AS base, o.p_size AS quantity, g.supplier, g.purchase_date
-  FROM items i JOIN p ON p.p_partkey = i.k JOIN p o ON o.p_partkey = i.item LEFT JOIN g ON g.k = i.k AND nth = 1
+  SELECT i.item_id, i.score, p.name AS matched_name, p.cost AS unit_cost, coalesce(p.price, CAST(round(CAST(f.cost AS DECIMAL(18, 4)) * 1.1, 2) AS DOUBLE)) AS base, o.p_size AS quantity, g.supplier, g.purchase_date
+  FROM items i JOIN p ON p.p_partkey = i.longest JOIN p o ON o.p_partkey = i.item JOIN p f ON f.p_partkey = i.k LEFT JOIN g ON g.k = i.k AND nth = 1
 )
 SELECT item_id, 'exact' AS status, 'catalog' AS source, round(score, 6) AS score, matched_name, unit_cost, base AS unit_base_price, CAST(round(CAST(base AS DECIMAL(18, 4)) * 1.3, 2) AS DOUBLE) AS unit_price,
   CAST(round(round(CAST(base AS DECIMAL(18, 4)) * 1.3, 2) * quantity, 2) AS DOUBLE) AS total_price, supplier, purchase_date, false AS internet, false AS is_kit, 1 AS rung FROM m"""

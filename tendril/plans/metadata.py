@@ -48,7 +48,7 @@ def given_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sale as a quote of its part."""
     c, n = F.col, F.col("l_linenumber")
     lines = load(spark, sf_dir, "lineitem").join(load(spark, sf_dir, "part"), c("l_partkey") == c("p_partkey")).join(load(spark, sf_dir, "supplier"), c("l_suppkey") == c("s_suppkey"))
-    web, price = c("l_suppkey") % 6 >= 4, F.round(c("l_extendedprice") / c("l_quantity"), 2)
+    web, price = c("l_suppkey") % 6 >= 4, c("l_extendedprice") / c("l_quantity")
     shop = F.concat(F.lit("https://shop"), c("l_suppkey").cast("string"), F.lit(".example/p/"), c("l_orderkey").cast("string"))
     market = F.when(n % 3 == 0, F.concat(F.lit("https://www.ozon.ru/product/"), c("l_orderkey").cast("string"))).when(n % 3 == 1, "https://www.ozon.ru/search/?text=a")
     return lines.select(
@@ -69,7 +69,7 @@ def given_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUOTES_SQL = """q AS (
   SELECT l_partkey AS item_id, CASE WHEN l_suppkey % 6 < 2 THEN 'price_list' WHEN l_suppkey % 6 = 2 THEN 'catalog' WHEN l_suppkey % 6 = 3 THEN 'registry' ELSE 'web' END AS source, 'L' || CAST(l_suppkey AS VARCHAR) AS label, p_name AS matched_name,
-    CASE WHEN l_linenumber = 2 THEN round(l_extendedprice / l_quantity, 2) - 1 END AS cost, CASE WHEN l_linenumber <> 3 THEN round(l_extendedprice / l_quantity, 2) END AS price,
+    CASE WHEN l_linenumber = 2 THEN l_extendedprice / l_quantity - 1 END AS cost, CASE WHEN l_linenumber <> 3 THEN l_extendedprice / l_quantity END AS price,
     CASE WHEN l_suppkey % 6 = 4 THEN 'https://shop' || CAST(l_suppkey AS VARCHAR) || '.example/p/' || CAST(l_orderkey AS VARCHAR) WHEN l_suppkey % 6 = 5 AND l_linenumber % 3 = 0 THEN 'https://www.ozon.ru/product/' || CAST(l_orderkey AS VARCHAR) WHEN l_suppkey % 6 = 5 AND l_linenumber % 3 = 1 THEN 'https://www.ozon.ru/search/?text=a' END AS url,
     CASE WHEN l_suppkey % 6 >= 4 THEN CASE WHEN l_orderkey % 9 = 0 THEN 100.0 ELSE 60.0 END WHEN l_orderkey % 40 = 0 THEN 95.0 + l_linenumber % 4 ELSE 50.0 END AS match_score,
     s_name AS supplier, strftime(l_shipdate, '%d.%m.%Y') AS purchase_date, l_orderkey * 10 + l_linenumber AS pos, l_returnflag = 'R' AS fetched
