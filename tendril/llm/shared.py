@@ -56,7 +56,8 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
     return tempfile.mkdtemp(prefix="checkpoints")
 

@@ -2,10 +2,10 @@
 
 The lexicon is learnt: words and word stems (prefixes that many words share)
 whose document counts in labelled rows tell the label, at most ``TERMS`` of
-them.  Its trie is intersected with the Levenshtein automaton of one edit; the
-product's states are made when a word first needs them and kept, so a word
-costs a table look-up a letter until no term is left.  Stems match words that
-start with them, terms of ``FUZZY`` letters and more also words one edit away:
+them.  Its trie is intersected with the Levenshtein automaton of one edit (a
+letter more, less or other, or two neighbours swapped); the product's states are
+made when a word first needs them and kept, so a word costs a table look-up a
+letter until no term is left.  Stems match words that start with them, terms of ``FUZZY`` letters and more also words one edit away:
 whole words with the first letter right (from ``FIRST`` letters on any edit),
 stems with the first and the last letter right, for an edit of its last letter
 would make any stem a shorter one.  The learnt words under a stem are terms too,
@@ -70,7 +70,8 @@ _QUOTE = re.compile("[\"“”«»„]")
 
 
 class Lexicon:
-    """The product of the trie and the one-edit automaton, made as needed."""
+    """The product of the trie and the one-edit automaton, made as needed; two
+    neighbouring letters that are swapped are one edit."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.weights = [w for _, _, w in terms]
@@ -97,8 +98,10 @@ class Lexicon:
     def _reset(self) -> None:
         # (node, edits); 2 stands for one edit, of the first letter.
         start = {(0, 0)} | {(child, 2) for child in self.children[0].values() if self.longest[child] >= FIRST}
-        self.states: dict[tuple[frozenset, frozenset], int] = {(frozenset(start), frozenset()): 0}
-        self.sets: list[frozenset] = [frozenset(start)]
+        self.states: dict[tuple[frozenset, frozenset, frozenset], int] = {(frozenset(start), frozenset(), frozenset()): 0}
+        #: By state: nodes with their edits; nodes behind the first of two
+        #: swapped letters, with the letter that must follow.
+        self.sets: list[tuple[frozenset, frozenset]] = [(frozenset(start), frozenset())]
         self.steps: list[dict[str, int]] = [{}]
         #: By state: exact word, exact stem, misspelled word, misspelled stem.
         self.ends: list[tuple[int, int, int, int]] = [(-1, -1, -1, -1)]
@@ -109,7 +112,7 @@ class Lexicon:
 
     def _step(self, state: int, char: str) -> int:
         reached: dict[int, int] = {}
-        stems = set()
+        stems, swapped = set(), set()
 
         def reach(node: int, edits: int) -> None:
             if reached.get(node, 9) > edits and (edits < 2 or not node or self.longest[node] >= FIRST):
@@ -118,7 +121,10 @@ class Lexicon:
                     for child in self.children[node].values():
                         reach(child, 1)
 
-        for node, edits in self.sets[state]:
+        for node, letter, edits in self.sets[state][1]:
+            if char == letter:
+                reach(node, edits)
+        for node, edits in self.sets[state][0]:
             if char in self.children[node]:
                 child = self.children[node][char]
                 reach(child, edits)
@@ -126,14 +132,17 @@ class Lexicon:
                     stems.add(self.stem[child])
             if edits == 0:
                 reach(node, 1 if node else 2)
-                for child in self.children[node].values():
+                for letter, child in self.children[node].items():
                     reach(child, 1 if node else 2)
-        key = frozenset(reached.items()), frozenset(stems)
-        if not reached:
+                    behind = self.children[child].get(char)
+                    if behind is not None and letter != char and (node or self.longest[behind] >= FIRST):
+                        swapped.add((behind, letter, 1 if node else 2))
+        key = frozenset(reached.items()), frozenset(stems), frozenset(swapped)
+        if not reached and not swapped:
             return -1
         if key not in self.states:
             self.states[key] = len(self.sets)
-            self.sets.append(key[0])
+            self.sets.append((key[0], key[2]))
             self.steps.append({})
             exact = [self.whole[n] for n, e in key[0] if e == 0]
             exact_stems = [self.stem[n] for n, e in key[0] if e == 0]

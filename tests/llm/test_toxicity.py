@@ -7,28 +7,39 @@ SCHEMA = "doc_id long, text string, label int, exact string"
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
+    """Edits from a to b, two swapped neighbours being one."""
+    rows = [list(range(len(b) + 1))]
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(new[-1] + 1, row[j] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+            new.append(min(new[-1] + 1, rows[-1][j] + 1, rows[-1][j - 1] + (x != y)))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                new[-1] = min(new[-1], rows[-2][j - 2] + 1)
+        rows.append(new)
+    return rows[-1][-1]
+
+
+def mistyped(rng, word):
+    """Up to two edits, at random."""
+    w = list(word)
+    for _ in range(rng.randint(0, 2)):
+        k = rng.randrange(len(w) + 1)
+        if rng.random() < 0.4 and 0 < k < len(w):
+            w[k - 1], w[k] = w[k], w[k - 1]
+        else:
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "o", "t", "s"])
+    return "".join(w)
 
 
 def test_product_finds_all_words_one_edit_away():
     rng = random.Random(1)
-    terms = ["moron", "motor", "worthless", "abc", "ab", "stupid"]
+    terms = ["moron", "motor", "worthless", "abc", "ab", "stupid", "idiot", "blockheaded"]
     lexicon = Lexicon([(t, False, 1.0) for t in terms])
-    words = set(terms)
+    words = {*terms, "idoit", "diiot", "morno", "lbockheaded", "bolckheaded", "wrothless"}
     for _ in range(4000):
-        w = list(rng.choice(terms))
-        for _ in range(rng.randint(0, 2)):
-            k = rng.randrange(len(w) + 1)
-            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "o", "t", "s"])
-        words.add("".join(w))
+        words.add(mistyped(rng, rng.choice(terms)))
     for w in words - {""}:
-        near = [t for t in terms if len(t) >= 5 and w[0] == t[0] and distance(w, t) == 1]
+        near = [t for t in terms if len(t) >= (FUZZY if w[0] == t[0] else FIRST) and distance(w, t) == 1]
         found = lexicon.look(w)
         if w in terms:
             assert found == (terms.index(w), True)
@@ -68,11 +79,7 @@ def test_misspelled_stems_and_first_letters():
     lexicon = Lexicon([(t, stem, 1.0) for t, stem in terms])
     words = {"lowi", "loweei", "wrthless", "worhtless", "orthless", "lower", "idoit", "lockheadedness", "xverachtens", "tupid"}
     for _ in range(4000):
-        w = list(rng.choice(terms)[0] + rng.choice(["", "schaft", "ess", "t"]))
-        for _ in range(rng.randint(0, 2)):
-            k = rng.randrange(len(w) + 1)
-            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "o", "t", "s"])
-        words.add("".join(w))
+        words.add(mistyped(rng, rng.choice(terms)[0] + rng.choice(["", "schaft", "ess", "t"])))
     for w in words - {""}:
         right, near = set(), set()
         for k, (t, stem) in enumerate(terms):
