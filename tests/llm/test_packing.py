@@ -125,3 +125,22 @@ def test_sequence_numbers_are_those_of_bins(spark):
     for r in rows:
         fill[r.sequence_id] = fill.get(r.sequence_id, 0) + r.length
     assert len(rows) == 3000 and max(fill.values()) <= 64 and len(fill) <= sum(fill.values()) / 64 * 1.03
+
+
+def test_islands_as_registered_save_bins_over_shards(spark):
+    """The settings of the query, through ``pack`` with shards, migration and
+    the last turn: fewer bins than best fit needs in the same shards."""
+    from pyspark.sql import functions as F
+
+    rng, sizes = np.random.default_rng(5), []
+    for _ in range(160):
+        first = rng.integers(380, 490)
+        second = rng.integers((1000 - first) // 2 - 120, (1000 - first) // 2 + 120)
+        sizes += [first, second, 1000 - first - second]
+    pieces = spark.createDataFrame([(int(k), int(n), "mine", "own") for k, n in enumerate(sizes)], "id long, length long, uid string, seq string").coalesce(1)
+    rows = packing.pack(pieces, 1000, shard=120)
+    assert rows.columns == ["id", "length", "uid", "seq", "sequence_id", "offset"]
+    told = packing.report(rows, 1000).first()
+    shards = pieces.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4))).select("shard", "length").collect()
+    best = sum(best_fit_decreasing(np.array([r.length for r in shards if r.shard == k]), 1000) for k in range(4))
+    assert told.least == 160 and told.sequences < best and {(r.uid, r.seq) for r in rows.collect()} == {("mine", "own")}
