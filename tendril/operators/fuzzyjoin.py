@@ -68,10 +68,13 @@ def _bags(names: DataFrame, threshold: int) -> DataFrame:
 def _near(queries: DataFrame, corpus: DataFrame, threshold: int) -> DataFrame:
     """Pairs with few edits between texts, words, or words not in common."""
     q, c = _bags(queries, threshold), _bags(corpus, threshold)
-    keyed = lambda bags: bags.select("text", "kind", "keep", F.explode("grams").alias("key"))
+    keyed = lambda bags: bags.select("text", "kind", "keep", "length", "size", F.explode("grams").alias("key"))
     count = _counted(keyed(q).unionByName(keyed(c)))
-    rare = lambda bags, name: _rarest(keyed(bags), count, "keep").select(F.col("text").alias(name), F.col("kind").alias(f"{name}_kind"), "key")
-    met = rare(q, "query").join(rare(c, "choice"), "key").select("query", "query_kind", "choice", "choice_kind").distinct()
+    rare = lambda bags, name: _rarest(keyed(bags), count, "keep").select(F.col("text").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("length").alias(f"{name}_length"), F.col("size").alias(f"{name}_size"), "key")
+    # An edit changes the number of letters (a trigram each) by one at most.
+    most = F.floor(F.lit(100 - threshold) * (F.col("query_length") + F.col("choice_length")) / 100)
+    met = rare(q, "query").join(rare(c, "choice"), "key").filter(F.abs(F.col("query_size") - F.col("choice_size")) <= most)
+    met = met.select("query", "query_kind", "choice", "choice_kind").distinct()
     side = lambda bags, name: bags.select(F.col("text").alias(name), F.col("kind").alias(f"{name}_kind"), F.struct("length", "size", "grams").alias(f"{name}_bag"))
     met = met.join(side(q, "query"), ["query", "query_kind"]).join(side(c, "choice"), ["choice", "choice_kind"])
     edits = F.floor(F.lit(100 - threshold) * (F.col("query_bag.length") + F.col("choice_bag.length")) / 100)
