@@ -66,9 +66,9 @@ def test_catalog_and_kits(spark):
     df = C.classify(spark.createDataFrame([("s", *r) for r in rows], "sheet string, row_idx int, name string, cost double, price double"), ["sheet"])
     got = [(r.entry_type, r.components_group) for r in df.orderBy("row_idx").collect()]
     assert got == [("kit_total", None), ("components_header", "Составляющие А"), ("item", "Составляющие А"), ("sub_kit", "Составляющие А"), ("section", None), ("item", None)]
-    specs = [("Состав комплекта: гипсовая ваза, гипсовая рука; шар; Шар\nкуб",), ("1) стол\n2) стул;\nпросто текст",), (None,)]
+    specs = [("Состав комплекта: гипсовая ваза, гипсовая рука; шар; Шар\nкуб",), ("Комплект:\n1) стол\n2) стул;\nпросто текст",), ("1) стол\n2) стул;\nпросто текст",), (None,)]
     lists = [r.components for r in C.kit_components(spark.createDataFrame(specs, "specifications string")).collect()]
-    assert lists == [["гипсовая ваза", "гипсовая рука", "шар", "куб"], ["стол", "стул"], []]
+    assert lists == [["гипсовая ваза", "гипсовая рука", "шар", "куб"], ["стол", "стул"], [], []]  # a list of a text that speaks of no kit is none
 
 
 def test_quotes_and_ladder(spark):
