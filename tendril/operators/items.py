@@ -126,18 +126,21 @@ def apply_quotes(results: DataFrame, quotes: DataFrame) -> DataFrame:
     )
 
 
-def photo_files(rows: DataFrame, files: DataFrame) -> DataFrame:
+def photo_files(rows: DataFrame, files: DataFrame, by: list[str] = ()) -> DataFrame:
     """Each row's picture files ``0007.png, 0007_2.png, ...`` to the first gap;
-    of one number's kinds the preferred.  ``files`` has a column file."""
+    of one number's kinds the preferred.  ``files`` has a column file; ``by``
+    names the folder, in which numbers are counted anew."""
     kinds = ["png", "jpg", "jpeg", "gif", "webp"]
     name = r"^(\d+)(?:_([2-9]))?\.(png|jpg|jpeg|gif|webp)$"
+    key = [*by, "row_pos"]
     known = files.filter(F.lower("file").rlike(name)).select(
+        *by,
         "file",
         F.regexp_extract(F.lower("file"), name, 1).cast("int").alias("row_pos"),
         F.coalesce(F.nullif(F.regexp_extract(F.lower("file"), name, 2), F.lit("")).cast("int"), F.lit(1)).alias("k"),
         F.array_position(F.array(*map(F.lit, kinds)), F.regexp_extract(F.lower("file"), name, 3)).alias("kind"),
     )
-    known = top(known, ["row_pos", "k"], [F.col("kind"), F.col("file")], 1, "_one")
-    numbered = top(known, ["row_pos"], [F.col("k")], 9, "nth").filter("nth = k")
-    lists = numbered.groupBy("row_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "file"))), lambda x: x["file"]).alias("photo_files"))
-    return rows.join(lists, "row_pos", "left").withColumn("photo_files", F.coalesce("photo_files", F.array().cast("array<string>")))
+    known = top(known, [*key, "k"], [F.col("kind"), F.col("file")], 1, "_one")
+    numbered = top(known, key, [F.col("k")], 9, "nth").filter("nth = k")
+    lists = numbered.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "file"))), lambda x: x["file"]).alias("photo_files"))
+    return rows.join(lists, key, "left").withColumn("photo_files", F.coalesce("photo_files", F.array().cast("array<string>")))

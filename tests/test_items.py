@@ -1,6 +1,7 @@
 from tendril.functions import pii
 from tendril.functions.preferences import Preferences
 from tendril.operators import items as I
+from tendril.plans import offers
 from tendril.operators import offers as O
 
 HITS = "item_id int, source string, name string, score double, rank int, cost double, price double"
@@ -57,3 +58,16 @@ def test_preferences_and_json():
     assert p.merge({"force_kit_component_pricing": None}).component_pricing
     clean = pii.anonymize_value({"Email": "a@b.ru", "notes": ["пишите a@b.ru", 5]}, lambda t: pii.numbered(t)[0])
     assert clean == {"notes": ["пишите [EMAIL_1]", 5]}
+
+
+def test_photo_files_by_folder(spark):
+    rows = spark.createDataFrame([("", 1), ("0", 1)], "folder string, row_pos int")
+    files = spark.createDataFrame([("", "0001.JPG"), ("0", "0001.png"), ("0", "0001_2.gif")], "folder string, file string")
+    assert {r.folder: r.photo_files for r in I.photo_files(rows, files, ["folder"]).collect()} == {"": ["0001.JPG"], "0": ["0001.png", "0001_2.gif"]}
+
+
+def test_stock_of_seven_digits(spark, tmp_path):
+    """Parts 100000 and 1000000 share six digits, but no pictures."""
+    spark.createDataFrame([(100_000,), (1_000_000,), (1_000_007,)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    shown = {r.row_pos: r.photos for r in offers.stock_photos(spark, str(tmp_path)).collect()}
+    assert shown == {100_000: "100000.png|100000_2.webp|100000_3.gif", 1_000_000: "100000.png|100000_2.webp|100000_3.gif", 1_000_007: "100000.JPG|100000_2.webp"}
