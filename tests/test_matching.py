@@ -134,3 +134,9 @@ def test_blocks_of_queries_change_no_result(spark, monkeypatch):
     monkeypatch.setattr(M, "MOST_QUERIES", 2)
     assert result() == whole and len(whole[0]) == len(names) ** 2
     assert "CartesianProduct" in M.pairs(q, q.withColumnRenamed("query", "choice"))._jdf.queryExecution().toString()
+
+
+def test_an_address_is_no_code(spark):
+    """Of 56.187.231.175 the first three numbers are no item's code."""
+    lines = spark.createDataFrame([("56.187.231.175 Keit in lich auf",), ("1.2. Весы",), ("1.2.Весы",)], "x string")
+    assert [r[0] for r in lines.select(T.primary_spec_line(F.col("x"))).collect()] == ["56.187.231.175 Keit in lich auf", "Весы", "Весы"]
