@@ -19,7 +19,9 @@ than may be lacking must hold one that the other side has.
 
 Pairs that pass are a superset; ``close_pairs`` scores them and keeps those that
 reach the threshold.  No pair is lost and none is compared without a trigram or
-word in common.
+word in common.  Of the pairs that share a rare trigram, those whose letters
+differ by more than their edits go before they are made distinct: where names are
+made of a few words, nearly all do.
 """
 
 from __future__ import annotations
@@ -44,6 +46,20 @@ def _trigrams(words: Column) -> Column:
     return numbered
 
 
+def _letters(words: Column) -> list[Column]:
+    """How often each of 32 classes of letters is in a bag, up to four times, as
+    bits of two numbers: bits that differ are letters that differ."""
+    letters = F.split(F.array_join(words, ""), "")
+    shift = lambda x, n: F.call_function("shiftleft", x, n)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+
+    def half(first: int) -> Column:
+        held = lambda k: F.least(F.size(F.filter(letters, lambda c: F.ascii(c) % 32 == k + first)), F.lit(4))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(15)), none, lambda bits, k: bits.bitwiseOR(shift(shift(one, held(k)) - 1, 4 * k)))
+
+    return [half(0), half(16)]
+
+
 def _rarest(keyed: DataFrame, count: DataFrame, keep: str) -> DataFrame:
     """(text, key) of each text's first ``keep`` keys, rarest first."""
     order = Window.partitionBy("text", "kind").orderBy("n", "key")
@@ -61,20 +77,30 @@ def _bags(names: DataFrame, threshold: int) -> DataFrame:
     words = T.tokens(F.col("text"))
     both = names.withColumn("words", words).select("text", F.length("text").alias("length"), F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.array_distinct("words").alias("w")), F.struct(F.lit(1).alias("kind"), F.col("words").alias("w")))).alias("b"), "words")
     both = both.filter((F.col("b.kind") == 0) | (F.size("b.w") > F.size(F.array_distinct("words"))))
-    bags = both.select("text", "length", "b.kind", _trigrams(F.col("b.w")).alias("grams"))
+    low, high = _letters(F.col("b.w"))
+    bags = both.select("text", "length", "b.kind", _trigrams(F.col("b.w")).alias("grams"), low.alias("low"), high.alias("high"))
     return bags.withColumns({"size": F.size("grams"), "keep": 3 * _edits(F.col("length"), threshold) + 1})
 
 
+def _met(q: DataFrame, c: DataFrame, threshold: int) -> DataFrame:
+    """Bags that share a rare trigram and differ in few letters; a pair for
+    each such trigram."""
+    own = ["kind", "length", "size", "low", "high"]
+    keyed = lambda bags: bags.select("text", "keep", *own, F.explode("grams").alias("key"))
+    count = _counted(keyed(q).unionByName(keyed(c)))
+    rare = lambda bags, name: _rarest(keyed(bags), count, "keep").select("key", F.col("text").alias(name), *[F.col(x).alias(f"{name}_{x}") for x in own])
+    # An edit changes the number of letters (a trigram each) by one at most, and
+    # the count of one letter by one.
+    most = F.floor(F.lit(100 - threshold) * (F.col("query_length") + F.col("choice_length")) / 100)
+    apart = lambda x: F.bit_count(F.col(f"query_{x}").bitwiseXOR(F.col(f"choice_{x}")))
+    near = (F.abs(F.col("query_size") - F.col("choice_size")) <= most) & (apart("low") + apart("high") <= most)
+    return rare(q, "query").join(rare(c, "choice"), "key").filter(near)
+
+
 def _near(queries: DataFrame, corpus: DataFrame, threshold: int) -> DataFrame:
     """Pairs with few edits between texts, words, or words not in common."""
     q, c = _bags(queries, threshold), _bags(corpus, threshold)
-    keyed = lambda bags: bags.select("text", "kind", "keep", "length", "size", F.explode("grams").alias("key"))
-    count = _counted(keyed(q).unionByName(keyed(c)))
-    rare = lambda bags, name: _rarest(keyed(bags), count, "keep").select(F.col("text").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("length").alias(f"{name}_length"), F.col("size").alias(f"{name}_size"), "key")
-    # An edit changes the number of letters (a trigram each) by one at most.
-    most = F.floor(F.lit(100 - threshold) * (F.col("query_length") + F.col("choice_length")) / 100)
-    met = rare(q, "query").join(rare(c, "choice"), "key").filter(F.abs(F.col("query_size") - F.col("choice_size")) <= most)
-    met = met.select("query", "query_kind", "choice", "choice_kind").distinct()
+    met = _met(q, c, threshold).select("query", "query_kind", "choice", "choice_kind").distinct()
     side = lambda bags, name: bags.select(F.col("text").alias(name), F.col("kind").alias(f"{name}_kind"), F.struct("length", "size", "grams").alias(f"{name}_bag"))
     met = met.join(side(q, "query"), ["query", "query_kind"]).join(side(c, "choice"), ["choice", "choice_kind"])
     edits = F.floor(F.lit(100 - threshold) * (F.col("query_bag.length") + F.col("choice_bag.length")) / 100)

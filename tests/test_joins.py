@@ -1,9 +1,11 @@
 """Filter joins against all pairs."""
 
+import itertools
 import random
 
 from tendril.functions.similarity import name_score
 from tendril.operators.containment import containing
+from tendril.operators import fuzzyjoin
 from tendril.operators.fuzzyjoin import candidate_pairs, close_pairs
 
 LETTERS = "абвгдежзиклмнопрст"
@@ -59,6 +61,16 @@ def test_few_pairs_are_scored_and_none_in_a_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_names_of_a_few_words_meet_few(spark):
+    """All names share their rare trigrams with many; their letters part them."""
+    pools = [["small", "red", "blue", "heavy", "light", "round"], ["ring", "widget", "bolt", "gear", "valve"], ["ECONOMY", "SMALL", "PROMO"], [f"Brand#{k}" for k in range(10)]]
+    made = [" ".join(w).lower() for w in itertools.product(*pools)]
+    bags = fuzzyjoin._bags(spark.createDataFrame([(x,) for x in made], "text string"), 95)
+    assert fuzzyjoin._met(bags, bags, 95).select("query", "choice").distinct().count() < 0.02 * len(made) ** 2
+    asked, held = (spark.createDataFrame([(x,) for x in made], f"{n} string") for n in ("query", "choice"))
+    assert {(r.query, r.choice) for r in close_pairs(asked, held).collect()} == {(a, b) for a in made[:] for b in made if name_score(a, b) >= 95}
+
+
 def test_containing_equals_the_nested_loop(spark):
     rng = random.Random(3)
     texts = ["".join(rng.choice("аб в") for _ in range(rng.randint(0, 14))) for _ in range(300)] + [None, "ооо «весы»"]
