@@ -116,8 +116,7 @@ def kit_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "part").select(
         F.col("p_brand").alias("sheet"), F.col("p_type").alias("components_group"), key.alias("row_idx"), F.col("p_retailprice").alias("cost"), F.lit(None).cast("double").alias("price"), kind.alias("entry_type")
     )
-    lines = C.kit_members(rows, ["sheet"]).select("kit_row", F.col("cost").alias("unit_cost"), F.col("price").alias("unit_price"), F.lit(2.0).alias("quantity"))
-    return C.kit_totals(lines, ["kit_row"]).select("kit_row", "n_components", "n_priced", "quote_cost", "sum_cost")
+    return C.catalog_kit_totals(rows, ["sheet"], 2.0).select("kit_row", "n_components", "n_priced", "quote_cost", "sum_cost")
 
 
 @query(
