@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from tendril.functions import pricing as P
 from tendril.functions import text as T
-from tendril.operators.matching import top
 from tendril.operators.quotes import filter_quotes
 from tendril.operators.results import sheet_name
 
@@ -93,30 +92,34 @@ def _named(label: Column, excluded: list[str]) -> Column:
     return out
 
 
-def competitor_links(items: DataFrame, quotes: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True, most: int = 3) -> DataFrame:
-    """(keys, links): an item's first distinct addresses of web quotes, a
-    search where a quote has none, then searches of the large marketplaces."""
+def with_links(items: DataFrame, quotes: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True, most: int = 3) -> DataFrame:
+    """Items with ``links``: their first distinct addresses of web quotes, a
+    search where a quote has none, then searches of the large marketplaces.
+
+    An item's web quotes are gathered in one row, and addresses are made where
+    that row meets its item: no address is shuffled.
+    """
+    if not web:
+        return items.withColumn("links", F.array().cast("array<string>"))
     platform = F.replace(F.col("label"), F.lit(WEB_LABEL), F.lit(""))
     platform = F.coalesce(F.nullif(platform, F.lit("")), F.lit("Интернет"))
-    web_quotes = quotes.filter("source = 'web'").join(items.select(*by, F.col("name").alias("_product")), by)
-    asked = F.coalesce(F.nullif("matched_name", F.lit("")), F.col("_product"))
-    url = F.trim(F.coalesce("url", F.lit("")))
-    own = F.when(F.lower(url).rlike("^https?://"), url).otherwise(search_url(platform, asked))
-    found = web_quotes.filter(~_named(platform, excluded)).select(*by, own.alias("url"), F.struct(F.lit(0).alias("a"), F.col("pos").cast("long").alias("b")).alias("at"))
-    labels = F.array(*[F.struct(F.lit(k).cast("long").alias("b"), F.lit(x).alias("label")) for k, x in enumerate(FALLBACKS)])
-    spare = items.select(*by, "name", F.explode(labels).alias("f")).filter(~_named(F.col("f.label"), excluded))
-    spare = spare.select(*by, search_url(F.col("f.label"), F.col("name")).alias("url"), F.struct(F.lit(1).alias("a"), F.col("f.b").alias("b")).alias("at"))
-    every = found.unionByName(spare).filter((F.col("url") != "") & ~_url_excluded(F.col("url"), excluded))
-    first = top(every.groupBy(*by, "url").agg(F.min("at").alias("at")), by, [F.col("at")], most, "_nth")
-    links = first.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_nth", "url"))), lambda x: x["url"]).alias("links"))
-    out = items.select(*by).join(links, by, "left") if web else items.select(*by).withColumn("links", F.lit(None).cast("array<string>"))
-    return out.withColumn("links", F.coalesce("links", F.array().cast("array<string>")))
+    told = F.struct(F.col("pos").cast("long").alias("pos"), F.trim(F.coalesce("url", F.lit(""))).alias("url"), F.nullif("matched_name", F.lit("")).alias("asked"), platform.alias("platform"))
+    offered = quotes.filter("source = 'web'").filter(~_named(platform, excluded)).groupBy(*by).agg(F.array_sort(F.collect_list(told)).alias("_told"))
+
+    def own(q: Column) -> Column:
+        return F.when(F.lower(q["url"]).rlike("^https?://"), q["url"]).otherwise(search_url(q["platform"], F.coalesce(q["asked"], F.col("name"))))
+
+    none = F.array().cast("array<string>")
+    spare = F.array(*[F.when(~_named(F.lit(x), excluded), search_url(F.lit(x), F.col("name"))) for x in FALLBACKS])
+    every = F.concat(F.coalesce(F.transform("_told", own), none), spare)
+    kept = F.filter(every, lambda url: url.isNotNull() & (url != "") & ~_url_excluded(url, excluded))
+    return items.join(offered, by, "left").withColumn("links", F.slice(F.array_distinct(kept), 1, most)).drop("_told")
 
 
 def links_sheet(results: DataFrame, quotes: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True) -> DataFrame:
     """Lines with their specification in short and three addresses."""
     key = [*by, "number"]
-    lines = _numbered(results, by, "number").join(competitor_links(results, quotes, key, excluded, web), key)
+    lines = with_links(_numbered(results, by, "number"), quotes, key, excluded, web)
     cells = [F.coalesce(F.try_element_at("links", F.lit(k)), F.lit(DASH)).alias(f"link_{k}") for k in (1, 2, 3)]
     return lines.select(*by, "row", "number", sheet_name(F.col("name"), F.col("status")).alias("name"), T.spec_preview(F.col("specifications"), 2000).alias("specifications"), *cells)
 
@@ -132,7 +135,7 @@ def detail_sheet(results: DataFrame, components: DataFrame, quotes: DataFrame, b
     """Lines in all their fields, each kit's components under it."""
     c, key = F.col, [*by, "number"]
     kind = dict(results.dtypes)
-    lines = results.join(competitor_links(results, quotes, key, excluded, web, 1), key)
+    lines = with_links(results, quotes, key, excluded, web, 1)
     label = P.adjustment_label(F.lit(True))
     discounted = c("internet") & c("unit_base_price").isNotNull()
     notes = F.when(discounted, F.concat_ws(" | ", F.nullif("notes", F.lit("")), label)).otherwise(c("notes"))
