@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that ask for a field, words around a name, triggers.
@@ -35,8 +35,8 @@ def _trim(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
-def _word(alias: str) -> str:
-    return r"(?iuU)\b" + alias.replace(".", r"\.") + r"\b"
+def _words(aliases: list[str]) -> str:
+    return r"\b(?:" + "|".join(a.replace(".", r"\.") for a in aliases) + r")\b"
 
 
 def is_lookup(message: Column) -> Column:
@@ -50,17 +50,54 @@ def requested_fields(text: Column) -> Column:
     none = F.array().cast("array<string>")
     asked = [F.when(text.rlike(PRICE_QUESTION), F.array(*map(F.lit, PRICE_FIELDS))).otherwise(none)]
     for field, aliases in FIELD_ALIASES.items():
-        named = reduce(Column.__or__, [text.rlike(_word(a)) for a in aliases])
-        asked.append(F.when(named, F.array(F.lit(field))).otherwise(none))
+        asked.append(F.when(text.rlike("(?iuU)" + _words(aliases)), F.array(F.lit(field))).otherwise(none))
     return F.array_distinct(F.concat(*asked))
 
 
+#: What goes from a name, in this order, in groups that are looked for at once.
+_GONE = [*NOISE, *[_words([w]) for group in (*FIELD_ALIASES.values(), PRICE_ALIASES) for w in group], JOINING.removeprefix("(?iuU)")]
+_GROUPS = [_GONE[k : k + 9] for k in range(0, len(_GONE), 9)]
+
+
+def _without(text: Column, group: list[str]) -> Column:
+    """Text with each of the patterns, one after another, as a space; left as
+    it is where none of them is found."""
+    there = text.rlike("(?iuU)" + "|".join(f"(?:{p})" for p in group))
+    return F.when(there, reduce(lambda x, p: F.regexp_replace(x, "(?iuU)" + p, " "), group, text)).otherwise(text)
+
+
+def _tidy(text: Column) -> Column:
+    bare = F.regexp_replace(F.regexp_replace(text, "[,;]+", " "), r"(?U)\s+", " ")
+    return F.regexp_replace(bare, r"^[ .,-]+|[ .,-]+$", "")
+
+
+def questions(df: DataFrame, message_col: str) -> DataFrame:
+    """Adds ``is_lookup``, and ``name`` and ``fields`` of a question: null for
+    a name under two characters.  The first ``|``, else the first ``:``, parts
+    name and fields.  A name is the text without question words, field names,
+    commas and conjunctions.
+
+    Each step is a column over the last one's, so that no text is read twice for
+    one pattern.
+    """
+    c = F.col
+    rows = df.withColumn("_text", _trim(F.coalesce(message_col, F.lit(""))))
+    rows = rows.withColumn("is_lookup", is_lookup(c("_text")))
+    rows = rows.withColumn("_text", F.when(F.lower("_text").startswith(COMMAND), _trim(F.substr("_text", F.lit(len(COMMAND) + 1)))).otherwise(c("_text")))
+    rows = rows.withColumn("_at", F.when(c("_text").contains("|"), F.locate("|", "_text")).otherwise(F.locate(":", "_text")))
+    rows = rows.withColumns({"_name": F.when(c("_at") > 0, _trim(F.substr("_text", F.lit(1), c("_at") - 1))).otherwise(c("_text")), "_asked": F.when(c("_at") > 0, F.nullif(_trim(F.substr("_text", c("_at") + 1)), F.lit("")))})
+    rows = rows.withColumn("_asked", F.coalesce("_asked", "_text")).withColumn("_fields", requested_fields(c("_asked")))
+    for group in _GROUPS:
+        rows = rows.withColumn("_name", _without(c("_name"), group))
+    rows = rows.withColumn("_name", _tidy(c("_name")))
+    told = F.length("_name") >= 2
+    fields = F.when(F.size("_fields") > 0, c("_fields")).otherwise(F.array(*map(F.lit, DEFAULT_FIELDS)))
+    return rows.withColumns({"name": F.when(told, c("_name")), "fields": F.when(told, fields)}).drop("_text", "_at", "_name", "_asked", "_fields")
+
+
 def product_name(text: Column) -> Column:
     """The text without question words, field names, commas and conjunctions."""
-    words = [w for group in (*FIELD_ALIASES.values(), PRICE_ALIASES) for w in group]
-    patterns = [*("(?iuU)" + n for n in NOISE), *map(_word, words), JOINING, "[,;]+", r"(?U)\s+"]
-    bare = reduce(lambda x, pattern: F.regexp_replace(x, pattern, " "), patterns, text)
-    return F.regexp_replace(bare, r"^[ .,-]+|[ .,-]+$", "")
+    return _tidy(reduce(lambda x, p: F.regexp_replace(x, "(?iuU)" + p, " "), _GONE, text))
 
 
 def parse(message: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tendril.functions import lookup as L
 from tendril.operators import lookup as Lk
 from tendril.plans.quoting import CATALOG_SQL, PRICES_SQL
-from tendril.sources.tables import catalog, load, price_list, registry
+from tendril.sources.tables import catalog, load, price_list, registry, spread
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -40,8 +40,8 @@ def lookup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(key == 3, F.concat(F.lit("покажи "), name, F.lit(" и количество")))
         .otherwise(name)
     )
-    asked = load(spark, sf_dir, "part").select("p_partkey", said.alias("said"))
-    return asked.select("p_partkey", L.is_lookup(F.col("said")).alias("is_lookup"), L.parse(F.col("said")).alias("q")).select("p_partkey", "is_lookup", "q.name", F.array_join("q.fields", ",").alias("fields"))
+    asked = spread(load(spark, sf_dir, "part"), "p_partkey").select("p_partkey", said.alias("said"))
+    return L.questions(asked, "said").select("p_partkey", "is_lookup", "name", F.array_join("fields", ",").alias("fields"))
 
 
 ANSWERS_SQL = f"""WITH {CATALOG_SQL}, {PRICES_SQL}, low AS (SELECT code, min(price) AS price FROM prices GROUP BY code),
