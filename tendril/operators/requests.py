@@ -71,14 +71,18 @@ def text_tables(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Items of the tables in plain text: a header line starts a table, rows
     before its first data row are skipped, the first other line ends it."""
     lines = texts.select(id_col, F.posexplode(F.split(F.coalesce(text_col, F.lit("")), "\n")).alias("pos", "line"))
-    by = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    header = F.lower("line").contains(NAME_WORD)
-    lines = lines.withColumns({"cells": split_line(F.col("line")), "is_header": header}).withColumn("table", F.sum(F.col("is_header").cast("int")).over(by))
-    data = ~F.col("is_header") & F.regexp_replace(F.trim(F.col("cells")[0]), r"\.$", "").rlike(r"(?U)^\d+$")
-    inside = Window.partitionBy(id_col, "table").orderBy("pos")
+    # All windows have one order, so lines are sorted once, and as lines only.
+    so_far = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("is_header", F.lower("line").contains(NAME_WORD)).withColumn("_head", F.when(F.col("is_header"), split_line(F.col("line"))))
+    at = F.struct(*[v.cast("int").alias(k) for k, v in column_map(F.col("_head")).items()])
+    lines = lines.withColumn("_at", F.when(F.col("is_header"), at)).drop("_head")
+    lines = lines.withColumns({"table": F.sum(F.col("is_header").cast("int")).over(so_far), "_at": F.last("_at", ignorenulls=True).over(so_far)})
+    data = ~F.col("is_header") & F.regexp_replace(F.trim(split_line(F.col("line"))[0]), r"\.$", "").rlike(r"(?U)^\d+$")
     lines = lines.filter("table > 0").withColumn("is_data", data)
-    lines = lines.withColumn("_head", F.first("cells").over(inside)).withColumn("_seen", F.coalesce(F.max("is_data").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
-    ends = (F.col("_seen") & ~F.col("is_data")).cast("int")
-    lines = lines.withColumn("_ended", F.sum(ends).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    kept = lines.filter("is_data AND _ended = 0")
-    return request_items(kept, "cells", column_map(F.col("_head"))).drop("_head", "_seen", "_ended", "is_header", "is_data", "line", "cells")
+    # The table of the last data row before, and of the last row that ended one.
+    lines = lines.withColumn("_seen", F.coalesce(F.last(F.when(F.col("is_data"), F.col("table")), ignorenulls=True).over(before) == F.col("table"), F.lit(False)))
+    ends = F.when(F.col("_seen") & ~F.col("is_data"), F.col("table"))
+    lines = lines.withColumn("_ended", F.coalesce(F.last(ends, ignorenulls=True).over(so_far) == F.col("table"), F.lit(False)))
+    kept = lines.filter("is_data AND NOT _ended").withColumn("cells", split_line(F.col("line")))
+    return request_items(kept, "cells", {k: F.col("_at")[k] for k in ("number", "name", "unit", "quantity", "specs")}).drop("_at", "_seen", "_ended", "is_header", "is_data", "line", "cells")
