@@ -54,12 +54,18 @@ def counts(text: Column, categories: list[str], unicode: bool = True) -> dict[st
 NEEDS = {"EMAIL": "@", "USERNAME": "@", "URL": "."}
 
 
-def counted(df: DataFrame, text_col: str, categories: list[str], unicode: bool = True) -> DataFrame:
+#: Stands for a find while finds are counted; a text that holds it is read twice.
+MARK = "\ue000"
+
+
+def counted(df: DataFrame, text_col: str, categories: list[str], unicode: bool = True, masked: str | None = None) -> DataFrame:
     """``df`` with the number of finds of each category in a column of its name
-    in lower case, earlier categories masked first.
+    in lower case, earlier categories masked first, and the masked text in the
+    column ``masked``, if one is named.
 
     Each category is one column over the text that the last one left, so the
-    work grows with the categories and not with their square.
+    work grows with the categories and not with their square.  A pattern is
+    searched once: finds become marks, which are counted and named.
     """
     rows = df.withColumn("_masked", F.coalesce(F.col(text_col), F.lit("")))
     for name, pattern in PATTERNS:
@@ -67,9 +73,15 @@ def counted(df: DataFrame, text_col: str, categories: list[str], unicode: bool =
             continue
         full = ("(?uU)" if unicode else "") + pattern
         there = F.col("_masked").contains(NEEDS[name]) if name in NEEDS else F.lit(True)
-        rows = rows.withColumn(name.lower(), F.when(there, F.regexp_count("_masked", F.lit(full))).otherwise(0).cast("long"))
-        rows = rows.withColumn("_masked", F.when(F.col(name.lower()) > 0, F.regexp_replace("_masked", full, f"[{name}]")).otherwise(F.col("_masked")))
-    return rows.drop("_masked")
+        mark, n = F.lit(MARK), F.col(name.lower())
+        rows = rows.withColumn("_marked", F.when(there & ~F.col("_masked").contains(MARK), F.regexp_replace("_masked", full, MARK)))
+        marks = F.length("_marked") - F.length(F.replace("_marked", mark, F.lit("")))
+        rows = rows.withColumn(name.lower(), F.when(F.col("_marked").isNotNull(), marks).when(there, F.regexp_count("_masked", F.lit(full))).otherwise(0).cast("long"))
+        named = F.coalesce(F.replace("_marked", mark, F.lit(f"[{name}]")), F.regexp_replace("_masked", full, f"[{name}]"))
+        rows = rows.withColumn("_masked", F.when(n > 0, named).otherwise(F.col("_masked")))
+    if masked:
+        rows = rows.withColumn(masked, F.when(F.col(text_col).isNotNull(), F.col("_masked")))
+    return rows.drop("_masked", "_marked")
 
 
 def numbered(text: str, org_terms: list[str] = ()) -> tuple[str, list[tuple[str, str]]]:
