@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tendril.functions import lookup as L
-from tendril.operators.matching import top
 
 # Texts for sources without a candidate of the name.
 PLAIN = {"catalog": "Каталог", "price_list": "Прайс поставщика", "registry": "Реестр остатков"}
@@ -36,11 +35,15 @@ def resolve(answers: DataFrame, candidates: DataFrame) -> DataFrame:
     ``candidates``: item_id, source, rank, name, supplier, code, link.
     """
     product = lambda url: F.when(L.shows_product(url), url)
-    hits = candidates.select("item_id", "source", "rank", F.col("name").alias("_name"), F.col("supplier").alias("_supplier"), F.col("code").alias("_code"), product(L.normalize_url(F.col("link"))).alias("_link"))
+    hits = candidates.select("item_id", "source", "rank", F.col("name").alias("_name"), F.col("supplier").alias("_supplier"), F.col("code").alias("_code"), F.col("link").alias("_link"))
     met = answers.select("item_id", "source", "matched_name").join(hits, ["item_id", "source"]).filter(same_name(F.col("matched_name"), F.col("_name")))
-    first = top(met, ["item_id"], [F.col("rank")], 1, "_one").select("item_id", "_name", "_supplier", "_code")
-    linked = top(met.filter("source = 'registry' AND _link IS NOT NULL"), ["item_id"], [F.col("rank")], 1, "_one").select("item_id", "_link")
-    out = answers.join(first, "item_id", "left").join(linked, "item_id", "left")
+    # Both picks are one aggregate, so candidates are joined once; only a stock's
+    # addresses are read.
+    met = met.withColumn("_link", F.when(F.col("source") == "registry", L.normalize_url(F.col("_link"))))
+    met = met.withColumn("_link", product(F.col("_link")))
+    linked = F.when(F.col("_link").isNotNull(), F.col("rank"))
+    picked = met.groupBy("item_id").agg(F.min_by(F.struct("_name", "_supplier", "_code"), "rank").alias("_first"), F.min_by("_link", linked).alias("_link"))
+    out = answers.join(picked.select("item_id", "_first.*", "_link"), "item_id", "left")
 
     explicit = _some_of(_text("price_source"), _text("source_detail"))
     code = F.coalesce(F.concat(F.lit(", код "), F.nullif("_code", F.lit(""))), F.lit(""))

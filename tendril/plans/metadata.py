@@ -193,8 +193,10 @@ def answer_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         c("p_partkey").alias("item_id"), "source", c("p_name").alias("matched_name"), F.when(k == 0, " given ").when(k == 1, "see https://a.example/p/1.").alias("price_source"), none.alias("source_detail"), F.when(k == 3, "only words").alias("notes"),
         F.when(k == 2, "https://shop.example/").alias("product_url"), F.when(k == 2, "www.b.example/x?y=1").alias("source_url"), none.alias("url"), none.alias("link"),
     )
-    rank = F.row_number().over(Window.partitionBy("l_partkey").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity"))
-    lines = load(spark, sf_dir, "lineitem").withColumn("rank", rank).join(load(spark, sf_dir, "supplier"), c("l_suppkey") == c("s_suppkey")).join(parts, c("l_partkey") == c("p_partkey"))
+    # Any value in order is a rank: sales needn't be numbered for their first.
+    rank = F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_quantity")
+    suppliers = load(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    lines = load(spark, sf_dir, "lineitem").withColumn("rank", rank).join(suppliers, c("l_suppkey") == c("s_suppkey")).join(parts, c("l_partkey") == c("p_partkey"))
     n = c("l_linenumber")
     name = F.when(n % 3 == 0, F.concat_ws(" ", F.upper("p_name"), "p_type")).when(n % 3 == 1, F.split("p_name", " ")[1]).otherwise(c("p_brand"))
     link = F.when(n % 2 == 0, F.concat(F.lit("shop.example/item/"), c("l_orderkey").cast("string"))).otherwise("https://shop.example/catalog/")
