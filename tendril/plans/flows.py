@@ -108,6 +108,8 @@ def close_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SESSION_STORES = 2
+#: Events of a micro-batch, which a store's Python holds at once.
+SESSIONS_A_BATCH = 500_000
 
 
 @query(
@@ -127,8 +129,13 @@ def session_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     for eight hours, as a stream; what became of each session."""
     folder = new_folder(spark, "sessions")
     opened = load(spark, sf_dir, "events").select((F.col("user_id") % SESSION_STORES).cast("string").alias("store"), F.col("event_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("created_at"))
-    opened.write.parquet(f"{folder}/opened")
-    stream = spark.readStream.schema(opened.schema).parquet(f"{folder}/opened")
+    # A file for each stretch of time, written one after another: a stream takes
+    # files by age, one a batch, so what is held at once doesn't grow.
+    stretches = max(1, -(-opened.count() // SESSIONS_A_BATCH))
+    opened.repartitionByRange(stretches, "created_at").write.parquet(f"{folder}/stretches")
+    for file in sorted(spark.read.parquet(f"{folder}/stretches").inputFiles()):
+        spark.read.schema(opened.schema).parquet(file).coalesce(1).write.mode("append").parquet(f"{folder}/opened")
+    stream = spark.readStream.schema(opened.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/opened")
     run = Ss.session_events(stream).writeStream.format("parquet").option("path", f"{folder}/events").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     now = F.lit(opened.agg(F.max("created_at")).first()[0])
