@@ -150,7 +150,10 @@ SELECT l_orderkey AS request_id, number, CASE WHEN l_orderkey % 10 = 3 AND numbe
 def rerun_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A full run of all requests, then some lines of some requests anew;
     what the store holds."""
-    items = request_lines(spark, sf_dir).select("request_id", "number", "code")
+    # Numbered once: every step reads the numbers from the shared folder.
+    numbered = new_folder(spark, "numbered")
+    request_lines(spark, sf_dir).select("request_id", "number", "code").write.parquet(numbered)
+    items = spark.read.parquet(numbered)
     results = lambda rows, status, score: rows.select("request_id", "number", F.lit(status).alias("status"), F.lit("catalog").alias("source"), F.lit(score).alias("score"), F.col("code").cast("long").alias("code"))
     store = ResultStore(new_folder(spark, "results"))
     store.save(results(items, "exact", 100.0))
