@@ -14,7 +14,7 @@ from tendril.operators import preferences as Pf
 from tendril.operators.store import ResultStore
 from tendril.plans.quoting import CATALOG_SQL
 from tendril.plans.texts import catalog_names, part_names
-from tendril.sources.shared import new_folder
+from tendril.sources.shared import new_folder, written
 from tendril.sources.tables import catalog, load, price_list, registry, request_lines
 from tendril.streaming import sessions as Ss
 
@@ -261,7 +261,7 @@ def lookup_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "price_list": (shelf.drop("cost").withColumns({"code": c("row_idx").cast("string"), "supplier": F.concat(F.lit("S"), (c("row_idx") % 7).cast("string")), **{x: none("double") for x in ("recommended_qty", "order_qty", "order_sum")}}), "supplier"),
         "registry": (stock.withColumns({"condition": none("string"), "link": none("string"), "photo_files": none("array<string>")}), "quantity"),
     }
-    near, out = Fz.close_pairs(asked, shelf.select(T.normalize_name("name").alias("choice"))), None
+    near, out = written(Fz.close_pairs(asked, shelf.select(T.normalize_name("name").alias("choice")))), None
     for source, (rows, shown) in sources.items():
         met = near.join(rows.withColumn("choice", T.normalize_name("name")), "choice")
         hits = met.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "row_idx")))
