@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 
 from tendril.functions.preferences import Preferences
+from tendril.functions.similarity import name_score
 from tendril.operators import blocks as B
 from tendril.operators import flow as Fl
 from tendril.operators import preferences as Pf
@@ -175,3 +176,27 @@ def test_goods_by_index_equal_all_pairs(spark, seed):
         best.setdefault(r.item_id, (r.name, r.supplier, r.relevance))
     got = {r.item_id: (r.goods_name, r.supplier, r.goods_score) for r in Fl.goods_match(asked, rows).collect()}
     assert got == best and len(best) > 15
+
+
+#: Shelves where a row of another name scores as the item's own and stands first: all of its words are the item's, or the
+#: same words stand in another order.
+EQUAL = [(0, "large anvil LARGE Brand#1"), (1, "red anvil LARGE Brand#1"), (2, "small bolt LARGE Brand#10"), (3, "large bolt SMALL Brand#10"), (4, "hot rod PROMO Brand#3")]
+ASKED = [(1, "RED ANVIL LARGE BRAND#1"), (2, "large bolt SMALL Brand#10s"), (3, "large bolt SMALL Brand#10"), (4, "hot rod PROMO Brand#3s")]
+
+
+def first_best(name):
+    """The reference's loop over a shelf: a later row must score more."""
+    best, most = None, -1.0
+    for k, choice in EQUAL:
+        score = name_score(name.lower(), choice.lower())
+        if score >= 95 and score > most:
+            best, most = k, score
+    return best, most
+
+
+def test_direct_catalog_takes_the_first_of_equal_scores(spark):
+    items = spark.createDataFrame([(k, name, "") for k, name in ASKED], "item_id int, name string, specifications string")
+    shelf = spark.createDataFrame([(k, name, 1.0, None) for k, name in EQUAL], "row_idx int, name string, cost double, price double")
+    want = {k: first_best(name) for k, name in ASKED}
+    assert {r.item_id: (r.row_idx, r.score) for r in Fl.direct_catalog(items, shelf).collect()} == want
+    assert {k: row for k, (row, _) in want.items()} == {1: 0, 2: 2, 3: 2, 4: 4}
