@@ -200,3 +200,10 @@ def test_direct_catalog_takes_the_first_of_equal_scores(spark):
     want = {k: first_best(name) for k, name in ASKED}
     assert {r.item_id: (r.row_idx, r.score) for r in Fl.direct_catalog(items, shelf).collect()} == want
     assert {k: row for k, (row, _) in want.items()} == {1: 0, 2: 2, 3: 2, 4: 4}
+
+
+def test_goods_match_takes_the_first_of_equal_scores(spark):
+    items = spark.createDataFrame([(k, name, "") for k, name in ASKED], "item_id int, name string, specifications string")
+    goods = spark.createDataFrame([(k, name, f"s{k}", None, 1.0, None, False) for k, name in EQUAL], "row_idx int, name string, supplier string, purchase_date string, cost double, price double, procurement boolean")
+    best = {k: first_best(name) for k, name in ASKED}
+    assert {r.item_id: (r.supplier, r.goods_score) for r in Fl.goods_match(items, goods).collect()} == {k: (f"s{row}", score) for k, (row, score) in best.items()}
