@@ -10,7 +10,9 @@ from tendril.functions.similarity import name_score
 from tendril.operators import blocks as B
 from tendril.operators import flow as Fl
 from tendril.operators import preferences as Pf
+from tendril.operators.items import local_match
 from tendril.operators.store import ResultStore
+from tendril.sources.shared import written
 from tendril.streaming import sessions as Ss
 from test_joins import names
 
@@ -207,3 +209,15 @@ def test_goods_match_takes_the_first_of_equal_scores(spark):
     goods = spark.createDataFrame([(k, name, f"s{k}", None, 1.0, None, False) for k, name in EQUAL], "row_idx int, name string, supplier string, purchase_date string, cost double, price double, procurement boolean")
     best = {k: first_best(name) for k, name in ASKED}
     assert {r.item_id: (r.supplier, r.goods_score) for r in Fl.goods_match(items, goods).collect()} == {k: (f"s{row}", score) for k, (row, score) in best.items()}
+
+
+def test_local_match_takes_the_first_of_equal_scores(spark):
+    """Of the name with a letter too many; a price that the catalog lacks is the
+    first of the price list."""
+    items = spark.createDataFrame([(k, name, "") for k, name in ASKED[:2]], "item_id int, name string, specifications string")
+    shelf = spark.createDataFrame([(k, name, 10.0 + k, None if k == 1 else 20.0 + k) for k, name in EQUAL], "row_idx int, name string, cost double, price double")
+    prices = spark.createDataFrame([(k, name, f"c{k}", "ООО Весы", 30.0 + k) for k, name in EQUAL], "row_idx int, name string, code string, supplier string, price double")
+    stock = spark.createDataFrame([(k, name, 1.0) for k, name in EQUAL], "row_idx int, name string, quantity double")
+    hits = written(Fl.find_candidates(items, Fl.Tables(shelf, prices, stock, None, None)))
+    got = {r.item_id: (r.matched_name, r.unit_cost, r.unit_base_price) for r in local_match(items, hits).collect()}
+    assert got == {1: (EQUAL[1][1], 11.0, 30.0), 2: (EQUAL[2][1], 12.0, 22.0)}
