@@ -92,6 +92,27 @@ def _named(label: Column, excluded: list[str]) -> Column:
     return out
 
 
+def _platform(label: Column) -> Column:
+    return F.coalesce(F.nullif(F.replace(label, F.lit(WEB_LABEL), F.lit("")), F.lit("")), F.lit("Интернет"))
+
+
+def _offer(label: Column, pos: Column, url: Column, asked: Column) -> Column:
+    return F.struct(pos.cast("long").alias("pos"), F.trim(F.coalesce(url, F.lit(""))).alias("url"), F.nullif(asked, F.lit("")).alias("asked"), _platform(label).alias("platform"))
+
+
+def _addresses(told: Column, excluded: list[str], most: int) -> Column:
+    """The first distinct addresses of a line's offers, in their order."""
+
+    def own(q: Column) -> Column:
+        return F.when(F.lower(q["url"]).rlike("^https?://"), q["url"]).otherwise(search_url(q["platform"], F.coalesce(q["asked"], F.col("name"))))
+
+    none = F.array().cast("array<string>")
+    spare = F.array(*[F.when(~_named(F.lit(x), excluded), search_url(F.lit(x), F.col("name"))) for x in FALLBACKS])
+    every = F.concat(F.coalesce(F.transform(told, own), none), spare)
+    kept = F.filter(every, lambda url: url.isNotNull() & (url != "") & ~_url_excluded(url, excluded))
+    return F.slice(F.array_distinct(kept), 1, most)
+
+
 def with_links(items: DataFrame, quotes: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True, most: int = 3) -> DataFrame:
     """Items with ``links``: their first distinct addresses of web quotes, a
     search where a quote has none, then searches of the large marketplaces.
@@ -101,19 +122,9 @@ def with_links(items: DataFrame, quotes: DataFrame, by: list[str], excluded: lis
     """
     if not web:
         return items.withColumn("links", F.array().cast("array<string>"))
-    platform = F.replace(F.col("label"), F.lit(WEB_LABEL), F.lit(""))
-    platform = F.coalesce(F.nullif(platform, F.lit("")), F.lit("Интернет"))
-    told = F.struct(F.col("pos").cast("long").alias("pos"), F.trim(F.coalesce("url", F.lit(""))).alias("url"), F.nullif("matched_name", F.lit("")).alias("asked"), platform.alias("platform"))
-    offered = quotes.filter("source = 'web'").filter(~_named(platform, excluded)).groupBy(*by).agg(F.array_sort(F.collect_list(told)).alias("_told"))
-
-    def own(q: Column) -> Column:
-        return F.when(F.lower(q["url"]).rlike("^https?://"), q["url"]).otherwise(search_url(q["platform"], F.coalesce(q["asked"], F.col("name"))))
-
-    none = F.array().cast("array<string>")
-    spare = F.array(*[F.when(~_named(F.lit(x), excluded), search_url(F.lit(x), F.col("name"))) for x in FALLBACKS])
-    every = F.concat(F.coalesce(F.transform("_told", own), none), spare)
-    kept = F.filter(every, lambda url: url.isNotNull() & (url != "") & ~_url_excluded(url, excluded))
-    return items.join(offered, by, "left").withColumn("links", F.slice(F.array_distinct(kept), 1, most)).drop("_told")
+    told = _offer(F.col("label"), F.col("pos"), F.col("url"), F.col("matched_name"))
+    offered = quotes.filter("source = 'web'").filter(~_named(_platform(F.col("label")), excluded)).groupBy(*by).agg(F.array_sort(F.collect_list(told)).alias("_told"))
+    return items.join(offered, by, "left").withColumn("links", _addresses(F.col("_told"), excluded, most)).drop("_told")
 
 
 def links_sheet(results: DataFrame, quotes: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True) -> DataFrame:
@@ -124,6 +135,9 @@ def links_sheet(results: DataFrame, quotes: DataFrame, by: list[str], excluded:
     return lines.select(*by, "row", "number", sheet_name(F.col("name"), F.col("status")).alias("name"), T.spec_preview(F.col("specifications"), 2000).alias("specifications"), *cells)
 
 
+#: Of the arrays that a line of ``detail_rows`` holds: what its quotes and its components tell.
+OFFER = ["pos", "source", "label", "matched_name", "url"]
+PART = ["pos", "name", "catalog_name", "quantity", "unit_cost", "unit_price", "supplier", "purchase_date", "found_in_catalog", "list_price", "competitor_url", "competitor_platform"]
 _DETAIL = ["label", "kind", "name", "matched_name", "status", "source", "score", "quantity", "unit_cost", "base_price", "markup", "unit_price", "total_price", "supplier", "purchase_date", "notes", "source_detail", "alternatives", "link"]
 
 
@@ -133,25 +147,50 @@ def _listed(price: Column) -> Column:
 
 def detail_sheet(results: DataFrame, components: DataFrame, quotes: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True) -> DataFrame:
     """Lines in all their fields, each kit's components under it."""
-    c, key = F.col, [*by, "number"]
-    kind = dict(results.dtypes)
-    lines = with_links(results, quotes, key, excluded, web, 1)
-    label = P.adjustment_label(F.lit(True))
+    key = [*by, "number"]
+    gathered = lambda df, fields, name: df.groupBy(*key).agg(F.collect_list(F.struct(*fields)).alias(name))
+    offers = gathered(quotes.filter("source = 'web'"), OFFER, "offers")
+    lines = results.join(gathered(components, PART, "parts"), key, "left").join(offers, key, "left")
+    return detail_rows(placed(lines, by, F.when(F.col("is_kit"), F.array_size("parts"))), by, excluded, web)
+
+
+def placed(lines: DataFrame, by: list[str], parts: Column) -> DataFrame:
+    """Lines with ``row``, their place on the detail sheet: under each stand as
+    many components as ``parts`` says (null: none)."""
+    parts = F.coalesce(parts, F.lit(0))
+    before = Window.partitionBy(*by).orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return lines.withColumn("row", (F.sum(parts + 1).over(before) - parts).cast("int"))
+
+
+def detail_rows(lines: DataFrame, by: list[str], excluded: list[str] = (), web: bool = True) -> DataFrame:
+    """The detail sheet of placed lines that hold their quotes (``offers``) and
+    components (``parts``) as arrays: each line's rows are made from it alone,
+    so that no text is shuffled."""
+    c, none = F.col, F.lit(None)
+    kind = dict(lines.dtypes)
+    offers = F.filter("offers", lambda q: (q["source"] == "web") & ~_named(_platform(q["label"]), excluded))
+    offers = F.array_sort(F.transform(offers, lambda q: _offer(q["label"], q["pos"], q["url"], q["matched_name"])))
+    link = F.try_element_at(_addresses(offers, excluded, 1), F.lit(1)) if web else none.cast("string")
     discounted = c("internet") & c("unit_base_price").isNotNull()
-    notes = F.when(discounted, F.concat_ws(" | ", F.nullif("notes", F.lit("")), label)).otherwise(c("notes"))
-    items = lines.select(
-        *key, F.lit(0).alias("pos"), c("number").cast("string").alias("label"), F.lit(ITEM_ROW).alias("kind"), "name", F.coalesce(F.nullif("matched_name", F.lit("")), F.lit(DASH)).alias("matched_name"), _labelled("status", STATUS_LABELS).alias("status"), _labelled("source", SOURCE_LABELS).alias("source"),
-        F.round("score", 1).alias("score"), "quantity", "unit_cost", c("unit_base_price").alias("base_price"), F.when(c("unit_base_price").isNotNull() & c("unit_price").isNotNull(), _cents(c("unit_price").cast("decimal(18,4)") - c("unit_base_price").cast("decimal(18,4)"))).alias("markup"), "unit_price", "total_price", "supplier", "purchase_date",
-        notes.alias("notes"), "source_detail", F.array_join(F.slice(F.coalesce("alternatives", F.array().cast("array<string>")), 1, 3), "; ").alias("alternatives"), F.coalesce(F.try_element_at("links", F.lit(1)), F.lit(DASH)).alias("link"),
-    )
-    found = F.coalesce("found_in_catalog", F.lit(False))
-    told = F.when(found, IN_CATALOG).when(c("list_price").isNotNull(), _listed(c("list_price")))
-    parts = components.join(results.filter("is_kit").select(*key, _labelled("source", SOURCE_LABELS).alias("_source")), key).select(
-        *key, c("pos").cast("int").alias("pos"), F.concat_ws(".", c("number").cast("string"), c("pos").cast("string")).alias("label"), F.lit(PART_ROW).alias("kind"), F.concat(F.lit(PART_MARK), c("name")).alias("name"), F.coalesce(F.when(found, F.nullif("catalog_name", F.lit(""))), c("name")).alias("matched_name"), F.lit(PARTS).alias("status"), c("_source").alias("source"),
-        F.lit(None).cast("double").alias("score"), c("quantity").cast(kind["quantity"]).alias("quantity"), "unit_cost", c("unit_price").alias("base_price"), F.lit(None).cast("double").alias("markup"), F.lit(None).cast("double").alias("unit_price"), F.when(c("unit_price").isNotNull(), P.line_total(c("unit_price"), c("quantity"))).alias("total_price"),
-        F.when(found, c("supplier")).alias("supplier"), F.when(found, c("purchase_date")).alias("purchase_date"), F.concat_ws(" | ", told, F.nullif("competitor_platform", F.lit(""))).alias("notes"), F.lit("").alias("source_detail"), F.lit("").alias("alternatives"), F.coalesce(F.nullif("competitor_url", F.lit("")), F.lit(DASH)).alias("link"),
+    notes = F.when(discounted, F.concat_ws(" | ", F.nullif("notes", F.lit("")), P.adjustment_label(F.lit(True)))).otherwise(c("notes"))
+    item = F.struct(
+        c("row").alias("row"), c("number").cast("string").alias("label"), F.lit(ITEM_ROW).alias("kind"), c("name").alias("name"), F.coalesce(F.nullif("matched_name", F.lit("")), F.lit(DASH)).alias("matched_name"), _labelled("status", STATUS_LABELS).alias("status"), _labelled("source", SOURCE_LABELS).alias("source"),
+        F.round("score", 1).alias("score"), c("quantity").alias("quantity"), c("unit_cost").alias("unit_cost"), c("unit_base_price").alias("base_price"), F.when(c("unit_base_price").isNotNull() & c("unit_price").isNotNull(), _cents(c("unit_price").cast("decimal(18,4)") - c("unit_base_price").cast("decimal(18,4)"))).alias("markup"), c("unit_price").alias("unit_price"), c("total_price").alias("total_price"), c("supplier").alias("supplier"), c("purchase_date").alias("purchase_date"),
+        notes.alias("notes"), c("source_detail").alias("source_detail"), F.array_join(F.slice(F.coalesce("alternatives", F.array().cast("array<string>")), 1, 3), "; ").alias("alternatives"), F.coalesce(link, F.lit(DASH)).alias("link"),
     )
-    return _numbered(items.unionByName(parts), by, "number", "pos").select(*by, "row", *_DETAIL)
+
+    def part(x: Column, k: Column) -> Column:
+        found = F.coalesce(x["found_in_catalog"], F.lit(False))
+        told = F.when(found, IN_CATALOG).when(x["list_price"].isNotNull(), _listed(x["list_price"]))
+        return F.struct(
+            (c("row") + k + 1).alias("row"), F.concat_ws(".", c("number").cast("string"), x["pos"].cast("string")).alias("label"), F.lit(PART_ROW).alias("kind"), F.concat(F.lit(PART_MARK), x["name"]).alias("name"), F.coalesce(F.when(found, F.nullif(x["catalog_name"], F.lit(""))), x["name"]).alias("matched_name"), F.lit(PARTS).alias("status"), _labelled("source", SOURCE_LABELS).alias("source"),
+            none.cast("double").alias("score"), x["quantity"].cast(kind["quantity"]).alias("quantity"), x["unit_cost"].alias("unit_cost"), x["unit_price"].alias("base_price"), none.cast("double").alias("markup"), none.cast("double").alias("unit_price"), F.when(x["unit_price"].isNotNull(), P.line_total(x["unit_price"], x["quantity"])).alias("total_price"),
+            F.when(found, x["supplier"]).alias("supplier"), F.when(found, x["purchase_date"]).alias("purchase_date"), F.concat_ws(" | ", told, F.nullif(x["competitor_platform"], F.lit(""))).alias("notes"), F.lit("").alias("source_detail"), F.lit("").alias("alternatives"), F.coalesce(F.nullif(x["competitor_url"], F.lit("")), F.lit(DASH)).alias("link"),
+        )
+
+    under = F.transform(F.array_sort(F.when(c("is_kit"), c("parts"))), part)
+    rows = F.array(item)
+    return lines.select(*by, F.inline(F.coalesce(F.concat(rows, under), rows))).select(*by, "row", *_DETAIL)
 
 
 def kit_sheet(results: DataFrame, components: DataFrame, by: list[str]) -> DataFrame:

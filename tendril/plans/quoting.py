@@ -39,10 +39,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def priced_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Request lines with their catalog row's cost and price, marked up."""
+def priced_lines(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """Request lines with their catalog row's cost and price, marked up;
+    ``together``: a request's lines lie in one partition, and go there before
+    anything is made of them."""
     rows = catalog(spark, sf_dir).select(F.col("row_idx").alias("code"), "name", "cost", "price")
     lines = request_lines(spark, sf_dir).join(rows, "code")
+    lines = lines.repartition("request_id") if together else lines
     lines = lines.withColumn("unit_base_price", F.coalesce(P.present(F.col("price")), F.col("cost")))
     return P.priced(lines, "cost", "unit_base_price", "quantity", F.lit(False))
 
@@ -57,9 +60,9 @@ PRICED_SQL = f"""WITH {CATALOG_SQL}, {LINES_SQL}, priced AS (
   FROM priced)"""
 
 
-def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+def results(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
     status = F.when(F.col("price").isNotNull(), "exact").when(F.col("quantity") > 25, "similar").otherwise("not_found")
-    return priced_lines(spark, sf_dir).withColumn("status", status)
+    return priced_lines(spark, sf_dir, together).withColumn("status", status)
 
 
 @query(
