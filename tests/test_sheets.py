@@ -2,6 +2,9 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from tendril.functions.text import spec_preview
 from tendril.operators import sheets as Sh
 from tendril.plans import workbook as W
 from tendril.sources.tables import request_lines
@@ -71,3 +74,10 @@ def test_lines_are_numbered_by_what_tells_them_apart(spark, tmp_path):
     assert "l_discount" not in out._jdf.queryExecution().executedPlan().toString()
     want = [(1, 4, 1.0), (2, 5, 4.0), (3, 5, 2.0), (4, 5, 2.0), (5, 1, 1.0)]
     assert sorted((r.number, r.code, r.quantity) for r in out.collect()) == want
+
+
+def test_preview_is_cut_as_in_the_reference(spark):
+    """A space before the ellipsis stays: nothing of the cut text is trimmed."""
+    texts = {" ab\n\tcd  ef ": "ab cd ef", "ab cd efg": "ab cd e…", "abcdef ghi": "abcdef …", "abcdefgh": "abcdefgh", None: ""}
+    rows = spark.createDataFrame([(x,) for x in texts], "x string")
+    assert {r.x: r.p for r in rows.select("x", spec_preview(F.col("x"), 8).alias("p")).collect()} == texts
